@@ -1 +1,163 @@
+"""Streaming queries: the given tables as file streams, drained once."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hiremill.catalog.base import (
+    MAX_AGE_HOURS,
+    NOW,
+    OPERATORS,
+    ledger,
+    posts_from_orders,
+    query,
+    table,
+    updates_from_events,
+    with_views,
+)
+from hiremill.catalog.discovery import ELIGIBLE_SQL, FLAGSHIP_SQL
+from hiremill.catalog.reports import FINAL_SQL, decisions_sql
+from hiremill.operators.dedupe import with_fingerprint
+from hiremill.session import work_folder
+from hiremill.sources.ledger import write_batch
+from hiremill.streaming import applications as application_stream
+from hiremill.streaming import publish
+
+
+def _stream(spark, folder, name):
+    rows = table(spark, folder, name)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return application_stream.read_update_feed(spark, folder, schema, files=f"{name}.parquet", files_per_batch=1)
+
+
+def _posts(spark, folder):
+    return posts_from_orders(spark, folder, _stream(spark, folder, "orders"))
+
+
+def _published(spark, folder, max_posts):
+    target = work_folder(spark, "publish")
+    # the ledger of earlier polls comes before the first batch
+    write_batch(ledger(spark, folder), f"{target}/published", -1)
+    run = publish.stream_publish(
+        _posts(spark, folder), target, max_age_hours=MAX_AGE_HOURS, max_posts=max_posts, clock=lambda: NOW,
+        interval_seconds=None,
+    )
+    run.awaitTermination()
+    return target
+
+
+@query("stream_publish", FLAGSHIP_SQL)
+def stream_publish(spark, folder):
+    target = _published(spark, folder, 200)
+    return publish.read_cards(spark, target).select("fingerprint", "k", "source", "title", "card")
+
+
+_WAITING = FLAGSHIP_SQL.split("SELECT fingerprint, k, source, title, card FROM (")[0]
+
+
+@query(
+    "stream_pending",
+    _WAITING
+    + "SELECT fingerprint, k FROM ("
+    + ELIGIBLE_SQL.split("SELECT fingerprint, k, source, title, card FROM (", 1)[1]
+    + " ORDER BY source_rank, k OFFSET 200",
+)
+def stream_pending(spark, folder):
+    """What the capped stream keeps for its next batch."""
+    target = _published(spark, folder, 200)
+    return with_fingerprint(publish.read_pending(spark, target, 0)).select("fingerprint", "k")
+
+
+@query(
+    "stream_write_cards",
+    with_views(
+        ["prints"],
+        "SELECT fingerprint, arg_min(title, k) AS title, arg_min(source, k) AS source, first(url) AS url FROM prints "
+        "GROUP BY fingerprint",
+    ),
+)
+def stream_write_cards(spark, folder):
+    target = work_folder(spark, "cards")
+    publish.stream_cards(_posts(spark, folder), target, ["k"]).awaitTermination()
+    return publish.read_published(spark, target).select("fingerprint", "title", "source", "url")
+
+
+@query("stream_dedupe", with_views(["prints"], "SELECT DISTINCT fingerprint FROM prints"))
+def stream_dedupe(spark, folder):
+    target = work_folder(spark, "dedupe")
+    publish.stream_dedupe(_posts(spark, folder), target, ["k"]).awaitTermination()
+    return publish.read_published(spark, target).select("fingerprint")
+
+
+@query("stream_dedupe_bounded", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe_bounded(spark, folder):
+    """Copies inside a watermark longer than the data: the same as a permanent memory."""
+    target = work_folder(spark, "bounded")
+    events = _stream(spark, folder, "events").select(
+        "user_id", "event_type", F.concat_ws("|", "user_id", "event_type").alias("fingerprint"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    kept = publish.dedupe_within(events, "ts", "400 days")
+    run = (
+        kept.writeStream.format("parquet").option("path", f"{target}/rows")
+        .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{target}/rows").select("user_id", "event_type")
+
+
+@query("stream_update_feed", "SELECT event_id, user_id, event_type FROM events")
+def stream_update_feed(spark, folder):
+    target = work_folder(spark, "feed")
+    feed = _stream(spark, folder, "events").select("event_id", "user_id", "event_type")
+    run = (
+        feed.writeStream.format("parquet").option("path", f"{target}/rows")
+        .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{target}/rows")
+
+
+@query(
+    "stream_late_data",
+    with_views(
+        ["posts"],
+        "SELECT k FROM posts WHERE published_at >= TIMESTAMP '1999-08-02 00:00:00'",
+    ),
+)
+def stream_late_data(spark, folder):
+    """Age is measured at batch time, so a filter on the stream drops old posts whenever they arrive."""
+    from hiremill.operators.filters import filter_fresh
+
+    target = work_folder(spark, "late")
+    fresh = filter_fresh(
+        _posts(spark, folder), now=NOW, max_age_hours=MAX_AGE_HOURS, require_published_at=True
+    ).select("k")
+    run = (
+        fresh.writeStream.format("parquet").option("path", f"{target}/rows")
+        .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{target}/rows")
+
+
+def _applications(spark, folder):
+    target = work_folder(spark, "applications")
+    feed = updates_from_events(spark, folder, _stream(spark, folder, "events"))
+    application_stream.stream_applications(
+        feed, lambda: ledger(spark, folder), target, operators=OPERATORS
+    ).awaitTermination()
+    return target
+
+
+@query(
+    "stream_application_decisions", decisions_sql("SELECT update_id, decision, processed, status_after FROM decisions")
+)
+def stream_application_decisions(spark, folder):
+    decided = application_stream.read_decisions(spark, _applications(spark, folder))
+    return decided.select("update_id", "decision", "processed", "status_after")
+
+
+@query("stream_application_statuses", FINAL_SQL)
+def stream_application_statuses(spark, folder):
+    return application_stream.latest_statuses(spark, _applications(spark, folder))

@@ -162,5 +162,5 @@ def cap_then_dedupe(posts: DataFrame, ledger: DataFrame, max_posts: int) -> Data
         return pd.DataFrame(kept, columns=["source_rank", "position"])
 
     schema = heads.select("source_rank", "position").schema
-    chosen = small.groupBy(F.lit(1)).applyInPandas(fold, schema)
+    chosen = small.groupBy().applyInPandas(fold, schema)
     return heads.join(chosen, ["source_rank", "position"], "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hiremill import terms
 from hiremill.functions import dates
 from hiremill.functions.similarity import too_similar
-from hiremill.functions.text import collapse, contains_any, script_below, script_reached, strip
+from hiremill.functions.text import collapse, contains_any, let, script_below, script_reached, strip
 
 
 def role_text(title: str = "title", description: str = "description") -> Column:
@@ -45,7 +45,7 @@ def filter_it_broad(posts: DataFrame, allow: Sequence[str] = terms.BROAD_IT_TERM
 def looks_like_posting(text: Column, min_chars: int = terms.MIN_INTAKE_CHARS, **policy) -> Column:
     """Intake test of a raw message: long enough and a wanted role."""
     flat = collapse(F.coalesce(text, F.lit("")))
-    return (F.length(flat) >= min_chars) & role_allowed(flat, **policy)
+    return let(flat, lambda t: (F.length(t) >= min_chars) & role_allowed(t, **policy))
 
 
 def filter_intake(messages: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hiremill import terms
 from hiremill.functions.text import strip
 from hiremill.operators.dedupe import first_n
+from hiremill.operators.once import select_where
 
 KEY = "operator_user_id"
 
@@ -94,14 +95,16 @@ def parse_extra_fields(
     overwrite the value, which is what adding them one by one to a full profile gives.
     """
     pattern = r"(?s)^([^:]*):(.*)\z"
-    parsed = entries.filter(F.contains(F.col(text), F.lit(":"))).select(
-        owner,
-        order,
-        strip(F.regexp_extract(text, pattern, 1)).alias("name"),
-        strip(F.regexp_extract(text, pattern, 2)).alias("value"),
-    )
-    valid = parsed.filter(
-        F.length("name").between(1, max_name) & F.length("value").between(1, max_value)
+    columns = {
+        owner: F.col(owner),
+        order: F.col(order),
+        "name": strip(F.regexp_extract(text, pattern, 1)),
+        "value": strip(F.regexp_extract(text, pattern, 2)),
+    }
+    valid = select_where(
+        entries.filter(F.contains(F.col(text), F.lit(":"))),
+        columns,
+        lambda row: F.length(row["name"]).between(1, max_name) & F.length(row["value"]).between(1, max_value),
     )
     last = valid.groupBy(owner, "name").agg(F.min(order).alias("_first"), F.max_by("value", order).alias("value"))
     kept = first_n(last, [owner], [F.col("_first"), F.col("name")], max_fields)

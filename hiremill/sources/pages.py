@@ -18,6 +18,7 @@ from hiremill.functions.html import anchor_hrefs, is_challenge_page, requires_ma
 from hiremill.functions.text import any_of
 from hiremill.functions.urls import canonicalize_url, unwrap_redirect_url
 from hiremill.operators.dedupe import first_wins
+from hiremill.operators.once import select_where
 from hiremill.sources.dom import Element, Page, mark_of
 
 # --- Fixed values: selectors of search-result pages -----------------------
@@ -69,8 +70,13 @@ def page_links(
 ) -> DataFrame:
     """Canonical post links of every page, each once, in page order."""
     links = pages.select(key, F.posexplode(anchor_hrefs(F.col(html))).alias("position", "_href"))
-    canonical = links.select(key, "position", canonicalize_url(F.col("_href"), site, prefixes).alias("url"))
-    return first_wins(canonical.filter(F.col("url") != ""), [key, "url"], [F.col("position")])
+    columns = {
+        key: F.col(key),
+        "position": F.col("position"),
+        "url": canonicalize_url(F.col("_href"), site, prefixes),
+    }
+    posts = select_where(links, columns, lambda row: row["url"] != "")
+    return first_wins(posts, [key, "url"], [F.col("position")])
 
 
 def scan_result_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

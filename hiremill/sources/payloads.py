@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from hiremill import schemas, terms
 from hiremill.functions.dates import resolve_published_at
 from hiremill.functions.extract import clean_result_title, post_title, tag_markers
-from hiremill.functions.text import clean_scalar
+from hiremill.functions.text import clean_scalar, let
 from hiremill.functions.urls import canonicalize_url, is_post_url_loose, unwrap_redirect_url
+from hiremill.operators.once import select_where
 
 RESULT_LISTS = ("organic_results", "organic")
 
@@ -30,24 +31,25 @@ def scan_search_results(
     element is parsed on its own, so one bad hit does not hide its neighbours.
     """
     outer = ", ".join(f"{name} array<string>" for name in lists)
-    parsed = F.from_json(payload, outer)
-    hits = F.coalesce(*[parsed[name] for name in lists])
-    rows = payloads.select(*[c for c in payloads.columns if c != payload], F.posexplode(hits).alias("_at", "_hit"))
+    kept = [c for c in payloads.columns if c != payload]
+    parsed = payloads.select(*kept, F.from_json(payload, outer).alias("_lists"))
+    hits = F.coalesce(*[F.col(f"_lists.{name}") for name in lists])
+    rows = parsed.select(*kept, F.posexplode(hits).alias("_at", "_hit"))
     objects = rows.filter(F.startswith(F.ltrim("_hit"), F.lit("{")))
     fields = objects.withColumn("_hit", F.from_json("_hit", schemas.HITS))
 
     def text(name: str) -> Column:
         return clean_scalar(F.col(f"_hit.{name}"), terms.EMPTY_SCALARS)
 
-    candidates = fields.select(
-        *[c for c in payloads.columns if c != payload],
-        canonicalize_url(text("link"), site, prefixes).alias("url"),
-        clean_result_title(text("title")).alias("search_title"),
-        text("snippet").alias("snippet"),
-        text("date").alias("date_text"),
-        (F.col("_at") + 1).alias("position"),
-    )
-    return candidates.filter(F.col("url") != "")
+    columns = {
+        **{c: F.col(c) for c in kept},
+        "url": canonicalize_url(text("link"), site, prefixes),
+        "search_title": let(text("title"), lambda title: clean_result_title(title)),
+        "snippet": text("snippet"),
+        "date_text": text("date"),
+        "position": F.col("_at") + 1,
+    }
+    return select_where(fields, columns, lambda row: row["url"] != "")
 
 
 def candidates_to_posts(candidates: DataFrame) -> DataFrame:
@@ -71,11 +73,12 @@ def scraped_to_posts(
     rows: DataFrame, source: str, markers: Sequence[str] = terms.POST_URL_MARKERS
 ) -> DataFrame:
     """Posts of scraped result rows (title, link, snippet, date_text): loose URL test, undated rows dropped."""
-    named = rows.select(
-        *[c for c in rows.columns if c not in ("title", "link")],
-        unwrap_redirect_url(F.col("link")).alias("url"),
-        clean_result_title(F.col("title")).alias("search_title"),
-        F.lit(source).alias("provider"),
-    )
-    posts = candidates_to_posts(named.filter(is_post_url_loose(F.col("url"), markers)))
-    return posts.filter(F.col("published_at").isNotNull())
+    columns = {
+        **{c: F.col(c) for c in rows.columns if c not in ("title", "link")},
+        "url": unwrap_redirect_url(F.col("link")),
+        "search_title": clean_result_title(F.col("title")),
+        "provider": F.lit(source),
+    }
+    named = select_where(rows, columns, lambda row: is_post_url_loose(row["url"], markers))
+    posts = candidates_to_posts(named)
+    return select_where(posts, {c: F.col(c) for c in posts.columns}, lambda row: row["published_at"].isNotNull())

@@ -9,12 +9,15 @@ from hiremill.catalog.base import (
     CUTOFF_SQL,
     MAX_AGE_HOURS,
     NOW,
+    conversations,
+    documents,
     ledger,
     posts,
     query,
     sql_any,
     table,
     updates,
+    web_pages,
     with_views,
 )
 from hiremill.functions import html, urls
@@ -73,7 +76,7 @@ def filter_it_broad(spark, folder):
 )
 def filter_intake(spark, folder):
     from_posts = posts(spark, folder).selectExpr("concat('p', k) AS id", "raw_text AS text")
-    from_chats = table(spark, folder, "conversations").selectExpr("concat('c', conv_id, '-', turn) AS id", "text")
+    from_chats = conversations(spark, folder).selectExpr("concat('c', conv_id, '-', turn) AS id", "text")
     return filters.filter_intake(from_posts.unionByName(from_chats))
 
 
@@ -100,7 +103,7 @@ _CHALLENGE = ("track(0)", "captcha", "spam-farm")
 
 @query("is_challenge_page", f"SELECT page_id, {sql_any('html', _CHALLENGE)} AS challenge FROM pages")
 def is_challenge_page(spark, folder):
-    return table(spark, folder, "pages").select(
+    return web_pages(spark, folder).select(
         "page_id", html.is_challenge_page(F.col("html"), _CHALLENGE).alias("challenge")
     )
 
@@ -115,7 +118,7 @@ _HOST = "lower(regexp_extract(url, '://([^/?#:]*)', 1))"
     "AS allowed FROM pages",
 )
 def domain_allowed(spark, folder):
-    return table(spark, folder, "pages").select("page_id", urls.domain_allowed(F.col("url"), _DOMAINS).alias("allowed"))
+    return web_pages(spark, folder).select("page_id", urls.domain_allowed(F.col("url"), _DOMAINS).alias("allowed"))
 
 
 _SUCCESS = ("spam", "the and", "le des")
@@ -127,7 +130,7 @@ _SUCCESS = ("spam", "the and", "le des")
 )
 def verified_success(spark, folder):
     form = F.contains("url", F.lit("?"))
-    return table(spark, folder, "pages").select(
+    return web_pages(spark, folder).select(
         "page_id", html.verified_success(F.col("html"), form, _SUCCESS).alias("verified")
     )
 
@@ -143,27 +146,27 @@ BELOW_SQL = f"({_LETTERS} > 0 AND {_ACCENTS} / {_LETTERS} < 0.05)"
 )
 def needs_localization(spark, folder):
     needed = filters.needs_localization(F.col("text"), **ACCENTED)
-    return table(spark, folder, "documents").select("doc_id", needed.alias("needed"))
+    return documents(spark, folder).select("doc_id", needed.alias("needed"))
 
 
 def localized_texts(spark, folder):
     """Offered texts by model: an empty or unaccented one, and one in the target script."""
-    documents = table(spark, folder, "documents")
+    rows = documents(spark, folder)
     plain = F.regexp_replace("text", "[À-ÿ]+", "")
     offers = F.array(
         F.struct(F.lit(1).alias("model_rank"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(plain).alias("text")),
         F.struct(F.lit(2).alias("model_rank"), F.concat(F.lit("Éà ô "), "source", F.lit(" ïé ùà")).alias("text")),
     )
-    return documents.select("doc_id", F.explode(offers).alias("o")).select("doc_id", "o.model_rank", "o.text")
+    return rows.select("doc_id", F.explode(offers).alias("o")).select("doc_id", "o.model_rank", "o.text")
 
 
 def _documents(spark, folder):
-    return table(spark, folder, "documents").withColumnRenamed("text", "description").select("doc_id", "description")
+    return documents(spark, folder).withColumnRenamed("text", "description").select("doc_id", "description")
 
 
 @query("validate_localized")
 def validate_localized(spark, folder):
-    originals = table(spark, folder, "documents").select("doc_id", F.lit(3).alias("model_rank"), "text")
+    originals = documents(spark, folder).select("doc_id", F.lit(3).alias("model_rank"), "text")
     texts = localized_texts(spark, folder).unionByName(originals)
     attempts = localization.localization_attempts(_documents(spark, folder), texts, "doc_id", **ACCENTED)
     return attempts.select("doc_id", "model_rank", "reason")

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hiremill.catalog.base import epoch, posts, query, sql_any, table, with_views
+from hiremill.catalog.base import (
+    conversations,
+    epoch,
+    posts,
+    query,
+    sql_any,
+    web_pages,
+    with_views,
+)
 from hiremill.functions import html, urls
 from hiremill.plans import jobs
 from hiremill.session import work_folder
@@ -30,7 +38,7 @@ _ARTICLE = r"regexp_extract(html, '(?s)<article>.*</article>')"
 
 @query("html_to_text", f"SELECT page_id, {sql_text('html')} AS text FROM pages")
 def html_to_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    return web_pages(spark, folder).select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
 _KNOWN = (("spam-farm", "Spam"), ("blog.", "Blog"))
@@ -44,7 +52,7 @@ _HOST = "regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.'
 )
 def detect_source_of_page(spark, folder):
     address = F.when(F.col("page_id") % 9 != 0, F.col("url"))
-    return table(spark, folder, "pages").select("page_id", urls.detect_source(address, _KNOWN).alias("source"))
+    return web_pages(spark, folder).select("page_id", urls.detect_source(address, _KNOWN).alias("source"))
 
 
 _PREFIXES = ("/en/", "/fr/")
@@ -57,7 +65,7 @@ _CANONICAL = f"""CASE WHEN ({_SITE_HOST} = 'example.com' OR ends_with({_SITE_HOS
 @query("canonicalize_url", f"SELECT page_id, {_CANONICAL} AS canonical FROM pages")
 def canonicalize_url(spark, folder):
     canonical = urls.canonicalize_url(F.concat(F.lit("  "), "url"), "example.com", _PREFIXES)
-    return table(spark, folder, "pages").select("page_id", canonical.alias("canonical"))
+    return web_pages(spark, folder).select("page_id", canonical.alias("canonical"))
 
 
 _MARKERS = ("example.com/en/", "spam-farm")
@@ -65,7 +73,7 @@ _MARKERS = ("example.com/en/", "spam-farm")
 
 @query("is_post_url_loose", f"SELECT page_id, {sql_any('url', _MARKERS)} AS is_post FROM pages")
 def is_post_url_loose(spark, folder):
-    return table(spark, folder, "pages").select(
+    return web_pages(spark, folder).select(
         "page_id", urls.is_post_url_loose(F.col("url"), _MARKERS).alias("is_post")
     )
 
@@ -83,13 +91,13 @@ def unwrap_redirect_url(spark, folder):
         .when(F.col("page_id") % 3 == 1, bare)
         .otherwise(F.concat(F.lit(" "), "url", F.lit(" ")))
     )
-    return table(spark, folder, "pages").select("page_id", urls.unwrap_redirect_url(href).alias("target"))
+    return web_pages(spark, folder).select("page_id", urls.unwrap_redirect_url(href).alias("target"))
 
 
 @query("page_main_text", f"SELECT page_id, substr({sql_text(_ARTICLE)}, 1, 4000) AS main_text FROM pages")
 def main_text(spark, folder):
     text = page_main_text(F.col("html"), ("p.missing-class", "article"))
-    return table(spark, folder, "pages").select("page_id", text.alias("main_text"))
+    return web_pages(spark, folder).select("page_id", text.alias("main_text"))
 
 
 @query(
@@ -102,7 +110,7 @@ WHERE regexp_matches(url, '^https://www.example.com/t.') GROUP BY page_id, url""
 def links_of_pages(spark, folder):
     """Relative links are made absolute first, as the pages hold no others."""
     absolute = F.replace("html", F.lit('<a href="/'), F.lit('<a href="http://m.example.com/'))
-    rows = table(spark, folder, "pages").select("page_id", absolute.alias("html"))
+    rows = web_pages(spark, folder).select("page_id", absolute.alias("html"))
     return page_links(rows, site="example.com", prefixes=("/t",))
 
 
@@ -114,7 +122,7 @@ def links_of_pages(spark, folder):
 GROUP BY page_id, title, link""",
 )
 def result_rows(spark, folder):
-    rows = scan_result_pages(table(spark, folder, "pages"))
+    rows = scan_result_pages(web_pages(spark, folder))
     return rows.select("page_id", F.col("position").alias("first_place"), "title", "link")
 
 
@@ -125,7 +133,7 @@ def result_rows(spark, folder):
 def requires_manual_access(spark, folder):
     """Every fourth page gets a login form and loses its article."""
     form = F.concat(F.regexp_replace("html", "(?s)<article>.*</article>", ""), F.lit("<input id=p type='password'>"))
-    rows = table(spark, folder, "pages").withColumn(
+    rows = web_pages(spark, folder).withColumn(
         "html", F.when(F.col("page_id") % 4 == 0, form).otherwise(F.concat("html", F.lit('<input type="password">')))
     )
     manual = manual_access_pages(rows, selectors=("article",), markers=("that at",))
@@ -225,6 +233,6 @@ def rss_items(spark, folder):
 def messages(spark, folder):
     """Every conversation as one text file in the shared work folder, read back whole."""
     target = work_folder(spark, "messages")
-    chats = table(spark, folder, "conversations").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    chats = conversations(spark, folder).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     chats.select("conv_id", "text").write.partitionBy("conv_id").text(target)
     return scan_messages(spark, target).select(F.regexp_replace("text", r"\n\z", "").alias("text"))

@@ -8,6 +8,8 @@ from hiremill import terms
 from hiremill.catalog.base import (
     NOW,
     candidates,
+    conversations,
+    documents,
     epoch,
     lit,
     posts,
@@ -333,7 +335,7 @@ def identity_and_fingerprint(spark, folder):
 FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""",
 )
 def trim_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.trim_text(F.col("text"), 280).alias("trimmed"))
+    return documents(spark, folder).select("doc_id", text.trim_text(F.col("text"), 280).alias("trimmed"))
 
 
 def _escaped(value: str) -> str:
@@ -378,7 +380,7 @@ FROM (SELECT doc_id, length(regexp_replace(text, '[^À-ÿ]', '', 'g')) AS accent
 )
 def script_ratio(spark, folder):
     body = F.col("text")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id",
         text.count_chars(body, "À-ÿ").cast("bigint").alias("accented"),
         text.count_chars(body, "A-Za-zÀ-ÿ").cast("bigint").alias("letters"),
@@ -392,7 +394,7 @@ def script_ratio(spark, folder):
     "SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-zA-ZЀ-ӿ0-9]+'), ' ') AS comparable FROM documents",
 )
 def comparable_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.comparable_text(F.col("text")).alias("comparable"))
+    return documents(spark, folder).select("doc_id", text.comparable_text(F.col("text")).alias("comparable"))
 
 
 @query(
@@ -402,7 +404,7 @@ def comparable_text(spark, folder):
 )
 def public_origin_url(spark, folder):
     username = F.when(F.col("role") == "user", F.col("role"))
-    return table(spark, folder, "conversations").select(
+    return conversations(spark, folder).select(
         "conv_id", "turn", urls.public_origin_url(username, F.col("conv_id")).alias("url")
     )
 

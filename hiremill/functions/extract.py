@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from hiremill import terms
 from hiremill.functions.text import (
-    any_of,
     blank_to_null,
     collapse,
     contains_any,
+    has_any,
+    let,
     lines,
     strip,
     unique_in_order,
@@ -22,10 +23,6 @@ _BULLETS = " -•\t"
 _PART_EDGES = " •,;"
 
 
-def _strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(value) for value in values])
-
-
 def _first(items: Column) -> Column:
     return F.try_element_at(items, F.lit(1))
 
@@ -36,18 +33,23 @@ def keyword_hits(
     generic: str = terms.GENERIC_KEYWORD,
     specific: Sequence[str] = terms.SPECIFIC_KEYWORDS,
 ) -> Column:
-    """Keywords contained in an already lowercase text, in dictionary order."""
-    tests = [F.when(F.contains(lowered, F.lit(word.lower())), F.lit(word)) for word in keywords]
-    found = F.array_compact(F.array(*tests))
-    if not specific:
-        return found
-    return F.when(
-        F.arrays_overlap(found, _strings(specific)), F.array_remove(found, generic)
-    ).otherwise(found)
+    """Keywords contained in an already lowercase text, in dictionary order.
+
+    The generic keyword gives way where a specific one is found.
+    """
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(w.lower()).alias("key")) for w in keywords])
+
+    def hit(entry: Column) -> Column:
+        found = F.contains(lowered, entry["key"])
+        if not specific:
+            return found
+        return found & ~((entry["word"] == generic) & has_any(lowered, specific))
+
+    return F.transform(F.filter(words, hit), lambda entry: entry["word"])
 
 
 def extract_stack(text: Column, **dictionary) -> Column:
-    return keyword_hits(F.lower(text), **dictionary)
+    return let(F.lower(text), lambda lowered: keyword_hits(lowered, **dictionary))
 
 
 def extract_stack_with_evidence(
@@ -58,20 +60,25 @@ def extract_stack_with_evidence(
 ) -> Column:
     """Keywords of the sentences that say the technology is used."""
     sentences = F.split(F.lower(text), r"[\n.!?]+")
-    telling = F.filter(sentences, lambda s: s.rlike(any_of(evidence)))
+    telling = F.filter(sentences, lambda s: has_any(s, evidence))
     hits = F.flatten(F.transform(telling, lambda s: keyword_hits(s, **dictionary)))
     return unique_in_order(F.filter(hits, lambda word: ~word.isin(*vague)))
 
 
+def _has_label(line: Column, pattern: str) -> Column:
+    """The cheap test for a colon spares most lines the pattern."""
+    return line.rlike("[:：]") & line.rlike(pattern)
+
+
 def labeled_lines(text: Column, pattern: str = terms.LABEL_LINE_PATTERN) -> Column:
     """(label, value) of every ``Label: value`` line, in order."""
-    found = F.filter(lines(text), lambda line: line.rlike(pattern))
+    marked = F.transform(
+        F.filter(lines(text), lambda line: line.rlike("[:：]")),
+        lambda line: F.split(F.regexp_replace(line, pattern, "\x00$1\x00$2"), "\x00", 3),
+    )
     return F.transform(
-        found,
-        lambda line: F.struct(
-            collapse(F.lower(F.regexp_extract(line, pattern, 1))).alias("label"),
-            strip(F.regexp_extract(line, pattern, 2)).alias("value"),
-        ),
+        F.filter(marked, lambda part: (F.size(part) == 3) & (part[0] == "")),
+        lambda part: F.struct(collapse(F.lower(part[1])).alias("label"), strip(part[2]).alias("value")),
     )
 
 
@@ -112,7 +119,7 @@ def strip_labeled_lines(
     def is_heading(line: Column) -> Column:
         return F.lower(F.rtrim(strip(line), F.lit(":：-"))).isin(*headings)
 
-    kept = F.filter(lines(text), lambda line: ~line.rlike(pattern) & ~is_heading(line))
+    kept = F.filter(lines(text), lambda line: ~_has_label(line, pattern) & ~is_heading(line))
     return strip(F.array_join(kept, "\n"))
 
 
@@ -125,12 +132,15 @@ def guess_title(
     """A short line naming a role, a role phrase, a line of fitting length, or the default."""
     filled = F.filter(lines(text), lambda line: strip(line) != "")
     heads = F.transform(F.slice(filled, 1, 8), lambda line: strip(line, _BULLETS))
-    role_lines = F.filter(
-        heads, lambda line: (F.length(line) <= 90) & line.rlike(f"(?iu){any_of(nouns)}")
-    )
-    phrase = blank_to_null(collapse(F.regexp_extract(text, pattern, 1)))
-    fitting = F.filter(F.slice(heads, 1, 5), lambda line: F.length(line).between(8, 90))
-    return F.coalesce(_first(role_lines), phrase, _first(fitting), F.lit(default))
+
+    def choose(heads: Column) -> Column:
+        role_lines = F.filter(heads, lambda line: (F.length(line) <= 90) & contains_any(line, nouns))
+        fitting = F.filter(F.slice(heads, 1, 5), lambda line: F.length(line).between(8, 90))
+        # the phrase pattern is slow on texts that name no role
+        phrase = F.when(contains_any(text, nouns), blank_to_null(collapse(F.regexp_extract(text, pattern, 1))))
+        return F.coalesce(_first(role_lines), phrase, _first(fitting), F.lit(default))
+
+    return let(heads, choose)
 
 
 def guess_location(
@@ -142,11 +152,15 @@ def guess_location(
     remote_label: str = terms.REMOTE_LABEL,
 ) -> Column:
     """The rest of the first line that speaks of a location, else the first place word."""
-    line = _first(F.filter(lines(text), lambda x: contains_any(x, markers)))
-    from_line = blank_to_null(F.substring(strip(F.regexp_replace(line, prefix, "")), 1, 120))
     place = blank_to_null(F.regexp_extract(text, places, 1))
-    word = F.when(F.lower(place).isin(*remote), F.lit(remote_label)).otherwise(place)
-    return F.when(line.isNotNull(), from_line).otherwise(word)
+    word = let(place, lambda x: F.when(F.lower(x).isin(*remote), F.lit(remote_label)).otherwise(x))
+    named = F.filter(lines(text), lambda line: contains_any(line, markers))
+
+    def from_line(line: Column) -> Column:
+        rest = blank_to_null(F.substring(strip(F.regexp_replace(line, prefix, "")), 1, 120))
+        return F.when(line.isNotNull(), rest).otherwise(word)
+
+    return let(_first(named), from_line)
 
 
 def parse_stack_value(value: Column, **dictionary) -> Column:

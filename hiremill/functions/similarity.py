@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hiremill.functions.text import comparable_text
+from hiremill.functions.text import comparable_text, let
 
 
 @F.pandas_udf(T.DoubleType())
@@ -33,9 +33,12 @@ def too_similar(left: Column, right: Column, needed: Column, threshold: float) -
     The ratio cannot exceed ``2 * shorter / (left + right)``, so only needed pairs of
     near lengths are sent to Python; every other row travels as null.
     """
-    a, b = comparable_text(left), comparable_text(right)
-    total = F.length(a) + F.length(b)
-    bound = F.when(total > 0, 2 * F.least(F.length(a), F.length(b)) / total).otherwise(1.0)
-    worth = needed & (bound >= threshold)
-    ratio = _ratio(F.when(worth, a), F.when(worth, b))
-    return F.coalesce(ratio >= threshold, F.lit(False))
+    pair = F.when(needed, F.struct(comparable_text(left).alias("a"), comparable_text(right).alias("b")))
+
+    def worth(texts: Column) -> Column:
+        shorter = F.least(F.length(texts["a"]), F.length(texts["b"]))
+        total = F.length(texts["a"]) + F.length(texts["b"])
+        return F.when((total == 0) | (2 * shorter >= threshold * total), texts)
+
+    near = let(pair, worth)
+    return F.coalesce(_ratio(near["a"], near["b"]) >= threshold, F.lit(False))

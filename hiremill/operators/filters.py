@@ -82,11 +82,16 @@ def localization_reason(
     min_ratio: float = terms.MIN_SCRIPT_RATIO,
     max_similarity: float = terms.MAX_ORIGINAL_SIMILARITY,
     reasons: Sequence[str] = terms.LOCALIZATION_REASONS,
+    translate: Column | None = None,
 ) -> Column:
-    """Why a localized text is refused (empty, not in the target script, too similar); null accepts it."""
+    """Why a localized text is refused (empty, not in the target script, too similar); null accepts it.
+
+    ``translate`` says whether the original needs a translation where that is known already.
+    """
     empty, wrong_script, copied = reasons
     present = F.coalesce(localized, F.lit("")) != ""
-    translate = script_below(original, script, letters, min_ratio)
+    if translate is None:
+        translate = script_below(original, script, letters, min_ratio)
     in_script = script_reached(localized, script, letters, min_ratio)
     repeated = too_similar(original, localized, present & translate & in_script, max_similarity)
     return (

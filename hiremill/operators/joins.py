@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hiremill.functions.identity import valid_fingerprint
 
 
-_PREFIX_SIZES = (1, 2, 4, 8)
+_PREFIX_SIZES = (1, 4)
 
 
 def authorized_only(
@@ -44,9 +44,9 @@ def term_match(
 ) -> DataFrame:
     """(key, term) for every dictionary term a text contains, for dictionaries too large for one pattern.
 
-    Substring search as an equi-join: every position of a text is looked up with the next
-    1, 2, 4 and 8 characters, every term under its longest such prefix, and the remaining
-    characters are compared on the spot. No text is paired with the whole dictionary.
+    Substring search as an equi-join: every position of a text is looked up with its next
+    character and its next four, every term under the longer such prefix it has, and the
+    remaining characters are compared on the spot. No text is paired with the whole dictionary.
     """
     words = dictionary.select(F.col(term), F.lower(F.col(term)).alias("_term")).filter(F.length("_term") > 0)
     size = F.lit(_PREFIX_SIZES[0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill import terms
@@ -13,12 +13,19 @@ from hiremill.operators.filters import localization_reason, needs_localization
 def localization_attempts(posts: DataFrame, texts: DataFrame, key: str, **script) -> DataFrame:
     """Every offered text of the posts that need one, normalized, with the reason it is refused.
 
-    posts: key, description. texts: key, model_rank, text.
+    posts: key, description and any other columns. texts: key, model_rank, text.
     """
-    wanted = posts.filter(needs_localization(F.col("description"), **script)).select(key, "description")
-    offered = texts.select(key, "model_rank", trim_text(F.col("text"), terms.MAX_LOCALIZED_CHARS).alias("localized"))
-    tried = offered.join(wanted, key)
-    return tried.withColumn("reason", localization_reason(F.col("description"), F.col("localized"), **script))
+    wanted = posts.filter(needs_localization(F.col("description"), **script))
+    return _with_reason(_offered(texts, key).join(wanted, key), F.lit(True), script)
+
+
+def _offered(texts: DataFrame, key: str) -> DataFrame:
+    return texts.select(key, "model_rank", trim_text(F.col("text"), terms.MAX_LOCALIZED_CHARS).alias("localized"))
+
+
+def _with_reason(attempts: DataFrame, translate: Column, script: dict) -> DataFrame:
+    reason = localization_reason(F.col("description"), F.col("localized"), translate=translate, **script)
+    return attempts.withColumn("reason", reason)
 
 
 def localize_posts(
@@ -28,14 +35,22 @@ def localize_posts(
 
     A post whose texts are all refused keeps its original description, or is left out
     when ``keep_original`` is off. Posts already in the target script are never changed.
+    Posts meet their texts once, and the choice is made on the same partitioning.
     """
-    attempts = localization_attempts(posts, texts, key, **script)
-    accepted = F.when(F.col("reason").isNull(), F.col("model_rank"))
-    best = attempts.groupBy(key).agg(F.min_by("localized", accepted).alias("_localized"))
-    joined = posts.join(best, key, "left")
+    marked = posts.withColumn("_needed", needs_localization(F.col("description"), **script))
+    tried = _with_reason(marked.join(_offered(texts, key), key, "left"), F.col("_needed"), script)
+    usable = F.col("_needed") & F.col("localized").isNotNull() & F.col("reason").isNull()
+    others = [c for c in posts.columns if c != key]
+    chosen = tried.groupBy(key).agg(
+        F.first(F.struct(*others, "_needed")).alias("_post"),
+        F.min_by("localized", F.when(usable, F.col("model_rank"))).alias("_localized"),
+    )
     if not keep_original:
-        joined = joined.filter(F.col("_localized").isNotNull() | ~needs_localization(F.col("description"), **script))
-    return joined.withColumn("description", F.coalesce("_localized", "description")).drop("_localized")
+        chosen = chosen.filter(F.col("_localized").isNotNull() | ~F.col("_post._needed"))
+    description = F.coalesce("_localized", "_post.description").alias("description")
+    return chosen.select(
+        *[key if c == key else description if c == "description" else F.col(f"_post.{c}").alias(c) for c in posts.columns]
+    )
 
 
 def localization_errors(attempts: DataFrame, key: str) -> DataFrame:

@@ -89,8 +89,8 @@ MAX_FIELD_CHARS = 500
 # --- Fixed values: patterns of the message parser (Java syntax) -----------
 URL_PATTERN = r"""(?iU)https?://[^\s\x1c-\x1f<>)"']+"""
 LABEL_LINE_PATTERN = (
-    r"(?iU)^[\s\x1c-\x1f]*(?:[^\wа-яА-ЯёЁ$€£₽]+)?([\wа-яА-ЯёЁ ]{2,24})[\s\x1c-\x1f]*[:：]"
-    r"[\s\x1c-\x1f]*(.+?)[\s\x1c-\x1f]*$"
+    r"(?U)^[\s\x1c-\x1f]*(?:[^\w$€£₽]+)?([\w ]{2,24})[\s\x1c-\x1f]*[:：]"
+    r"[\s\x1c-\x1f]*(.+)$"
 )
 INLINE_STACK_PATTERN = r"(?iU)(?:^|[.\n]\s*)(?:stack|tech stack|skills)\s*[:：]\s*([^.\n]+)"
 ROLE_NOUNS = (

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hiremill import terms
-from hiremill.functions.text import blank_to_null, trim_text
+from hiremill.functions.text import blank_to_null, let, trim_text
 
 # --- Fixed values: card layout --------------------------------------------
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
@@ -44,8 +44,7 @@ def render_card(
     max_description: int = terms.MAX_CARD_DESCRIPTION_CHARS,
 ) -> Column:
     head, tail = _TITLE.split("{}")
-    shown = blank_to_null(F.array_join(F.slice(F.coalesce(stack, F.array().cast("array<string>")), 1, max_tags), ", "))
-    text = blank_to_null(trim_text(description, max_description))
+    shown = F.when(F.size(stack) > 0, F.array_join(F.slice(stack, 1, max_tags), ", "))
     link = F.concat(F.lit("\n" + _LINK[0]), escape_html(blank_to_null(url)), F.lit(_LINK[1]))
     return F.concat_ws(
         "\n",
@@ -54,7 +53,10 @@ def render_card(
         _field(_LOCATION, location),
         _field(_SALARY, salary),
         _field(_STACK, F.coalesce(shown, F.lit(_NO_STACK))),
-        F.concat(F.lit(f"\n{_DESCRIPTION_HEADING}\n"), escape_html(text)),
+        let(
+            trim_text(description, max_description),
+            lambda text: F.concat(F.lit(f"\n{_DESCRIPTION_HEADING}\n"), escape_html(blank_to_null(text))),
+        ),
         link,
         F.concat(F.lit(_SOURCE), escape_html(source)),
     )

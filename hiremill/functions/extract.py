@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from hiremill import terms
 from hiremill.functions.text import (
-    blank_to_null,
     collapse,
     contains_any,
     has_any,
     let,
     lines,
+    non_blank,
     strip,
     unique_in_order,
 )
@@ -137,7 +137,7 @@ def guess_title(
         role_lines = F.filter(heads, lambda line: (F.length(line) <= 90) & contains_any(line, nouns))
         fitting = F.filter(F.slice(heads, 1, 5), lambda line: F.length(line).between(8, 90))
         # the phrase pattern is slow on texts that name no role
-        phrase = F.when(contains_any(text, nouns), blank_to_null(collapse(F.regexp_extract(text, pattern, 1))))
+        phrase = F.when(contains_any(text, nouns), non_blank(collapse(F.regexp_extract(text, pattern, 1))))
         return F.coalesce(_first(role_lines), phrase, _first(fitting), F.lit(default))
 
     return let(heads, choose)
@@ -152,12 +152,12 @@ def guess_location(
     remote_label: str = terms.REMOTE_LABEL,
 ) -> Column:
     """The rest of the first line that speaks of a location, else the first place word."""
-    place = blank_to_null(F.regexp_extract(text, places, 1))
+    place = non_blank(F.regexp_extract(text, places, 1))
     word = let(place, lambda x: F.when(F.lower(x).isin(*remote), F.lit(remote_label)).otherwise(x))
     named = F.filter(lines(text), lambda line: contains_any(line, markers))
 
     def from_line(line: Column) -> Column:
-        rest = blank_to_null(F.substring(strip(F.regexp_replace(line, prefix, "")), 1, 120))
+        rest = non_blank(F.substring(strip(F.regexp_replace(line, prefix, "")), 1, 120))
         return F.when(line.isNotNull(), rest).otherwise(word)
 
     return let(_first(named), from_line)
@@ -177,7 +177,7 @@ def ordered_array_union(first: Column, second: Column) -> Column:
 
 
 def guess_salary(text: Column, pattern: str = terms.SALARY_PATTERN) -> Column:
-    return blank_to_null(collapse(F.regexp_extract(text, pattern, 1)))
+    return non_blank(collapse(F.regexp_extract(text, pattern, 1)))
 
 
 def clean_result_title(title: Column, suffixes: Sequence[str] = terms.TITLE_SUFFIXES) -> Column:
@@ -196,18 +196,23 @@ def strip_hashtags(title: Column, pattern: str = terms.HASHTAG_PATTERN) -> Colum
 
 def role_title(text: Column, patterns: Sequence[str] = terms.ROLE_TITLE_PATTERNS) -> Column:
     """The role phrase of the first pattern that matches, null when none does."""
-    flat = collapse(text)
-    role = F.coalesce(*[blank_to_null(F.regexp_extract(flat, pattern, 1)) for pattern in patterns])
-    role = F.btrim(role, F.lit(" .,:;!?)("))
-    role = F.regexp_replace(F.regexp_replace(role, r"(?U)\s+", " "), r"(?U)\s+-\s+", "-")
-    return F.concat(F.upper(F.substring(role, 1, 1)), F.substring(role, 2, 1 << 30))
+
+    def clean(role: Column) -> Column:
+        bare = F.btrim(role, F.lit(" .,:;!?)("))
+        flat = F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), r"(?U)\s+-\s+", "-")
+        return let(flat, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30)))
+
+    def search(flat: Column) -> Column:
+        return clean(F.coalesce(*[non_blank(F.regexp_extract(flat, pattern, 1)) for pattern in patterns]))
+
+    return let(collapse(text), search)
 
 
 def post_title(
     search_title: Column, snippet: Column, patterns: Sequence[str] = terms.ROLE_TITLE_PATTERNS
 ) -> Column:
     role = role_title(F.concat(search_title, F.lit(". "), snippet), patterns)
-    return F.coalesce(blank_to_null(role), blank_to_null(strip_hashtags(search_title)), search_title)
+    return F.coalesce(non_blank(role), non_blank(strip_hashtags(search_title)), search_title)
 
 
 def tag_markers(

@@ -34,7 +34,12 @@ def collapse(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    return F.when(text != "", text)
+
+
+def non_blank(text: Column) -> Column:
+    """The same for a value that is costly to compute."""
+    return let(text, blank_to_null)
 
 
 def lines(text: Column) -> Column:

@@ -8,6 +8,7 @@ from hiremill import terms
 from hiremill.catalog.base import ledger, posts, query, table, updates, with_views
 from hiremill.operators import applications, profiles
 from hiremill.operators.dedupe import with_fingerprint
+from hiremill.plans import jobs
 from hiremill.sources.ledger import evolve_ledger, lookup_published_url, rows_to_publish
 
 
@@ -23,6 +24,19 @@ def append_published(spark, folder):
     return rows_to_publish(with_fingerprint(posts(spark, folder)), ledger(spark, folder), [F.col("k")])
 
 
+@query(
+    "ledger_maintenance",
+    with_views(
+        ["prints", "ledger"],
+        "SELECT fingerprint, title, source, url FROM ledger UNION ALL (SELECT fingerprint, title, source, url FROM prints "
+        "WHERE fingerprint NOT IN (SELECT fingerprint FROM ledger) "
+        "QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY k) = 1)",
+    ),
+)
+def ledger_maintenance(spark, folder):
+    return jobs.ledger_maintenance(posts(spark, folder), ledger(spark, folder), ["k"])
+
+
 @query(
     "lookup_published_url",
     with_views(

@@ -29,7 +29,7 @@ def sql_text(value: str) -> str:
         r"'(?is)<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style)\s*>', ' ', 'g'), '(?s)<[!/?A-Za-z][^>]*>', ' ', 'g')"
     )
     for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("amp", "&")):
-        bare = f"replace({bare}, '&{name};', '{char}')"
+        bare = rf"regexp_replace({bare}, '&{name}\b;?', '{char}', 'g')"
     return rf"trim(regexp_replace({bare}, '\s+', ' ', 'g'))"
 
 
@@ -140,6 +140,18 @@ def requires_manual_access(spark, folder):
     return rows.select("page_id", manual.alias("manual"))
 
 
+@query(
+    "safety_stop",
+    f"""SELECT page_id, CASE WHEN contains(lower({sql_text('html')}), 'that at') THEN 'Site protection detected.'
+  WHEN page_id % 4 = 0 THEN 'Login is required.' END AS reason FROM pages""",
+)
+def safety_stop(spark, folder):
+    form = F.when(F.col("page_id") % 4 == 0, '<INPUT type="password" name=p>').otherwise("<input type=text>")
+    rows = web_pages(spark, folder).select("page_id", F.concat("html", form).alias("html"))
+    reason = html.safety_stop(html.html_to_text(F.col("html")), F.col("html"), ("that at",))
+    return rows.select("page_id", reason.alias("reason"))
+
+
 # ---------------------------------------------------------------- payloads and feeds
 def _payloads(spark, folder):
     """One payload per post: two non-objects, the post, a bare update link; some payloads are cut off."""

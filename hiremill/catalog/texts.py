@@ -14,6 +14,7 @@ from hiremill.catalog.base import (
     lit,
     posts,
     query,
+    sql_any,
     sql_list,
     sql_unique,
     table,
@@ -278,6 +279,23 @@ def parse_posts(spark, folder):
     return parsed.withColumn("stack", F.array_join("stack", ","))
 
 
+@query(
+    "intake_posts",
+    with_views(
+        ["posts"],
+        "SELECT k, title, coalesce(url, CASE WHEN k % 2 = 0 AND k <> 0 THEN concat('https://t.me/', lower(source), '/', "
+        "CAST(k AS VARCHAR)) END) AS url, CASE WHEN url IS NULL THEN 'Telegram' ELSE 'LinkedIn' END AS source FROM posts "
+        f"WHERE {sql_any('raw_text', terms.ALLOWED_ROLE_TERMS)} AND NOT {sql_any('raw_text', terms.DENIED_ROLE_TERMS)}",
+    ),
+)
+def intake_posts(spark, folder):
+    """Messages forwarded from a channel; every other one names it."""
+    messages = posts(spark, folder).selectExpr(
+        "k", "raw_text AS text", "CASE WHEN k % 2 = 0 THEN lower(source) END AS origin_username", "k AS origin_message_id"
+    )
+    return jobs.intake_posts(messages).select("k", "title", "url", "source")
+
+
 _AS_POST = f"""SELECT position, url, coalesce(nullif(regexp_extract(t, {lit(_ADJECTIVE_FIRST)}, 1), ''), title) AS title,
   snippet AS description, provider AS source, published_epoch
 FROM (SELECT *, regexp_replace(search_title, ' - LinkedIn$', '') AS title,

@@ -104,9 +104,13 @@ def labeled_field_columns(
 
 def extract_labeled_fields(text: Column, labels: Mapping[str, Sequence[str]] = terms.FIELD_LABELS) -> Column:
     """Map of the labelled fields a text holds."""
-    fields = labeled_field_columns(text, labeled_lines(text), labels)
-    entries = F.array(*[F.struct(F.lit(name).alias("key"), value.alias("value")) for name, value in fields.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+    def as_map(labeled: Column) -> Column:
+        fields = labeled_field_columns(text, labeled, labels)
+        entries = [F.struct(F.lit(name).alias("key"), value.alias("value")) for name, value in fields.items()]
+        return F.map_from_entries(F.filter(F.array(*entries), lambda entry: entry["value"].isNotNull()))
+
+    return let(labeled_lines(text), as_map)
 
 
 def strip_labeled_lines(

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hiremill import terms
-from hiremill.functions.text import collapse, contains_any
+from hiremill.functions.text import collapse, contains_any, let
 
 _HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>"
 _COMMENT = r"(?s)<!--.*?-->"
@@ -42,10 +42,11 @@ def decode_entities(text: Column, names: Mapping[str, str] = NAMED_ENTITIES) ->
             piece.rlike(_ENTITY), F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
         ).otherwise(F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&")
-    tail = F.transform(F.slice(pieces, 2, 1 << 30), decode)
-    decoded = F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def join(pieces: Column) -> Column:
+        tail = F.transform(F.slice(pieces, 2, 1 << 30), decode)
+        return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+
+    return let(F.split(text, "&"), join)
 
 
 def strip_tags(html: Column) -> Column:
@@ -89,6 +90,17 @@ def requires_manual_access(
     return contains_any(html_to_text(html), markers) | walled
 
 
+def safety_stop(
+    body: Column,
+    html: Column,
+    markers: Sequence[str] = terms.PAGE_GUARD_MARKERS,
+    reasons: Sequence[str] = terms.PAGE_GUARD_REASONS,
+) -> Column:
+    """Why a form page is left to a person: a protection marker in its text, a login; null to go on."""
+    protected, login = reasons
+    return F.when(contains_any(body, markers), protected).when(has_password_input(html), login)
+
+
 def verified_success(
     body: Column, form_visible: Column, markers: Sequence[str] = terms.SUCCESS_MARKERS
 ) -> Column:

@@ -98,15 +98,6 @@ def decide_clicks(
     aggregated per run of ``run_length`` update ids and the state passes from run to run. A
     pair with any number of clicks is thereby spread over many tasks.
     """
-    if current is None:
-        clicks = clicks.withColumn("status_before", F.lit(None).cast("string"))
-    else:
-        held = current.select(
-            "operator_user_id",
-            F.col("vacancy_fingerprint").alias("vacancy_id"),
-            F.col("status").alias("status_before"),
-        )
-        clicks = clicks.join(held, list(PAIR), "left")
     run = [*PAIR, "_run"]
     clicks = clicks.withColumn("_run", F.floor(F.col("update_id") / run_length))
     in_run = Window.partitionBy(*run).orderBy("update_id")
@@ -117,8 +108,14 @@ def decide_clicks(
     runs = clicks.groupBy(*run).agg(
         F.min("update_id").alias("_first"),
         F.min_by(F.struct("update_id", "outcome", "_next"), settle_at).alias("_settle"),
-        F.first("status_before").alias("status_before"),
     )
+    if current is None:
+        runs = runs.withColumn("_before", F.lit(None).cast("string"))
+    else:
+        held = current.select(
+            "operator_user_id", F.col("vacancy_fingerprint").alias("vacancy_id"), F.col("status").alias("_before")
+        )
+        runs = runs.join(held, list(PAIR), "left")
     by_pair = Window.partitionBy(*PAIR).orderBy("_run")
     runs = (
         runs.withColumn("_after", F.lead("_first").over(by_pair))
@@ -140,21 +137,21 @@ def decide_clicks(
         )
     )
     # a pair settled before this batch: its first click here follows the settled status
-    before = F.col("status_before").isNotNull() & ~F.col("status_before").isin(*retryable)
+    before = F.col("_before").isNotNull() & ~F.col("_before").isin(*retryable)
     state = runs.select(
         *run,
         F.when(
             before,
             F.struct(
                 F.lit(-1).cast("bigint").alias("at"),
-                F.col("status_before").alias("status"),
+                F.col("_before").alias("status"),
                 F.col("_pair_first").alias("next"),
             ),
         )
         .otherwise(F.col("_settled"))
         .alias("_state"),
     )
-    joined = clicks.drop("status_before").join(state, run)
+    joined = clicks.join(state, run)
     late = F.col("_state").isNotNull() & (F.col("update_id") > F.col("_state.at"))
     resumed = (F.col("_state.status") == "submitting") & (F.col("update_id") == F.col("_state.next"))
     counted = F.when(F.col("outcome").isin("submitted", "manual_required"), F.col("outcome")).otherwise("failed")

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from hiremill import terms
 from hiremill.functions import cards, dates, extract
-from hiremill.functions.identity import post_fingerprint
 from hiremill.functions.text import blank_to_null, strip
 from hiremill.functions.urls import detect_source, extract_urls, public_origin_url
 from hiremill.operators import aggregates, applications, discovery, filters, localization, ordering
 from hiremill.operators.dedupe import distinct_urls, new_posts, with_fingerprint
+from hiremill.sources.ledger import evolve_ledger, rows_to_publish
 from hiremill.sources.payloads import candidates_to_posts, scan_search_results
 
 
@@ -180,6 +180,12 @@ def localization_gate(posts: DataFrame, texts: DataFrame, key: str, **options) -
     return localization.localize_posts(posts, texts, key, **options)
 
 
+def ledger_maintenance(posts: DataFrame, ledger: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The ledger after these posts: its rows and the newly inserted ones."""
+    rows = rows_to_publish(with_fingerprint(posts), ledger, [F.col(c) for c in order])
+    return evolve_ledger(ledger, rows)
+
+
 def application_ledger(updates: DataFrame, ledger: DataFrame, **options) -> DataFrame:
     """Status of every application after the whole feed."""
     return applications.final_statuses(applications.decide_updates(updates, ledger, **options))
@@ -188,6 +194,3 @@ def application_ledger(updates: DataFrame, ledger: DataFrame, **options) -> Data
 def unique_candidates(candidates: DataFrame, order: Sequence[str] = ("position",)) -> DataFrame:
     return distinct_urls(candidates, [F.col(c) for c in order])
 
-
-def fingerprints(posts: DataFrame) -> DataFrame:
-    return posts.withColumn("fingerprint", post_fingerprint())

@@ -183,6 +183,8 @@ PROTECTION_MARKERS = (
     "captcha to continue", "complete the captcha", "verify you are human", "unusual traffic",
     "security check", "two-factor", "2fa",
 )
+PAGE_GUARD_MARKERS = ("captcha", "recaptcha", "hcaptcha", "two-factor", "2fa")
+PAGE_GUARD_REASONS = ("Site protection detected.", "Login is required.")
 SUCCESS_MARKERS = (
     "application submitted", "application has been sent", "thank you for applying",
     "thank you for your application", "vielen dank für deine bewerbung",

@@ -238,13 +238,47 @@ def rss_items(spark, folder):
     return scan_rss_items(_feeds(spark, folder))
 
 
+@query(
+    "feed_posts",
+    with_views(
+        ["posts"],
+        f"""SELECT url, k, title, concat(description, ' & more') AS description, {epoch('published_at')} AS seconds
+FROM posts WHERE published_at IS NOT NULL AND k % 10 <> 0 AND url IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY k) = 1""",
+    ),
+)
+def posts_of_feeds(spark, folder):
+    found = jobs.feed_posts(_feeds(spark, folder), "Feed", ["k"])
+    return found.select("url", "k", "title", "description", F.unix_seconds("published_at").alias("seconds"))
+
+
+@query(
+    "page_posts",
+    rf"""SELECT page_id, concat('https://www.linkedin.com/posts/p-activity-', CAST(id AS VARCHAR)) AS url,
+  (id >> 22) // 1000 AS seconds, substr({sql_text(_ARTICLE)}, 1, 4000) AS description
+FROM (SELECT *, 7483822807449600000 + page_id AS id FROM pages)
+WHERE page_id % 5 <> 0 AND NOT contains(lower({sql_text('html')}), 'that at')""",
+)
+def posts_of_pages(spark, folder):
+    """Pages under post addresses; every fifth address has no date in it."""
+    number = (F.lit(7483822807449600000) + F.col("page_id")).cast("string")
+    address = F.concat(
+        F.lit("https://de.linkedin.com/posts/p-"), F.when(F.col("page_id") % 5 == 0, "x-").otherwise("activity-"), number,
+        F.lit("/?a=b"),
+    )
+    rows = web_pages(spark, folder).select("page_id", address.alias("url"), "html")
+    found = jobs.page_posts(rows, "Pages", selectors=("article",), markers=("that at",))
+    return found.select("page_id", "url", F.unix_seconds("published_at").alias("seconds"), "description")
+
+
 @query(
     "scan_messages",
-    "SELECT string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "SELECT string_agg(text, chr(10) ORDER BY conv_id, turn) AS text FROM conversations GROUP BY conv_id // 20",
 )
 def messages(spark, folder):
-    """Every conversation as one text file in the shared work folder, read back whole."""
+    """Twenty conversations each as one text file in the shared work folder, read back whole."""
     target = work_folder(spark, "messages")
-    chats = conversations(spark, folder).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    chats.select("conv_id", "text").write.partitionBy("conv_id").text(target)
+    chats = conversations(spark, folder).withColumn("archive", F.expr("conv_id div 20"))
+    ordered = chats.repartition("archive").sortWithinPartitions("archive", "conv_id", "turn")
+    ordered.select("archive", "text").write.partitionBy("archive").text(target)
     return scan_messages(spark, target).select(F.regexp_replace("text", r"\n\z", "").alias("text"))

@@ -16,6 +16,7 @@ _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"""(?s)<(?:/?[A-Za-z]|[!?])[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>"""
 _ENTITY = r"^(?:#([0-9]{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([A-Za-z][A-Za-z0-9]*));?"
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 _PASSWORD_INPUT = r"""(?is)<input\b[^>]*\btype\s*=\s*(?:"password"|'password'|password[\s/>])"""
 
 # named references of HTML 4, from the standard library; pass another map for more
@@ -60,6 +61,10 @@ def html_to_text(html: Column, names: Mapping[str, str] = NAMED_ENTITIES) -> Col
     return collapse(decode_entities(strip_tags(html), names))
 
 
+def page_title(html: Column) -> Column:
+    return html_to_text(F.regexp_extract(html, _TITLE, 1))
+
+
 def anchor_hrefs(html: Column) -> Column:
     """href values of the anchors in page order, entities decoded."""
     tags = F.regexp_extract_all(html, F.lit(_HREF), F.lit(0))

@@ -95,7 +95,7 @@ def unwrap_redirect_url(href: Column, path: str = "/l/", parameter: str = "uddg"
     raw = F.regexp_extract(href, rf"^[^?#]*\?(?:[^#]*?&)?{parameter}=([^&#]+)", 1)
     target = percent_decode(percent_decode(raw, plus_is_blank=True), plus_is_blank=False)
     return (
-        F.when(F.regexp_extract(href, _PATH, 1) == path, strip(target))
+        F.when(F.regexp_extract(strip(href), _PATH, 1) == path, strip(target))
         .when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href))
         .otherwise(strip(href))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hiremill import terms
 from hiremill.functions.text import trim_text
 from hiremill.operators.filters import localization_reason, needs_localization
+from hiremill.operators.once import select_where
 
 
 def localization_attempts(posts: DataFrame, texts: DataFrame, key: str, **script) -> DataFrame:
@@ -55,4 +56,5 @@ def localize_posts(
 
 def localization_errors(attempts: DataFrame, key: str) -> DataFrame:
     """Every refused text with its reason."""
-    return attempts.filter(F.col("reason").isNotNull()).select(key, "model_rank", "reason")
+    columns = {name: F.col(name) for name in (key, "model_rank", "reason")}
+    return select_where(attempts, columns, lambda row: row["reason"].isNotNull())

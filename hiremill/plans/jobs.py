@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from hiremill import terms
 from hiremill.functions import cards, dates, extract
-from hiremill.functions.text import blank_to_null, strip
-from hiremill.functions.urls import detect_source, extract_urls, public_origin_url
+from hiremill.functions.dates import timestamp_from_activity_id
+from hiremill.functions.html import html_to_text, page_title
+from hiremill.functions.text import blank_to_null, contains_any, strip
+from hiremill.functions.urls import canonicalize_url, detect_source, extract_urls, public_origin_url
 from hiremill.operators import aggregates, applications, discovery, filters, localization, ordering
-from hiremill.operators.dedupe import distinct_urls, new_posts, with_fingerprint
+from hiremill.operators.dedupe import distinct_urls, first_wins, new_posts, with_fingerprint
+from hiremill.operators.once import select_where
+from hiremill.sources.feeds import scan_rss_items
 from hiremill.sources.ledger import evolve_ledger, rows_to_publish
-from hiremill.sources.payloads import candidates_to_posts, scan_search_results
+from hiremill.sources.pages import page_main_text, scan_result_pages
+from hiremill.sources.payloads import candidates_to_posts, scan_search_results, scraped_to_posts
 
 
 def parse_posts(
@@ -143,6 +148,58 @@ def normalize_hits(payloads: DataFrame, payload: str = "payload", **site) -> Dat
     )
 
 
+def feed_posts(feeds: DataFrame, source: str, order: Sequence[str], rss: str = "rss") -> DataFrame:
+    """Posts of RSS feeds, each URL once; ``order`` names the feed columns that order the feeds."""
+    posts = scraped_to_posts(scan_rss_items(feeds, rss), source)
+    return first_wins(posts, ["url"], [*[F.col(c) for c in order], F.col("position")])
+
+
+def result_page_posts(pages: DataFrame, source: str, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Posts of search-result pages, each URL once."""
+    posts = scraped_to_posts(scan_result_pages(pages, key, html), source)
+    return first_wins(posts, ["url"], [F.col(key), F.col("position")])
+
+
+def page_posts(
+    pages: DataFrame,
+    source: str,
+    *,
+    site: str = terms.POST_SITE,
+    prefixes: Sequence[str] = terms.POST_PATH_PREFIXES,
+    selectors: Sequence[str] = terms.MAIN_TEXT_SELECTORS,
+    markers: Sequence[str] = terms.PROTECTION_MARKERS,
+) -> DataFrame:
+    """Posts of post pages (url, html).
+
+    The address gives the date, so pages without one are left out before any is parsed;
+    so are pages that need a person and pages without main text afterwards.
+    """
+    kept = [c for c in pages.columns if c not in ("url", "html")]
+    address = {
+        **{c: F.col(c) for c in kept},
+        "url": canonicalize_url(F.col("url"), site, prefixes),
+        "published_at": timestamp_from_activity_id(F.col("url")),
+        "html": F.col("html"),
+    }
+    dated = select_where(pages, address, lambda row: (row["url"] != "") & row["published_at"].isNotNull())
+    text = page_main_text(F.col("html"), selectors)
+    read = {
+        **{c: F.col(c) for c in (*kept, "url", "published_at")},
+        "description": text,
+        "page_title": page_title(F.col("html")),
+        "guarded": contains_any(html_to_text(F.col("html")), markers),
+    }
+    # a login form matters only where the main text is missing, and those pages go anyway
+    open_pages = select_where(dated, read, lambda row: (row["description"] != "") & ~row["guarded"])
+    titled = open_pages.withColumn("title", extract.post_title(F.col("page_title"), F.col("description")))
+    both = F.concat_ws(" ", "title", "description")
+    return titled.filter(F.col("title") != "").select(
+        *kept, "url", "title", "description", F.lit(source).alias("source"),
+        F.lit(None).cast("string").alias("location"), extract.tag_markers(both).alias("stack"), "published_at",
+        both.alias("raw_text"),
+    )
+
+
 def resolve_dates(rows: DataFrame, *, now: datetime, date_text: str = "date_text", url: str = "url") -> DataFrame:
     """Publication instant, age in whole hours and age class of every row."""
     dated = rows.withColumn("published_at", dates.resolve_published_at(F.col(date_text), F.col(url)))

@@ -17,6 +17,7 @@ from hiremill.operators import profiles, sets
 from hiremill.sources.ledger import evolve_ledger, lookup_published_url, rows_to_publish
 from hiremill.sources.pages import page_main_text, scan_result_pages
 from hiremill.sources.payloads import scan_search_results
+from hiremill.plans import jobs
 from hiremill.sources.feeds import scan_rss_items
 from hiremill.sources.messages import scan_messages
 from hiremill.sources.registry import SourceRegistry
@@ -474,6 +475,33 @@ def test_main_text_of_nested_elements(spark):
     ]
 
 
+def test_page_posts(spark):
+    wall = "<input type='password'>"
+    body = "<p class='attributed-text-segment-list__content'>We hire. Join   us</p>"
+    address = "https://de.linkedin.com/posts/a-activity-7483822807449600000-x"
+    rows = spark.createDataFrame(
+        [
+            (1, address + "?trk=1", f"<title>Senior Go\nDeveloper | X</title>{body}{wall}"),
+            (2, address, wall), (3, address, body + "complete the CAPTCHA"), (4, "https://de.linkedin.com/posts/b", body),
+            (5, "https://evil.org/posts/a-activity-7483822807449600000", body), (6, address, None),
+        ],
+        "page_id int, url string, html string",
+    )
+    found = jobs.page_posts(rows, "Pages").collect()
+    assert [(r.page_id, r.url, r.title, r.description) for r in found] == [
+        (1, address.replace("de.", "www."), "Senior Go Developer", "We hire. Join us")
+    ]
+
+
+def test_result_page_posts(spark):
+    page = PAGE.replace("https%3A%2F%2Fa.b%2F1", "https%3A%2F%2Fwww.linkedin.com%2Fposts%2Fa")
+    rows = spark.createDataFrame([(1, page), (2, page)], "page_id bigint, html string")
+    found = jobs.result_page_posts(rows, "Search").collect()
+    assert [(r.page_id, r.url, r.title, r.description) for r in found] == [
+        (1, "https://www.linkedin.com/posts/a", "One post", "First snippet")
+    ]
+
+
 def test_messages_and_registry(spark, tmp_path):
     folder = tmp_path / "messages"
     folder.mkdir()

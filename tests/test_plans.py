@@ -14,7 +14,7 @@ QUERIES = queries()
 PYTHON = {
     "cap_then_dedupe", "publish_one_shot", "first_provider_with_news", "scan_result_pages", "page_main_text",
     "requires_manual_access", "text_similarity", "validate_localized", "localization_errors", "localization_gate",
-    "localization_gate_strict",
+    "localization_gate_strict", "page_posts",
 }
 
 
@@ -70,5 +70,11 @@ def test_computed_filters_run_once(spark, small):
     assert plan.count("from_json(StructField(title") == 1
 
 
+@pytest.mark.parametrize("name", sorted(PYTHON - {"cap_then_dedupe", "publish_one_shot", "first_provider_with_news"}))
+def test_python_runs_once(spark, small, name):
+    plan = plan_of(QUERIES[name](spark, small))
+    assert plan.count("ArrowEvalPython") + plan.count("MapInPandas") == 1
+
+
 def test_only_similarity_lacks_sql():
     assert set(QUERIES) - set(oracle_sql()) == {"text_similarity", "validate_localized"}

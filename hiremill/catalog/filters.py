@@ -335,7 +335,7 @@ def term_match(spark, folder):
         .unionByName(nations.selectExpr("left(n_name, 1) AS term"))
         .unionByName(table(spark, folder, "customer").selectExpr("c_mktsegment AS term"))
     )
-    return joins.term_match(posts(spark, folder), dictionary, key="k", text="raw_text")
+    return joins.term_match(posts(spark, folder), dictionary, key="k", text="raw_text", max_chars=16)
 
 
 _STORED = (

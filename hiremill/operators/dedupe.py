@@ -56,6 +56,16 @@ def drop_seen(posts: DataFrame, ledger: DataFrame, on: str = "fingerprint") -> D
     return posts.join(ledger.select(on), on, "left_anti")
 
 
+def drop_seen_batch(batch: DataFrame, ledger: DataFrame, on: str = "fingerprint") -> DataFrame:
+    """The same for a small stored batch and a large ledger.
+
+    The ledger is first reduced to the keys of the batch. Spark broadcasts those when the
+    stored batch is small, so the ledger is scanned in place and never shuffled.
+    """
+    met = ledger.select(on).join(batch.select(on), on, "left_semi")
+    return batch.join(met, on, "left_anti")
+
+
 def new_posts(posts: DataFrame, ledger: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Unseen posts, each fingerprint once.
 

@@ -95,23 +95,27 @@ def with_card(posts: DataFrame) -> DataFrame:
     return posts.withColumn("card", card)
 
 
-def eligible_posts(
+def allowed_posts(
     posts: DataFrame,
-    ledger: DataFrame,
     *,
     now: datetime,
     max_age_hours: int,
     require_published_at: bool = False,
-    order: Sequence[str] = ("source_rank", "position"),
     allow: Sequence[str] = terms.ALLOWED_ROLE_TERMS,
     deny: Sequence[str] = terms.DENIED_ROLE_TERMS,
 ) -> DataFrame:
-    """Allowed, fresh posts the ledger does not hold, each once."""
+    """Fresh posts the role policy allows, with fingerprints."""
     fresh = filters.filter_fresh(
         posts, now=now, max_age_hours=max_age_hours, require_published_at=require_published_at
     )
-    allowed = filters.filter_role_policy(fresh, allow, deny)
-    return new_posts(with_fingerprint(allowed), ledger, [F.col(c) for c in order])
+    return with_fingerprint(filters.filter_role_policy(fresh, allow, deny))
+
+
+def eligible_posts(
+    posts: DataFrame, ledger: DataFrame, *, order: Sequence[str] = ("source_rank", "position"), **options
+) -> DataFrame:
+    """Allowed, fresh posts the ledger does not hold, each once."""
+    return new_posts(allowed_posts(posts, **options), ledger, [F.col(c) for c in order])
 
 
 def publishable_posts(
@@ -131,8 +135,7 @@ def publishable_one_shot(
     posts: DataFrame, ledger: DataFrame, *, max_posts: int, now: datetime, max_age_hours: int
 ) -> DataFrame:
     """The one-shot variant: each source is cut to the rest of the cap before dedupe."""
-    fresh = filters.filter_fresh(posts, now=now, max_age_hours=max_age_hours)
-    allowed = with_fingerprint(filters.filter_role_policy(fresh))
+    allowed = allowed_posts(posts, now=now, max_age_hours=max_age_hours)
     return with_card(discovery.cap_then_dedupe(allowed, ledger, max_posts))
 
 

@@ -42,6 +42,11 @@ def application_batch(
     the pairs of this batch.
     """
     spark = updates.sparkSession
+    write_batch(updates, f"{folder}/updates", batch_id)
+    updates = spark.read.schema(updates.schema).parquet(f"{folder}/updates/batch={batch_id}")
+    # the ledger is reduced to the posts of this batch before anything is shuffled
+    asked = updates.select(F.col("vacancy_id").alias("fingerprint"))
+    ledger = ledger.join(asked, "fingerprint", "left_semi")
     log = read_batches(spark, f"{folder}/statuses", _STATUS, before=batch_id)
     touched = updates.filter(F.col("kind") == "apply").select(*PAIR).distinct()
     current = (

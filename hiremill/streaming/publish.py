@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hiremill.operators.dedupe import first_wins, with_fingerprint
+from hiremill.operators.dedupe import drop_seen_batch, first_wins, with_fingerprint
 from hiremill.operators.ordering import publish_cap
-from hiremill.plans.jobs import eligible_posts, with_card
-from hiremill.sources.ledger import LEDGER_COLUMNS, read_batches, rows_to_publish, write_batch
+from hiremill.plans.jobs import allowed_posts, with_card
+from hiremill.sources.ledger import LEDGER_COLUMNS, read_batches, write_batch
 
 DEFAULT_INTERVAL_SECONDS = 900
 
@@ -42,6 +42,19 @@ def _start(
     return writer.trigger(processingTime=f"{interval_seconds} seconds").start()
 
 
+def _stored(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """The batch as written, so that everything derived from it agrees."""
+    write_batch(df, path, batch_id)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch={batch_id}")
+
+
+def _unseen(posts: DataFrame, ledger: DataFrame, folder: str, batch_id: int, order: Sequence[str]) -> DataFrame:
+    """Posts with fingerprints that are new to the ledger, each once."""
+    unique = first_wins(posts, ["fingerprint"], [F.col(c) for c in order])
+    stored = _stored(unique, f"{folder}/unique", batch_id)
+    return _stored(drop_seen_batch(stored, ledger), f"{folder}/eligible", batch_id)
+
+
 def publish_batch(
     posts: DataFrame,
     batch_id: int,
@@ -59,20 +72,12 @@ def publish_batch(
     waiting = read_batches(spark, f"{folder}/pending", schema, before=batch_id)
     waiting = waiting.filter(F.col("batch") == batch_id - 1).select(*posts.columns)
     ledger = read_batches(spark, f"{folder}/published", before=batch_id)
-    eligible = eligible_posts(
-        posts.unionByName(waiting),
-        ledger,
-        now=now,
-        max_age_hours=max_age_hours,
-        require_published_at=require_published_at,
-        order=order,
+    allowed = allowed_posts(
+        posts.unionByName(waiting), now=now, max_age_hours=max_age_hours, require_published_at=require_published_at
     )
-    # written once: the cards, the ledger rows and the waiting rows must agree
-    write_batch(eligible, f"{folder}/eligible", batch_id)
-    eligible = spark.read.schema(eligible.schema).parquet(f"{folder}/eligible/batch={batch_id}")
+    eligible = _unseen(allowed, ledger, folder, batch_id, order)
     # delivery comes before the ledger entry, so a crash repeats a card and never loses one
-    write_batch(with_card(publish_cap(eligible, max_posts, order)), f"{folder}/cards", batch_id)
-    cards = spark.read.parquet(f"{folder}/cards/batch={batch_id}")
+    cards = _stored(with_card(publish_cap(eligible, max_posts, order)), f"{folder}/cards", batch_id)
     write_batch(cards.select(*LEDGER_COLUMNS), f"{folder}/published", batch_id)
     rest = eligible.join(cards.select("fingerprint"), "fingerprint", "left_anti")
     write_batch(rest.select(*posts.columns), f"{folder}/pending", batch_id)
@@ -110,14 +115,9 @@ def stream_cards(posts: DataFrame, folder: str, order: Sequence[str], interval_s
     """Sink for posts that need no policy: unseen posts become cards and ledger rows."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ledger = read_batches(spark, f"{folder}/published", before=batch_id)
-        ordered = [F.col(c) for c in order]
-        fresh = first_wins(with_fingerprint(batch), ["fingerprint"], ordered).join(
-            ledger.select("fingerprint"), "fingerprint", "left_anti"
-        )
-        write_batch(with_card(fresh), f"{folder}/cards", batch_id)
-        cards = spark.read.parquet(f"{folder}/cards/batch={batch_id}")
+        ledger = read_batches(batch.sparkSession, f"{folder}/published", before=batch_id)
+        fresh = _unseen(with_fingerprint(batch), ledger, folder, batch_id, order)
+        cards = _stored(with_card(fresh), f"{folder}/cards", batch_id)
         write_batch(cards.select(*LEDGER_COLUMNS), f"{folder}/published", batch_id)
 
     return _start(posts, handle, folder, interval_seconds)
@@ -128,8 +128,8 @@ def stream_dedupe(posts: DataFrame, folder: str, order: Sequence[str], interval_
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         ledger = read_batches(batch.sparkSession, f"{folder}/published", before=batch_id)
-        rows = rows_to_publish(with_fingerprint(batch), ledger, [F.col(c) for c in order])
-        write_batch(rows, f"{folder}/published", batch_id)
+        fresh = _unseen(with_fingerprint(batch), ledger, folder, batch_id, order)
+        write_batch(fresh.select(*LEDGER_COLUMNS), f"{folder}/published", batch_id)
 
     return _start(posts, handle, folder, interval_seconds)
 

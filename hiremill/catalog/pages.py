@@ -273,12 +273,13 @@ def posts_of_pages(spark, folder):
 
 @query(
     "scan_messages",
-    "SELECT string_agg(text, chr(10) ORDER BY conv_id, turn) AS text FROM conversations GROUP BY conv_id // 20",
+    "SELECT string_agg(text, chr(10) ORDER BY conv_id, turn) AS text FROM conversations "
+    "GROUP BY conv_id // 20, turn // 50",
 )
 def messages(spark, folder):
-    """Twenty conversations each as one text file in the shared work folder, read back whole."""
+    """Up to fifty turns of twenty conversations as one text file each, read back whole."""
     target = work_folder(spark, "messages")
-    chats = conversations(spark, folder).withColumn("archive", F.expr("conv_id div 20"))
-    ordered = chats.repartition("archive").sortWithinPartitions("archive", "conv_id", "turn")
-    ordered.select("archive", "text").write.partitionBy("archive").text(target)
+    chats = conversations(spark, folder).withColumns({"archive": F.expr("conv_id div 20"), "part": F.expr("turn div 50")})
+    ordered = chats.repartition("archive", "part").sortWithinPartitions("archive", "part", "conv_id", "turn")
+    ordered.select("archive", "part", "text").write.partitionBy("archive", "part").text(target)
     return scan_messages(spark, target).select(F.regexp_replace("text", r"\n\z", "").alias("text"))

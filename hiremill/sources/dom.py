@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -33,6 +34,7 @@ class Page(HTMLParser):
         self.elements: list[Element] = []
         self.pieces: list[str] = []
         self._open: list[Element] = []
+        self._open_tags: Counter[str] = Counter()
         self._in_piece = False
         self.feed(html or "")
         self.close()
@@ -50,6 +52,7 @@ class Page(HTMLParser):
             self._finish(element)
         else:
             self._open.append(element)
+            self._open_tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -58,18 +61,18 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._in_piece = False
-        if any(element.tag == tag for element in self._open):
-            while self._open:
-                element = self._open.pop()
-                self._finish(element)
-                if element.tag == tag:
-                    break
+        while self._open_tags[tag]:
+            element = self._open.pop()
+            self._open_tags[element.tag] -= 1
+            self._finish(element)
+            if element.tag == tag:
+                break
 
     def handle_comment(self, data: str) -> None:
         self._in_piece = False
 
     def handle_data(self, data: str) -> None:
-        if any(element.tag in _HIDDEN for element in self._open):
+        if any(self._open_tags[tag] for tag in _HIDDEN):
             return
         if self._in_piece:
             self.pieces[-1] += data
@@ -89,6 +92,17 @@ class Page(HTMLParser):
             element = self.elements[element.parent]
             yield element
 
+    def nearest(self, class_name: str) -> list[Element | None]:
+        """For every element the closest element around it that has the class."""
+        found: list[Element | None] = []
+        for element in self.elements:
+            parent = self.elements[element.parent] if element.parent >= 0 else None
+            if parent is None or class_name in parent.classes:
+                found.append(parent)
+            else:
+                found.append(found[parent.index])
+        return found
+
     def select(self, selectors: str, within: Element | None = None) -> list[Element]:
         """Elements matching any of the comma-separated selectors (tags, classes, attributes, nesting)."""
         chains = [

@@ -6,6 +6,7 @@ pattern can decide stays in Spark expressions, before and after.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -27,7 +28,7 @@ RESULT_CONTAINERS = "li.b_algo"
 CONTAINER_ANCHOR = "h2 a[href],a[href]"
 ANY_ANCHOR = "a[href]"
 RESULT_CLASS = "result"
-ANCHOR_SNIPPETS = (".result__snippet", ".result-snippet")
+SNIPPET_CLASSES = frozenset(("result__snippet", "result-snippet"))
 CONTAINER_SNIPPETS = (".b_caption p", ".b_snippet", ".result__snippet", ".result-snippet", "p")
 DATE_ELEMENTS = "time,.news_dt,[class*=date],[class*=time]"
 
@@ -105,7 +106,19 @@ def scan_result_pages(pages: DataFrame, key: str = "page_id", html: str = "html"
 
 
 def _results(page: Page) -> list[tuple[str, str, str, str]]:
-    found = [_anchor_result(page, anchor) for anchor in page.select(RESULT_ANCHORS)]
+    boxes = page.nearest(RESULT_CLASS)
+    snippets = [e.index for e in page.elements if e.classes & SNIPPET_CLASSES]
+
+    def of_anchor(anchor: Element) -> tuple[str, str, str, str]:
+        box = boxes[anchor.index]
+        inside = snippets[bisect_right(snippets, box.index) : bisect_left(snippets, box.end)] if box else []
+        at = bisect_right(snippets, anchor.index)
+        after = snippets[at : at + 1]
+        texts = (page.text(page.elements[i]) for i in (*inside, *after))
+        date = _date_text(page, box) if box else ""
+        return page.text(anchor), anchor.attrs.get("href", ""), next((t for t in texts if t), ""), date
+
+    found = [of_anchor(anchor) for anchor in page.select(RESULT_ANCHORS)]
     for container in page.select(RESULT_CONTAINERS):
         anchor = page.first(CONTAINER_ANCHOR, container)
         if anchor is not None:
@@ -113,16 +126,7 @@ def _results(page: Page) -> list[tuple[str, str, str, str]]:
             found.append((page.text(anchor), anchor.attrs.get("href", ""), snippet, _date_text(page, container)))
     if any(link.strip() for _, link, _, _ in found):
         return found
-    return [_anchor_result(page, anchor) for anchor in page.select(ANY_ANCHOR)]
-
-
-def _anchor_result(page: Page, anchor: Element) -> tuple[str, str, str, str]:
-    box = next((e for e in page.ancestors(anchor) if RESULT_CLASS in e.classes), None)
-    snippets = page.select(",".join(ANCHOR_SNIPPETS), box) if box else []
-    following = (e for e in page.elements[anchor.index + 1 :] if any(c[1:] in e.classes for c in ANCHOR_SNIPPETS))
-    snippets += [e for e in [next(following, None)] if e is not None]
-    snippet = next((text for text in map(page.text, snippets) if text), "")
-    return page.text(anchor), anchor.attrs.get("href", ""), snippet, _date_text(page, box) if box else ""
+    return [of_anchor(anchor) for anchor in page.select(ANY_ANCHOR)]
 
 
 def _container_snippet(page: Page, container: Element) -> str:

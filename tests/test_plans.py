@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import io
+from datetime import UTC, datetime
 
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from hiremill.operators.dedupe import drop_seen_batch
+from hiremill.operators.filters import filter_fresh
 
 QUERIES = queries()
 # queries whose rules need Python batches; everything else stays in the JVM
@@ -65,6 +68,24 @@ def test_scans_read_only_needed_columns(spark, small):
     assert "ReadSchema: struct<ts:timestamp_ntz>" in plan
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("required", [True, False])
+def test_freshness_reaches_the_scan(spark, tmp_path, kind, required):
+    path = str(tmp_path / "posts")
+    spark.range(3).selectExpr("id", f"CAST('2026-07-20 00:00:00' AS {kind}) AS published_at").write.parquet(path)
+    now = datetime(2026, 7, 20, tzinfo=UTC)
+    fresh = filter_fresh(spark.read.parquet(path), now=now, max_age_hours=48, require_published_at=required)
+    pushed = plan_of(fresh.select("id")).split("PushedFilters: [", 1)[1].split("]", 1)[0]
+    assert "GreaterThanOrEqual(published_at,2026-07-18" in pushed
+
+
+def test_small_batches_leave_the_ledger_in_place(spark, tmp_path):
+    for name in ("batch", "ledger"):
+        spark.range(1000).selectExpr("CAST(id AS STRING) AS fingerprint").write.parquet(str(tmp_path / name))
+    plan = plan_of(drop_seen_batch(*(spark.read.parquet(str(tmp_path / n)) for n in ("batch", "ledger"))))
+    assert "LeftSemi, BuildRight" in plan and "hashpartitioning" not in plan
+
+
 def test_computed_filters_run_once(spark, small):
     plan = plan_of(QUERIES["scan_search_results"](spark, small))
     assert plan.count("from_json(StructField(title") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,13 @@ def read_batches(
     spark: SparkSession, path: str, schema: str = schemas.PUBLISHED, *, before: int | None = None
 ) -> DataFrame:
     """All batches of a table, or those before a batch; a table without batches is empty."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], f"{schema}, batch int")
-    rows = spark.read.schema(f"{schema}, batch int").parquet(path)
+    schema = f"{schema}, batch int"
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiremill.llm import capfilters, language, secrets, simhash, tokenfiles, toxicity
+from hiremill.llm import (
+    boilerplate,
+    capfilters,
+    decontam,
+    kdtree,
+    language,
+    mixing,
+    secrets,
+    simhash,
+    tokenfiles,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +43,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+@query("op2_decontamination")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op3_token_files")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -57,3 +73,18 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_toxicity")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_boilerplate_lines", boilerplate.oracle())
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.drop_boilerplate(table(spark, folder, "pages"))
+
+
+@query("op9_source_mix")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, folder, "documents"))
+
+
+@query("op10_kd_shards")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return kdtree.shard_documents(table(spark, folder, "documents"))

@@ -34,8 +34,11 @@ BLOCK_IDS = 1 << 14
 END_ID = 2
 #: Bytes of text that go to one file, about.
 FILE_TEXT_BYTES = 64 << 20
-#: Words of which a worker remembers the ids.
-CACHE_WORDS = 1_000_000
+#: Words of which a worker remembers the ids, and bytes of text whose words it takes together.
+CACHE_WORDS = 300_000
+BATCH_TEXT_BYTES = 8 << 20
+#: Ids a reader takes together.
+READ_IDS = 1 << 21
 
 
 def bit_width(vocabulary: int) -> int:
@@ -291,9 +294,11 @@ def write_token_files(
 
         def encoded() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
             for batch in batches:
-                names = batch.column("doc_id")
-                ids, counts = known.encode_batch(batch.column("text"), end_id)
-                yield names.fill_null(0).to_numpy(), names.is_valid().to_numpy(zero_copy_only=False), ids, counts
+                sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+                for low, high in _runs(sizes, BATCH_TEXT_BYTES):
+                    names = batch.column("doc_id")[low:high]
+                    ids, counts = known.encode_batch(batch.column("text")[low:high], end_id)
+                    yield names.fill_null(0).to_numpy(), names.is_valid().to_numpy(zero_copy_only=False), ids, counts
 
         written, tokens = write_file(path, encoded(), bit_width(known.vocabulary))
         yield pa.RecordBatch.from_pydict(
@@ -320,7 +325,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples():
                 with TokenFile(row.path) as file:
-                    for low, high in _runs(file.documents[:, 1]):
+                    for low, high in _runs(file.documents[:, 1], READ_IDS):
                         firsts, counts = file.documents[low:high].T
                         ids = file.ids(int(firsts[0]), int(counts.sum())).astype("<u4")
                         data = memoryview(ids.tobytes())
@@ -335,8 +340,8 @@ def read_token_files(index: DataFrame) -> DataFrame:
     return index.repartition(tasks, "file").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _runs(counts: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about `most` ids, or of one document."""
+def _runs(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents whose counts sum up to about `most`, or of one document."""
     before = np.concatenate([[0], np.cumsum(counts)])
     low = 0
     while low < len(counts):

@@ -72,7 +72,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     salted = stored(boilerplate_lines(own, ratio, least_pages), "boilerplate").select(
         "host", "boilerplate", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
-    spread = own.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines"), F.col("lines")[0]), F.lit(SALTS)).cast("int"))
+    spread = own.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines"), F.try_element_at("lines", F.lit(1))), F.lit(SALTS)).cast("int"))
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("boilerplate"), x))
     return (
         spread.join(salted, ["host", "salt"], "left")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hiremill.llm.common import stored
 
-TILE_ROWS = 1024
+TILE_ROWS = 512
 
 
 def in_tiles(
@@ -25,7 +25,7 @@ def in_tiles(
     node: str,
     work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
     schema: str,
-    tile: int = TILE_ROWS,
+    tile: int | None = None,
 ) -> DataFrame:
     """`work(rows, starts)` over whole tiles; `starts` are the first rows of each, the end is the last.
 
@@ -33,6 +33,7 @@ def in_tiles(
     two chunks the column `half` is 0 for one chunk and 1 for the other, so that `work` can skip the
     pairs inside a chunk, which the tile of that chunk alone holds.
     """
+    tile = tile or TILE_ROWS
     sizes = stored(
         rows.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("rows_"))

@@ -95,7 +95,8 @@ def fingerprint_links(fingerprints: DataFrame, distance: int = 4) -> DataFrame:
         for start, stop in zip(starts.tolist(), stops.tolist(), strict=True):
             if stop - start > 2:
                 own = fp[start:stop]
-                root = roots(np.bitwise_count(own[:, None] ^ own[None, :]) <= distance)
+                linked_rows = [np.bitwise_count(own[i : i + 64, None] ^ own[None, :]) <= distance for i in range(0, len(own), 64)]
+                root = roots(np.concatenate(linked_rows))
                 linked = np.flatnonzero(root != np.arange(len(own)))
                 left.append(own[root[linked]])
                 right.append(own[linked])

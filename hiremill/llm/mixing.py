@@ -78,7 +78,7 @@ def allocate(
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         unit_hash(F.col(doc_id), F.coalesce(F.col(text), F.lit("")), seed=SEED).alias("uniform"),
-        (F.lit(1.0) if appeal is None else appeal).alias("appeal"), F.monotonically_increasing_id().alias("row_id"),
+        (F.lit(1.0) if appeal is None else appeal).alias("appeal_"), F.monotonically_increasing_id().alias("row_id"),
         *[F.col(c) for c in keep],
     )
     rows = stored(rows, "mix-rows")
@@ -88,14 +88,14 @@ def allocate(
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sure = F.floor(ratio + F.lit(1e-12)).cast("long")
     inclusion = F.greatest(ratio - sure, F.lit(0.0))
-    odds = F.col("appeal") * inclusion / (1 - inclusion)
+    odds = F.col("appeal_") * inclusion / (1 - inclusion)
     ranked = (
         rows.join(targets, rows["source"].eqNullSafe(targets["to"]))
         .withColumn("sure", sure)
         .withColumn("wanted", F.col("target") - F.col("sure") * F.col("source_size"))
         .withColumn("order_1", pareto_rank(F.col("uniform"), odds / (1 + odds)))
         .withColumn("order_2", unit_hash(F.col("row_id"), seed=SEED + 1))
-        .drop("uniform", "appeal", "to")
+        .drop("uniform", "appeal_", "to")
     )
     for number, name in enumerate(STEPS):
         scale = float(PARTS ** (number % 2 + 1))

@@ -40,10 +40,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table of fewer splits than cores goes to all cores before heavy text work; a large one stays put."""
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a table in fewer files than cores, dealt to all cores before heavy text work.
+
+    A file of one row group is one task however the splits are set; a table of many files stays put.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 # ---------------------------------------------------------------- SQL helpers
@@ -130,19 +133,19 @@ def posts_from_orders(spark: SparkSession, folder: str, orders: DataFrame) -> Da
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
-    return posts_from_orders(spark, folder, spread(table(spark, folder, "orders"), "o_orderkey"))
+    return posts_from_orders(spark, folder, dealt(table(spark, folder, "orders"), "o_orderkey"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return dealt(table(spark, folder, "documents"), "doc_id")
 
 
 def web_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages"), "page_id")
+    return dealt(table(spark, folder, "pages"), "page_id")
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "conversations"), "conv_id")
+    return dealt(table(spark, folder, "conversations"), "conv_id")
 
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:

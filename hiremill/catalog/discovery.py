@@ -235,19 +235,19 @@ def split_intents(spark, folder):
 
 
 _NEWS = (
-    "asked AS (SELECT k // 600 AS cycle, k % 3 + 1 AS intent_pos, source_rank AS provider_rank, source AS provider, "
+    "asked AS (SELECT k // 600 AS cycle, k % 8 + 1 AS intent_pos, source_rank AS provider_rank, source AS provider, "
     "k AS position, concat('u', CAST(k * 7 % 40 AS VARCHAR)) AS url FROM posts),\n"
     "hits AS (SELECT * FROM asked QUALIFY row_number() OVER "
     "(PARTITION BY cycle, intent_pos, provider_rank, url ORDER BY position) = 1),\n"
     "answers AS (SELECT * FROM hits QUALIFY row_number() OVER "
-    "(PARTITION BY cycle, intent_pos, provider_rank ORDER BY position) <= 12),\n"
+    "(PARTITION BY cycle, intent_pos, provider_rank ORDER BY position) <= 13 - intent_pos),\n"
     "acc0 AS (SELECT cycle, intent_pos, provider_rank, position, url FROM answers WHERE false)"
 )
 
 
 def _news_sql() -> str:
     steps = []
-    for intent in (1, 2, 3):
+    for intent in range(1, 9):
         news = (
             f"SELECT a.cycle, a.intent_pos, a.provider_rank, a.position, a.url FROM answers a LEFT JOIN acc{intent - 1} s "
             f"ON a.cycle = s.cycle AND a.url = s.url WHERE a.intent_pos = {intent} AND s.url IS NULL"
@@ -256,16 +256,17 @@ def _news_sql() -> str:
             f"acc{intent} AS (SELECT * FROM acc{intent - 1} UNION ALL (SELECT * FROM ({news}) "
             "QUALIFY provider_rank = min(provider_rank) OVER (PARTITION BY cycle)))"
         )
-    return with_views(["posts"], "").rstrip() + f",\n{_NEWS},\n" + ",\n".join(steps) + "\nSELECT * FROM acc3"
+    return with_views(["posts"], "").rstrip() + f",\n{_NEWS},\n" + ",\n".join(steps) + "\nSELECT * FROM acc8"
 
 
 @query("first_provider_with_news", _news_sql())
 def first_provider_with_news(spark, folder):
     asked = posts(spark, folder).selectExpr(
-        "k div 600 AS cycle", "CAST(k % 3 + 1 AS INT) AS intent_pos", "source_rank AS provider_rank",
+        "k div 600 AS cycle", "CAST(k % 8 + 1 AS INT) AS intent_pos", "source_rank AS provider_rank",
         "source AS provider", "k AS position", "concat('u', k * 7 % 40) AS url",
     )
-    return discovery.first_provider_with_news(asked, per_query=12).drop("provider")
+    quotas = asked.selectExpr("cycle", "intent_pos", "CAST(13 - intent_pos AS INT) AS quota").distinct()
+    return discovery.first_provider_with_news(asked, quotas).drop("provider")
 
 
 # ---------------------------------------------------------------- priority

@@ -23,7 +23,6 @@ from hiremill.catalog.base import (
 from hiremill.functions import html, urls
 from hiremill.functions.extract import error_reason
 from hiremill.functions.identity import valid_fingerprint
-from hiremill.functions.similarity import text_similarity
 from hiremill.operators import applications, filters, joins, localization, sets
 from hiremill.operators.dedupe import drop_seen, with_fingerprint
 from hiremill.sources.registry import SourceRegistry
@@ -185,14 +184,6 @@ def localization_errors(spark, folder):
     return localization.localization_errors(attempts, "doc_id")
 
 
-@query("text_similarity")
-def similarity(spark, folder):
-    """Every document against its own first offered text."""
-    offered = localized_texts(spark, folder).filter("model_rank = 1").withColumnRenamed("text", "other")
-    pairs = _documents(spark, folder).join(offered, "doc_id")
-    return pairs.select("doc_id", text_similarity(F.col("description"), F.col("other")).alias("ratio"))
-
-
 _OFFER_2 = "concat('Éà ô ', source, ' ïé ùà')"
 
 
@@ -325,7 +316,8 @@ def request_to_post(spark, folder):
     with_views(
         ["posts"],
         "SELECT k, term FROM posts JOIN (SELECT n_name AS term FROM nation UNION SELECT n_name[1:1] FROM nation "
-        "UNION SELECT c_mktsegment FROM customer) ON contains(lower(raw_text), lower(term))",
+        "UNION SELECT c_mktsegment FROM customer UNION SELECT substr(raw_text, 1, 5 + k % 196) FROM posts "
+        "WHERE k % 500 = 1) ON contains(lower(raw_text), lower(term))",
     ),
 )
 def term_match(spark, folder):
@@ -335,7 +327,9 @@ def term_match(spark, folder):
         .unionByName(nations.selectExpr("left(n_name, 1) AS term"))
         .unionByName(table(spark, folder, "customer").selectExpr("c_mktsegment AS term"))
     )
-    return joins.term_match(posts(spark, folder), dictionary, key="k", text="raw_text", max_chars=16)
+    rows = posts(spark, folder)
+    long_terms = rows.filter("k % 500 = 1").selectExpr("left(raw_text, CAST(5 + k % 196 AS INT)) AS term")
+    return joins.term_match(rows, dictionary.unionByName(long_terms), key="k", text="raw_text")
 
 
 _STORED = (

@@ -58,7 +58,7 @@ def provider_report(spark, folder):
     ),
 )
 def family_counts(spark, folder):
-    return aggregates.family_counts(candidates(spark, folder).filter("url <> ''"))
+    return aggregates.family_counts(candidates(spark, folder))
 
 
 _HINTS = (
@@ -75,7 +75,7 @@ _HINT_COUNTS = (
 @query("date_hint_counts", with_views(["cands"], f"SELECT {_HINT_COUNTS} FROM ({_HINTS})"))
 def date_hint_counts(spark, folder):
     return aggregates.date_hint_counts(
-        candidates(spark, folder).filter("url <> ''"), now=NOW, max_age_hours=MAX_AGE_HOURS
+        candidates(spark, folder), now=NOW, max_age_hours=MAX_AGE_HOURS
     )
 
 
@@ -90,7 +90,7 @@ FROM ({_HINTS})""",
 )
 def discovery_report(spark, folder):
     return jobs.discovery_report(
-        candidates(spark, folder).filter("url <> ''"), query_log(spark, folder), now=NOW, max_age_hours=MAX_AGE_HOURS
+        candidates(spark, folder), query_log(spark, folder), now=NOW, max_age_hours=MAX_AGE_HOURS
     )
 
 

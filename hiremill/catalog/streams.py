@@ -27,7 +27,8 @@ from hiremill.streaming import publish
 def _stream(spark, folder, name):
     rows = table(spark, folder, name)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return application_stream.read_update_feed(spark, folder, schema, files=f"{name}.parquet", files_per_batch=1)
+    # the table may be one file or a folder of them
+    return application_stream.read_update_feed(spark, f"{folder}/{name}.parquet", schema, files_per_batch=1)
 
 
 def _posts(spark, folder):
@@ -65,7 +66,7 @@ _WAITING = FLAGSHIP_SQL.split("SELECT fingerprint, k, source, title, card FROM (
 def stream_pending(spark, folder):
     """What the capped stream keeps for its next batch."""
     target = _published(spark, folder, 200)
-    return with_fingerprint(publish.read_pending(spark, target, 0)).select("fingerprint", "k")
+    return with_fingerprint(publish.read_pending(spark, target)).select("fingerprint", "k")
 
 
 @query(
@@ -126,19 +127,12 @@ def stream_update_feed(spark, folder):
     ),
 )
 def stream_late_data(spark, folder):
-    """Age is measured at batch time, so a filter on the stream drops old posts whenever they arrive."""
-    from hiremill.operators.filters import filter_fresh
-
+    """Age is measured when a batch runs, so old posts are dropped whenever they arrive."""
     target = work_folder(spark, "late")
-    fresh = filter_fresh(
-        _posts(spark, folder), now=NOW, max_age_hours=MAX_AGE_HOURS, require_published_at=True
-    ).select("k")
-    run = (
-        fresh.writeStream.format("parquet").option("path", f"{target}/rows")
-        .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.read.parquet(f"{target}/rows")
+    publish.stream_fresh(
+        _posts(spark, folder), target, max_age_hours=MAX_AGE_HOURS, clock=lambda: NOW, interval_seconds=None
+    ).awaitTermination()
+    return publish.read_fresh(spark, target).select("k")
 
 
 def _applications(spark, folder):

@@ -19,7 +19,13 @@ _MONTH = (
     r"(?=(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
     r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b)([a-z]{3})[a-z]*"
 )
-_ISO_DATE = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2}(?:\.\d{1,6})?)?(?:(Z)|([+-]\d{2}):?(\d{2}))?)?$"
+# parts: year; month and day, with or without hyphens; week and its day; hour, minutes, seconds, fraction,
+# with or without colons; offset sign and hours, minutes, seconds
+_ISO_DATE = (
+    r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-?W(\d{2})(?:-?([1-7]))?)"
+    r"(?:[\s\S](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
+    r"(?:Z|([+-]\d{2})(?::?(\d{2})(?::?(\d{2}))?)?)?)?$"
+)
 _MAIL_DATE = (
     rf"(?i)^(?:[a-z]{{3,9}},?\s*)?(?:(\d{{1,2}})\s+{_MONTH}|{_MONTH}\s+(\d{{1,2}})),?\s+"
     r"(\d{4}|\d{2})\s+(\d{1,2}:\d{2})(:\d{2})?(?:\s*([+-]\d{4}|[a-z]{1,4}))?(?:\s*\(.*\))?$"
@@ -50,15 +56,24 @@ def from_epoch(text: Column) -> Column:
 
 
 def from_iso(text: Column) -> Column:
-    """ISO-8601 date or date and time. Parts: date, time, seconds, 'Z', offset hours and minutes."""
-    parts = F.split(F.regexp_replace(text, _ISO_DATE, "$1|$2|$3|$4|$5|$6"), r"\|")
+    """ISO-8601 date or date and time, in the extended or the basic form, as a calendar or a week date."""
+    parts = F.split(F.regexp_replace(text, _ISO_DATE, "|".join(f"${i}" for i in range(1, 15))), r"\|")
+
+    def or_zero(part: Column) -> Column:
+        return F.when(part == "", "00").otherwise(part)
 
     def instant(part: Column) -> Column:
-        time = F.when(part[1] == "", "00:00:00").otherwise(
-            F.concat(part[1], F.when(part[2] == "", ":00").otherwise(part[2]))
-        )
-        offset = F.when(part[4] == "", "+00:00").otherwise(F.concat_ws(":", part[4], part[5]))
-        return _instant(part[0], time, offset)
+        year = part[0].cast("int")
+        first = F.when(year > 0, F.make_date(year, F.lit(1), F.lit(4)))
+        monday = F.date_sub(first, F.weekday(first))
+        week = F.nullif(part[5], F.lit("")).cast("int")
+        day = F.date_add(monday, (week - 1) * 7 + F.coalesce(F.nullif(part[6], F.lit("")).cast("int"), F.lit(1)) - 1)
+        month_day = F.concat_ws("-", part[0], F.concat(part[1], part[3]), F.concat(part[2], part[4]))
+        date = F.when(part[5] == "", month_day).otherwise(F.when(F.weekofyear(day) == week, day.cast("string")))
+        fraction = F.when(part[10] == "", "").otherwise(F.concat(F.lit("."), F.substring(part[10], 1, 6)))
+        time = F.concat(F.concat_ws(":", or_zero(part[7]), or_zero(part[8]), or_zero(part[9])), fraction)
+        offset = F.concat_ws(":", F.when(part[11] == "", "+00").otherwise(part[11]), or_zero(part[12]), or_zero(part[13]))
+        return _instant(date, time, F.regexp_replace(offset, ":00$", ""))
 
     return F.when(text.rlike(_ISO_DATE), let(parts, instant))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,34 +14,53 @@ from hiremill.functions.text import collapse, contains_any, let
 _HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>"
 _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"""(?s)<(?:/?[A-Za-z]|[!?])[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>"""
-_ENTITY = r"^(?:#([0-9]{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([A-Za-z][A-Za-z0-9]*));?"
+_ENTITY = r"^(?:#([0-9]+)|#[xX]([0-9A-Fa-f]+));?"
+_CLOSED_NAME = r"^([A-Za-z][A-Za-z0-9]*);"
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 _PASSWORD_INPUT = r"""(?is)<input\b[^>]*\btype\s*=\s*(?:"password"|'password'|password[\s/>])"""
 
-# named references of HTML 4, from the standard library; pass another map for more
-NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()}
+# named references of HTML 5, from the standard library; the common ones of HTML 4 are looked up first
+NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {
+    name[:-1]: value for name, value in html5.items() if name.endswith(";")
+}
+# names that also count without their semicolon, the longest first
+_OPEN_NAMES = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True))
+_WINDOWS = "".join(bytes([code]).decode("cp1252", "replace") for code in range(0x80, 0xA0))
 
 
 def decode_entities(text: Column, names: Mapping[str, str] = NAMED_ENTITIES) -> Column:
-    """Numeric and named character references as characters; unknown names stay."""
+    """Numeric and named character references as characters; unknown names stay.
+
+    A name ends at its semicolon; of one without, the longest known beginning counts. Numbers from
+    128 to 159 mean the characters of the Windows code page.
+    """
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    begin = "^(" + "|".join(n for n in _OPEN_NAMES.split("|") if n in names) + ")"
 
     def decode(piece: Column) -> Column:
         decimal = F.regexp_extract(piece, _ENTITY, 1)
         hexadecimal = F.regexp_extract(piece, _ENTITY, 2)
-        code = F.coalesce(decimal.try_cast("int"), F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10).try_cast("int"))
+        number = F.coalesce(
+            F.nullif(decimal, F.lit("")), F.conv(F.right(F.nullif(hexadecimal, F.lit("")), F.lit(12)), 16, 10)
+        )
+        code = F.when(number.isNotNull(), F.coalesce(number.try_cast("int"), F.lit(-1)))
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        numeric = F.when(
-            valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-        ).otherwise("�")
-        char = F.when(code.isNotNull(), numeric).otherwise(
-            F.try_element_at(table, F.regexp_extract(piece, _ENTITY, 3))
+        windows = F.nullif(F.substring(F.lit(_WINDOWS), code - 0x7F, F.lit(1)), F.lit("\ufffd"))
+        plain = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+        numeric = F.when(valid, F.when(code.between(0x80, 0x9F), F.coalesce(windows, plain)).otherwise(plain)).otherwise("�")
+        closed = F.when(
+            piece.rlike(_CLOSED_NAME), F.try_element_at(table, F.regexp_extract(piece, _CLOSED_NAME, 1))
+        )
+        opened = F.try_element_at(table, F.nullif(F.regexp_extract(piece, begin, 1), F.lit("")))
+        found = F.coalesce(
+            F.when(code.isNotNull(), F.concat(numeric, F.regexp_replace(piece, _ENTITY, ""))),
+            F.concat(closed, F.regexp_replace(piece, _CLOSED_NAME, "")),
+            F.concat(opened, F.regexp_replace(piece, begin, "")),
+            F.concat(F.lit("&"), piece),
         )
-        rest = F.regexp_replace(piece, _ENTITY, "")
-        return F.when(
-            piece.rlike(_ENTITY), F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
-        ).otherwise(F.concat(F.lit("&"), piece))
+        # most pieces of a text are references; a blank or a digit after the mark never is one
+        return F.when(piece.rlike("^[#A-Za-z]"), found).otherwise(F.concat(F.lit("&"), piece))
 
     def join(pieces: Column) -> Column:
         tail = F.transform(F.slice(pieces, 2, 1 << 30), decode)
@@ -50,11 +69,18 @@ def decode_entities(text: Column, names: Mapping[str, str] = NAMED_ENTITIES) ->
     return let(F.split(text, "&"), join)
 
 
+_ATTRIBUTE_ENTITIES = {"amp": "&", "quot": '"', "lt": "<", "gt": ">", "apos": "'"}
+
+
+def visible_markup(html: Column) -> Column:
+    """The page without comments and invisible elements; each leaves one blank."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), _COMMENT, " ")
+    return F.regexp_replace(bare, _HIDDEN, " ")
+
+
 def strip_tags(html: Column) -> Column:
     """Every tag, comment and invisible element as one blank."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), _COMMENT, " ")
-    bare = F.regexp_replace(bare, _HIDDEN, " ")
-    return F.regexp_replace(bare, _TAG, " ")
+    return F.regexp_replace(visible_markup(html), _TAG, " ")
 
 
 def html_to_text(html: Column, names: Mapping[str, str] = NAMED_ENTITIES) -> Column:
@@ -67,14 +93,14 @@ def page_title(html: Column) -> Column:
 
 def anchor_hrefs(html: Column) -> Column:
     """href values of the anchors in page order, entities decoded."""
-    tags = F.regexp_extract_all(html, F.lit(_HREF), F.lit(0))
+    tags = F.regexp_extract_all(visible_markup(html), F.lit(_HREF), F.lit(0))
     return F.transform(
         tags,
         lambda tag: decode_entities(
             F.concat(
                 F.regexp_extract(tag, _HREF, 1), F.regexp_extract(tag, _HREF, 2), F.regexp_extract(tag, _HREF, 3)
             ),
-            {"amp": "&", "quot": '"', "lt": "<", "gt": ">"},
+            _ATTRIBUTE_ENTITIES,
         ),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -9,12 +10,27 @@ from pyspark.sql import functions as F
 
 from hiremill.functions import dates
 from hiremill.functions.extract import safe_error_type
+from hiremill.functions.text import strip
+
+# place of a candidate; pass more columns where positions restart in every result list
+CANDIDATE_ORDER = ("position",)
 
 
 def _count(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
+def with_url(candidates: DataFrame) -> DataFrame:
+    """Candidates with a URL, without the blanks around it."""
+    return candidates.withColumn("url", strip(F.coalesce(F.col("url"), F.lit("")))).filter(F.col("url") != "")
+
+
+def _first(value: str, order: Sequence[str], known: Column | None = None) -> Column:
+    """The value at the first place; the value itself decides between rows of one place."""
+    place = F.struct(*[F.col(c) for c in order], F.col(value))
+    return F.min_by(value, place if known is None else F.when(known, place))
+
+
 def ledger_counts(published: DataFrame, applications: DataFrame) -> DataFrame:
     """Row counts of both ledgers, as one row."""
     tagged = published.select(F.lit("p").alias("t")).unionByName(applications.select(F.lit("a").alias("t")))
@@ -40,11 +56,7 @@ def provider_report(candidates: DataFrame, query_log: DataFrame) -> DataFrame:
         _count(failed).alias("query_errors"),
         F.min_by("error_type", F.when(failed, F.col("ord"))).alias("error_type"),
     )
-    found = (
-        candidates.filter(F.coalesce(F.trim("url"), F.lit("")) != "")
-        .groupBy("provider")
-        .agg(F.count_distinct(F.trim("url")).alias("candidate_count"))
-    )
+    found = with_url(candidates).groupBy("provider").agg(F.count_distinct("url").alias("candidate_count"))
     return asked.join(found, "provider", "left").select(
         "provider",
         F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
@@ -55,19 +67,21 @@ def provider_report(candidates: DataFrame, query_log: DataFrame) -> DataFrame:
     )
 
 
-def family_counts(candidates: DataFrame, order: str = "position") -> DataFrame:
+def family_counts(candidates: DataFrame, order: Sequence[str] = CANDIDATE_ORDER) -> DataFrame:
     """URLs per provider and family; a URL counts for the family that saw it first."""
-    first = candidates.groupBy("provider", "url").agg(F.min_by("family", order).alias("family"))
+    first = with_url(candidates).groupBy("provider", "url").agg(_first("family", order).alias("family"))
     return first.groupBy("provider", "family").agg(F.count(F.lit(1)).alias("urls"))
 
 
-def url_date_hints(candidates: DataFrame, order: str = "position") -> DataFrame:
+def url_date_hints(candidates: DataFrame, order: Sequence[str] = CANDIDATE_ORDER) -> DataFrame:
     """The first known date of every URL, in processing order."""
-    dated = F.when(F.col("published_at").isNotNull(), F.col(order))
-    return candidates.groupBy("url").agg(F.min_by("published_at", dated).alias("published_at"))
+    first = _first("published_at", order, F.col("published_at").isNotNull())
+    return with_url(candidates).groupBy("url").agg(first.alias("published_at"))
 
 
-def date_hint_counts(candidates: DataFrame, *, now: datetime, max_age_hours: int, order: str = "position") -> DataFrame:
+def date_hint_counts(
+    candidates: DataFrame, *, now: datetime, max_age_hours: int, order: Sequence[str] = CANDIDATE_ORDER
+) -> DataFrame:
     hints = url_date_hints(candidates, order)
     cutoff = dates.moment_literal(now - timedelta(hours=max_age_hours), hints.schema["published_at"].dataType)
     published = F.col("published_at")
@@ -79,7 +93,12 @@ def date_hint_counts(candidates: DataFrame, *, now: datetime, max_age_hours: int
 
 
 def discovery_report(
-    candidates: DataFrame, query_log: DataFrame, *, now: datetime, max_age_hours: int, order: str = "position"
+    candidates: DataFrame,
+    query_log: DataFrame,
+    *,
+    now: datetime,
+    max_age_hours: int,
+    order: Sequence[str] = CANDIDATE_ORDER,
 ) -> DataFrame:
     """One row over all providers; its status tells a dead setup from an empty one."""
     known = candidates.join(query_log.select("provider").distinct(), "provider", "left_semi")

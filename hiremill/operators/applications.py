@@ -15,8 +15,6 @@ from hiremill.operators.joins import request_to_post
 PAIR = ("operator_user_id", "vacancy_id")
 # updates of one pair are handled in runs of this many update ids
 RUN_LENGTH = 100_000
-# up to this many listed operators the table of their resumes is broadcast
-BROADCAST_OPERATORS = 10_000
 
 
 def insert_applications(requests: DataFrame, ledger: DataFrame, existing: DataFrame) -> DataFrame:
@@ -207,8 +205,6 @@ def decide_updates(
             .groupBy("operator_user_id")
             .agg(F.min("resume_from").alias("resume_from"))
         )
-    if len(operators) <= BROADCAST_OPERATORS:
-        resumes = F.broadcast(resumes)
     clicks = clicks.join(resumes, "operator_user_id", "left")
     has_resume = F.lit(default_resume) | F.coalesce(F.col("update_id") > F.col("resume_from"), F.lit(False))
     clicks = clicks.withColumn("outcome", F.when(has_resume, F.col("outcome")).otherwise("profile_missing"))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from hiremill.functions.identity import post_fingerprint
 
-# up to this rank Spark cuts every key to its best rows before the shuffle
-_RANK_PUSHDOWN_LIMIT = 1000
 _SPREAD = 64
 
 
@@ -23,13 +21,13 @@ def first_n(
 ) -> DataFrame:
     """The first ``n`` rows per key in a total order, optionally with their rank.
 
-    Spark cuts each key to ``n`` rows before the shuffle while ``n`` is small. Larger
-    ``n`` is first applied to slices of each key, so that a key holding much of the
+    Spark cuts each key to one row per task before the shuffle where one row is wanted.
+    More rows are first taken from slices of each key, so that a key holding much of the
     table is sorted by many tasks and the last one sees at most ``n`` rows per slice.
     """
     if n <= 0:
         return df.limit(0) if rank is None else df.withColumn(rank, F.lit(0)).limit(0)
-    if n > _RANK_PUSHDOWN_LIMIT:
+    if n > 1:
         names = df.columns
         df = df.withColumn("_slice", F.pmod(F.xxhash64(*[F.col(c) for c in hashable(df)]), F.lit(_SPREAD)))
         part = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -75,6 +73,12 @@ def new_posts(posts: DataFrame, ledger: DataFrame, order: Sequence[Column]) -> D
     return drop_seen(first_wins(posts, ["fingerprint"], order), ledger)
 
 
+def ties(df: DataFrame) -> list[Column]:
+    """All columns with an order, to end an order that may hold ties."""
+    return [F.col(c) for c in hashable(df)]
+
+
 def distinct_urls(candidates: DataFrame, order: Sequence[Column], url: str = "url") -> DataFrame:
-    """Each URL once, with the provenance of its first hit."""
-    return first_wins(candidates.filter(F.coalesce(F.col(url), F.lit("")) != ""), [url], order)
+    """Each URL once, with the provenance of its first hit; other columns decide between hits of one place."""
+    known = candidates.filter(F.coalesce(F.col(url), F.lit("")) != "")
+    return first_wins(known, [url], [*order, *ties(known)])

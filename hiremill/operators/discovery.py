@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiremill import terms
-from hiremill.operators.dedupe import first_n, first_wins
+from hiremill.operators.dedupe import first_n, first_wins, ties
 
 Intent = tuple[int, str, str, str]
 
@@ -94,27 +94,28 @@ def default_or_custom_intents(raw: DataFrame, owner: str, query: str = "raw_quer
     return picked.select(owner, "_i.intent_pos", "_i.family", "_i.language", "_i.query")
 
 
-def first_provider_with_news(
-    candidates: DataFrame, per_query: int, max_intents: int = terms.INTENTS_PER_CYCLE
-) -> DataFrame:
+def first_provider_with_news(candidates: DataFrame, quotas: DataFrame) -> DataFrame:
     """Per cycle and intent, the unseen URLs of the first provider that brought any.
 
     Each intent depends on what the earlier ones of its cycle accepted, so a cycle is
-    folded in order. A query returns at most ``per_query`` URLs, which bounds a cycle to
-    ``max_intents * providers * per_query`` rows; cycles run in parallel.
+    folded in order. A query returns at most the quota of its intent, so a cycle has at most
+    its total quota times the number of providers; cycles run in parallel.
 
-    Columns: cycle, intent_pos, provider_rank, provider, position, url.
+    candidates: cycle, intent_pos, provider_rank, provider, position, url. quotas: cycle,
+    intent_pos, quota. An intent without a quota brings nothing.
     """
     columns = ["cycle", "intent_pos", "provider_rank", "provider", "position", "url"]
     query = ["cycle", "intent_pos", "provider_rank"]
-    asked = candidates.select(*columns).filter(F.col("intent_pos") <= max_intents)
-    hits = first_wins(asked, [*query, "url"], [F.col("position")])
-    answers = first_n(hits, query, [F.col("position")], per_query)
+    order = [F.col("position"), F.col("url"), F.col("provider")]
+    hits = first_wins(candidates.select(*columns), [*query, "url"], order)
+    limited = hits.join(quotas.select("cycle", "intent_pos", "quota"), ["cycle", "intent_pos"])
+    place = F.row_number().over(Window.partitionBy(*query).orderBy(*order))
+    answers = limited.withColumn("_place", place).filter(F.col("_place") <= F.col("quota")).select(*columns)
 
     def fold(cycle: pd.DataFrame) -> pd.DataFrame:
         seen: set[str] = set()
         kept = []
-        for _, intent in cycle.sort_values(["intent_pos", "provider_rank", "position"]).groupby("intent_pos"):
+        for _, intent in cycle.sort_values(["intent_pos", "provider_rank", "position", "url"]).groupby("intent_pos"):
             for _, answer in intent.groupby("provider_rank"):
                 news = answer[~answer["url"].isin(seen)]
                 if len(news):
@@ -135,7 +136,7 @@ def cap_then_dedupe(posts: DataFrame, ledger: DataFrame, max_posts: int) -> Data
 
     Columns needed: source_rank, position, fingerprint; zero or less means no cap.
     """
-    order = [F.col("position")]
+    order = [F.col("position"), F.col("fingerprint")]
     if max_posts <= 0:
         from hiremill.operators.dedupe import new_posts
 
@@ -152,15 +153,15 @@ def cap_then_dedupe(posts: DataFrame, ledger: DataFrame, max_posts: int) -> Data
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         published: set[str] = set()
         kept = []
-        for _, source in rows.sort_values(["source_rank", "position"]).groupby("source_rank"):
+        for _, source in rows.sort_values(["source_rank", "position", "fingerprint"]).groupby("source_rank"):
             if len(published) >= max_posts:
                 break
             for row in source.head(max_posts - len(published)).itertuples():
                 if not row.seen and row.fingerprint not in published:
                     published.add(row.fingerprint)
-                    kept.append((row.source_rank, row.position))
-        return pd.DataFrame(kept, columns=["source_rank", "position"])
+                    kept.append((row.source_rank, row.position, row.fingerprint))
+        return pd.DataFrame(kept, columns=names)
 
-    schema = heads.select("source_rank", "position").schema
-    chosen = small.groupBy().applyInPandas(fold, schema)
-    return heads.join(chosen, ["source_rank", "position"], "left_semi")
+    names = ["source_rank", "position", "fingerprint"]
+    chosen = small.groupBy().applyInPandas(fold, heads.select(*names).schema)
+    return first_wins(heads.join(chosen, names, "left_semi"), names, ties(heads))

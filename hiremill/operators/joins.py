@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from hiremill.functions.identity import valid_fingerprint
 
 
-_PREFIX_SIZES = (1, 4)
-
-
 def authorized_only(
     df: DataFrame, allowed: DataFrame | Sequence[int], user: str = "user_id", *, when_empty: str = "everyone"
 ) -> DataFrame:
@@ -40,32 +37,38 @@ def request_to_post(requests: DataFrame, ledger: DataFrame, vacancy: str = "vaca
 
 
 def term_match(
-    texts: DataFrame, dictionary: DataFrame, *, key: str, text: str = "text", term: str = "term", max_chars: int = 64
+    texts: DataFrame, dictionary: DataFrame, *, key: str, text: str = "text", term: str = "term"
 ) -> DataFrame:
     """(key, term) for every dictionary term a text contains, for dictionaries too large for one pattern.
 
-    Substring search as an equi-join: every position of a text is looked up with its next
-    character and its next four, every term under the longer such prefix it has, and the
-    remaining characters are compared on the spot. No text is paired with the whole dictionary.
+    Substring search as an equi-join: the distinct character sequences of a text meet the terms
+    filed under one of theirs, the one fewest terms have. Terms longer than their sequence are then
+    searched in the text itself. No text is paired with the whole dictionary, and a term may have
+    any length.
     """
-    words = dictionary.select(F.col(term), F.lower(F.col(term)).alias("_term")).filter(F.length("_term") > 0)
-    size = F.lit(_PREFIX_SIZES[0])
-    for longer in _PREFIX_SIZES[1:]:
-        size = F.when(F.length("_term") >= longer, longer).otherwise(size)
-    too_long = F.raise_error(F.lit(f"a term is longer than {max_chars} characters"))
-    keyed = words.distinct().select(
-        term,
-        F.when(F.length("_term") <= max_chars, F.col("_term")).otherwise(too_long).alias("_term"),
-        size.alias("_size"),
-    ).withColumn("_prefix", F.expr("left(_term, _size)"))
-    places = texts.select(key, F.lower(F.col(text)).alias("_text")).filter(F.length("_text") > 0)
-    every_place = F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{1,{max_chars}}}))"), F.lit(1))
-    windows = places.select(key, F.explode(every_place).alias("_window"))
-    lookups = windows.select(
-        key, "_window", F.explode(F.array(*[F.lit(n) for n in _PREFIX_SIZES])).alias("_size")
-    ).withColumn("_prefix", F.expr("left(_window, _size)"))
-    met = lookups.join(keyed, ["_size", "_prefix"]).filter(F.startswith(F.col("_window"), F.col("_term")))
-    return met.select(key, term).distinct()
+    words = dictionary.select(F.col(term), F.lower(F.col(term)).alias("_term")).filter(F.length("_term") > 0).distinct()
+    filed = words.withColumn("_gram", F.explode(_grams(F.col("_term"))))
+    spread = filed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = filed.join(spread, "_gram").groupBy(term, "_term").agg(
+        F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram")
+    )
+    found = texts.select(key, F.lower(F.col(text)).alias("_text")).filter(F.length("_text") > 0)
+    pieces = found.select(key, F.explode(F.array_union(_grams(F.col("_text")), _letters(F.col("_text")))).alias("_gram"))
+    met = pieces.join(rarest, "_gram").select(key, term, "_term", "_gram").distinct()
+    settled = met.filter(F.col("_term") == F.col("_gram")).select(key, term)
+    open_pairs = met.filter(F.col("_term") != F.col("_gram")).select(key, term, "_term")
+    checked = open_pairs.join(found, key).filter(F.contains(F.col("_text"), F.col("_term"))).select(key, term)
+    return settled.unionByName(checked).distinct()
+
+
+def _letters(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)))
+
+
+def _grams(text: Column, size: int = 3) -> Column:
+    """Distinct sequences of ``size`` characters; of a shorter text its first character."""
+    every = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    return F.when(F.length(text) >= size, every).otherwise(F.array(F.substring(text, 1, 1)))
 
 
 def intent_quota_zip(intents: DataFrame, quotas: DataFrame, keys: Sequence[str] = ("intent_pos",)) -> DataFrame:

@@ -38,11 +38,14 @@ def localize_posts(
     when ``keep_original`` is off. Posts already in the target script are never changed.
     Posts meet their texts once, and the choice is made on the same partitioning.
     """
-    marked = posts.withColumn("_needed", needs_localization(F.col("description"), **script))
+    # posts of one key are posts of their own, so each row carries a number
+    marked = posts.withColumn("_needed", needs_localization(F.col("description"), **script)).withColumn(
+        "_row", F.monotonically_increasing_id()
+    )
     tried = _with_reason(marked.join(_offered(texts, key), key, "left"), F.col("_needed"), script)
     usable = F.col("_needed") & F.col("localized").isNotNull() & F.col("reason").isNull()
     others = [c for c in posts.columns if c != key]
-    chosen = tried.groupBy(key).agg(
+    chosen = tried.groupBy(key, "_row").agg(
         F.first(F.struct(*others, "_needed")).alias("_post"),
         F.min_by("localized", F.when(usable, F.col("model_rank"))).alias("_localized"),
     )

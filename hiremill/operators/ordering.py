@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.functions import dates
-from hiremill.operators.dedupe import distinct_urls
+from hiremill.operators.dedupe import distinct_urls, ties
 
 
 def priority_tier(published_at: Column, cutoff: Column) -> Column:
@@ -32,7 +32,8 @@ def prioritize(
     candidates: DataFrame, *, now: datetime, max_age_hours: int, order: Sequence[str] = ("position",)
 ) -> DataFrame:
     """Fresh first, then undated, then stale; newest first inside a tier, original order on ties."""
-    return with_tier(candidates, now=now, max_age_hours=max_age_hours).orderBy(*priority_order(order))
+    ranked = with_tier(candidates, now=now, max_age_hours=max_age_hours)
+    return ranked.orderBy(*priority_order(order), *ties(candidates))
 
 
 def top_urls(
@@ -46,12 +47,12 @@ def top_urls(
     """The first ``k`` distinct URLs of the priority order."""
     ranked = with_tier(candidates, now=now, max_age_hours=max_age_hours)
     best = priority_order(order)
-    return distinct_urls(ranked, best).orderBy(*best).limit(max(k, 0))
+    return distinct_urls(ranked, best).orderBy(*best, *ties(candidates)).limit(max(k, 0))
 
 
 def limit_wanted(candidates: DataFrame, wanted: int, order: Sequence[str]) -> DataFrame:
     """The first ``wanted`` candidates in query order; a negative number gives none."""
-    return candidates.orderBy(*order).limit(max(wanted, 0))
+    return candidates.orderBy(*order, *ties(candidates)).limit(max(wanted, 0))
 
 
 def publish_cap(posts: DataFrame, max_posts: int, order: Sequence[str] = ("source_rank", "position")) -> DataFrame:

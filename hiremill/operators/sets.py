@@ -12,7 +12,10 @@ from hiremill.operators.dedupe import drop_seen
 
 
 def union_sources(sources: Sequence[tuple[str, DataFrame | None]]) -> DataFrame:
-    """All sources in registry order with their rank; a source that could not be read is None."""
+    """All sources in registry order with their rank; a source that could not be read is None.
+
+    At least one must have been read, as a table without any has no columns.
+    """
     read = [(rank, name, df) for rank, (name, df) in enumerate(sources) if df is not None]
     if not read:
         raise ValueError("no source could be read")

@@ -6,29 +6,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.functions.extract import clean_result_title
-from hiremill.functions.html import html_to_text
-from hiremill.functions.text import strip
+from hiremill.functions.html import decode_entities, html_to_text
+from hiremill.functions.text import let, strip
 
-_ITEM = "struct<title:string,link:string,description:string,pubDate:string>"
-_FEED = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, _corrupt string"
+_COMMENT = r"(?s)<!--.*?-->"
+_ITEM = r"(?s)<item(?:\s[^>]*)?(?<!/)>(.*?)</item\s*>"
+_TAG = r"<[^>]*>"
+_XML_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def inner_text(markup: Column) -> Column:
+    """Text of an element: tags left out, references decoded, CDATA sections as they are."""
+
+    def plain(part: Column) -> Column:
+        return decode_entities(F.regexp_replace(part, _TAG, ""), _XML_ENTITIES)
+
+    def section(piece: Column) -> Column:
+        end = F.locate("]]>", piece)
+        return F.concat(
+            F.when(end > 0, F.substring(piece, F.lit(1), end - 1)).otherwise(piece),
+            F.when(end > 0, plain(F.substring(piece, end + 3, F.length(piece)))).otherwise(""),
+        )
+
+    def join(pieces: Column) -> Column:
+        tail = F.transform(F.slice(pieces, 2, 1 << 30), section)
+        return F.concat(plain(F.element_at(pieces, 1)), F.array_join(tail, ""))
+
+    return let(F.split(markup, r"<!\[CDATA\["), join)
 
 
 def scan_rss_items(feeds: DataFrame, rss: str = "rss") -> DataFrame:
-    """One row per item of a well-formed feed; blank or malformed feeds give no rows."""
+    """One row per item of a well-formed feed, at any depth; blank or malformed feeds give no rows."""
     parsed = F.from_xml(
-        F.col(rss), _FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        F.col(rss), "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
     kept = [c for c in feeds.columns if c != rss]
     filled = feeds.filter(strip(F.coalesce(F.col(rss), F.lit(""))) != "")
-    whole = filled.select(*kept, parsed.alias("_feed")).filter(F.col("_feed._corrupt").isNull())
-    nothing = F.array().cast(f"array<{_ITEM}>")
-    items = F.concat(
-        F.coalesce(F.col("_feed.channel.item"), nothing), F.coalesce(F.col("_feed.item"), nothing)
+    whole = filled.select(*kept, F.col(rss).alias("_rss"), parsed.alias("_feed")).filter(
+        F.col("_feed._corrupt").isNull()
     )
+    items = F.regexp_extract_all(F.regexp_replace("_rss", _COMMENT, ""), F.lit(_ITEM), F.lit(1))
     rows = whole.select(*kept, F.posexplode(items).alias("_at", "_item"))
 
     def text(name: str) -> Column:
-        return strip(F.coalesce(F.col(f"_item.{name}"), F.lit("")))
+        element = rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>(.*?)</{name}\s*>"
+        return strip(inner_text(F.regexp_extract("_item", element, 1)))
 
     return rows.select(
         *kept,

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from hiremill import terms
 from hiremill.functions.extract import clean_result_title
-from hiremill.functions.html import anchor_hrefs, is_challenge_page, requires_manual_access
+from hiremill.functions.html import (
+    anchor_hrefs,
+    has_password_input,
+    is_challenge_page,
+    requires_manual_access,
+)
 from hiremill.functions.text import any_of
 from hiremill.functions.urls import canonicalize_url, unwrap_redirect_url
 from hiremill.operators.dedupe import first_wins
@@ -69,8 +74,11 @@ def page_links(
     site: str = terms.POST_SITE,
     prefixes: Sequence[str] = terms.POST_PATH_PREFIXES,
 ) -> DataFrame:
-    """Canonical post links of every page, each once, in page order."""
-    links = pages.select(key, F.posexplode(anchor_hrefs(F.col(html))).alias("position", "_href"))
+    """Canonical post links of every page, each once, in page order; a page that needs a person has none."""
+    # the main text matters only beside a login form, so no other page is parsed for it
+    main_text = page_main_text(F.when(has_password_input(F.col(html)), F.col(html)))
+    open_pages = pages.filter(~F.coalesce(requires_manual_access(F.col(html), main_text), F.lit(False)))
+    links = open_pages.select(key, F.posexplode(anchor_hrefs(F.col(html))).alias("position", "_href"))
     columns = {
         key: F.col(key),
         "position": F.col("position"),

@@ -16,15 +16,12 @@ _RESUME = "operator_user_id bigint, resume_from bigint"
 
 
 def read_update_feed(
-    spark: SparkSession, path: str, schema: str, *, files: str = "*.parquet", files_per_batch: int = 100
+    spark: SparkSession, path: str, schema: str, *, files_per_batch: int = 100
 ) -> DataFrame:
-    """The feed as a stream of files; its checkpoint is the offset, which moves on after a batch is done."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
-    )
+    """The feed, a file or a folder, as a stream; its checkpoint is the offset, which moves on after a batch is done."""
+    # a file is no base path of partitions; a pattern that matches it alone has none
+    either = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(either)
 
 
 def application_batch(

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hiremill.operators.dedupe import drop_seen_batch, first_wins, with_fingerprint
+from hiremill.operators.dedupe import drop_seen_batch, first_wins, new_posts, with_fingerprint
+from hiremill.operators.filters import filter_fresh
 from hiremill.operators.ordering import publish_cap
 from hiremill.plans.jobs import allowed_posts, with_card
 from hiremill.sources.ledger import LEDGER_COLUMNS, read_batches, write_batch
@@ -134,6 +135,30 @@ def stream_dedupe(posts: DataFrame, folder: str, order: Sequence[str], interval_
     return _start(posts, handle, folder, interval_seconds)
 
 
+def stream_fresh(
+    posts: DataFrame,
+    folder: str,
+    *,
+    max_age_hours: int,
+    clock: Callable[[], datetime] = _clock,
+    interval_seconds: int | None = DEFAULT_INTERVAL_SECONDS,
+    require_published_at: bool = True,
+) -> StreamingQuery | None:
+    """Posts young enough at the time their batch runs."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fresh = filter_fresh(
+            batch, now=clock(), max_age_hours=max_age_hours, require_published_at=require_published_at
+        )
+        write_batch(fresh, f"{folder}/fresh", batch_id)
+
+    return _start(posts, handle, folder, interval_seconds)
+
+
+def read_fresh(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/fresh").drop("batch")
+
+
 def dedupe_within(posts: DataFrame, event_time: str, max_age: str) -> DataFrame:
     """Bounded memory: copies inside the age limit are dropped, state older than it is forgotten."""
     return posts.withWatermark(event_time, max_age).dropDuplicatesWithinWatermark(["fingerprint"])
@@ -147,5 +172,35 @@ def read_cards(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/cards")
 
 
-def read_pending(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+def read_pending(spark: SparkSession, folder: str, batch_id: int | None = None) -> DataFrame:
+    """What waits after a batch, the last one unless another is named."""
+    if batch_id is None:
+        batch_id = spark.read.parquet(f"{folder}/pending").agg(F.max("batch").alias("last")).first()["last"]
     return spark.read.parquet(f"{folder}/pending/batch={batch_id}")
+
+
+def publish_pending(
+    spark: SparkSession,
+    folder: str,
+    *,
+    now: datetime,
+    max_age_hours: int,
+    max_posts: int,
+    order: Sequence[str] = ("source_rank", "position"),
+    require_published_at: bool = False,
+) -> bool:
+    """One poll without new input: the next posts beyond the cap. False if none is left.
+
+    It belongs between runs of the stream. Its folders have numbers below those of the stream's
+    batches, so neither replaces the other, and the ledger tells the next run what it published.
+    """
+    ledger = read_batches(spark, f"{folder}/published")
+    waiting = allowed_posts(
+        read_pending(spark, folder), now=now, max_age_hours=max_age_hours, require_published_at=require_published_at
+    )
+    first = ledger.agg(F.min("batch").alias("first")).first()["first"]
+    number = min(first if first is not None else 0, -1) - 1
+    chosen = publish_cap(new_posts(waiting, ledger, [F.col(c) for c in order]), max_posts, order)
+    cards = _stored(with_card(chosen), f"{folder}/cards", number)
+    write_batch(cards.select(*LEDGER_COLUMNS), f"{folder}/published", number)
+    return not cards.isEmpty()

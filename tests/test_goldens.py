@@ -367,3 +367,73 @@ def test_error_reasons(spark):
     reasons = dict(terms.ERROR_REASONS)
     assert found == [reasons["login is required"], terms.DEFAULT_ERROR_REASON, None, None]
     assert values(spark, extract.safe_error_type, ["Time out!", "", None]) == ["Time_out_", "Exception", "Exception"]
+
+
+# ---------------------------------------------------------------- references, dates and feeds beyond the common forms
+def one_column(spark, values, expression):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    return [r.x for r in rows.select("i", expression(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_html5_references(spark):
+    import html as standard
+
+    from hiremill.functions.html import decode_entities
+
+    cases = [
+        "it&apos;s", "&check; &lsqb;", "&#146;&#x80;", "&notit; &amp &ampx &copy2", "&unknown; & &; &#; &#99999999;",
+        "&acE;&nbsp;x", "a&lt;b&gt", "AT&T", "&#65;&#x42;",
+    ]
+    wanted = [standard.unescape(c) for c in cases]
+    assert one_column(spark, cases, decode_entities) == wanted
+
+
+def test_iso_forms(spark):
+    from hiremill.functions.dates import parse_source_datetime
+
+    cases = [
+        "2026-07-05T10:00:00.1234567Z", "20260705T100000Z", "2026-07-05T10", "2026-07-05T10:00:00,5Z", "2026-W27-1",
+        "2026W271T10:30+02:00", "2026-W53-1", "2026-W54-1", "2026-07-05 10:00:00+0530", "2026-13-01", "2026-07-05T25:00",
+        "2026-07-05", "2020-W53-7",
+    ]
+    found = one_column(spark, cases, parse_source_datetime)
+
+    def standard(text):
+        try:
+            moment = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        moment = moment if moment.tzinfo else moment.replace(tzinfo=UTC)
+        return moment.astimezone(UTC)
+
+    for text, value in zip(cases, found, strict=True):
+        wanted = standard(text)
+        assert (value is None) == (wanted is None), text
+        if wanted is not None:
+            assert value.replace(tzinfo=UTC) == wanted or value.astimezone(UTC) == wanted, text
+
+
+def test_feeds_with_channels_depth_and_inner_markup(spark):
+    from hiremill.sources.feeds import scan_rss_items
+
+    feed = """<?xml version="1.0"?><rss><!-- <item><title>no</title></item> -->
+<channel><item><title>a <b>bold</b> c</title><link> http://x/1 </link><description>&lt;p&gt;one &amp;amp; two&lt;/p&gt;</description></item></channel>
+<channel><group><item rank="2"><title><![CDATA[x < y & z]]></title><link>http://x/2</link><pubDate>d</pubDate></item></group><item/></channel></rss>"""
+    rows = spark.createDataFrame([(1, feed), (2, "<rss><item>"), (3, " "), (4, None)], "k int, rss string")
+    found = sorted(tuple(r) for r in scan_rss_items(rows).collect())
+    assert found == [
+        (1, 1, "a bold c", "http://x/1", "one & two", ""),
+        (1, 2, "x < y & z", "http://x/2", "", "d"),
+    ]
+
+
+def test_links_skip_comments_scripts_and_guarded_pages(spark):
+    from hiremill.sources.pages import page_links
+
+    link = '<a href="https://www.linkedin.com/posts/{}">x</a>'
+    page = link.format("a") + "<!-- " + link.format("b") + " --><script>s='" + link.format("c") + "'</script>"
+    rows = spark.createDataFrame(
+        [(1, page), (2, page + '<input type="password">'), (3, None)], "page_id int, html string"
+    )
+    found = [(r.page_id, r.url.rsplit("/", 1)[1]) for r in page_links(rows).collect()]
+    assert found == [(1, "a")]

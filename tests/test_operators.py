@@ -7,7 +7,6 @@ from datetime import UTC, datetime, timedelta
 from difflib import SequenceMatcher
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hiremill import terms
@@ -105,7 +104,7 @@ def test_cap_then_dedupe(spark, seed):
     assert len(pairs(discovery.cap_then_dedupe(df, ledger, 0), "fingerprint")) == len({p[2] for p in posts} - seen)
 
 
-def news(rows, per_query):
+def news(rows):
     kept = []
     for cycle in sorted({r[0] for r in rows}):
         seen: set[str] = set()
@@ -113,7 +112,7 @@ def news(rows, per_query):
             for provider in sorted({r[2] for r in rows if r[:2] == (cycle, intent)}):
                 answer: list[tuple] = []
                 for row in sorted(r for r in rows if r[:3] == (cycle, intent, provider)):
-                    if row[4] not in [a[4] for a in answer] and len(answer) < per_query:
+                    if row[4] not in [a[4] for a in answer] and len(answer) < intent:
                         answer.append(row)
                 fresh = [a for a in answer if a[4] not in seen]
                 if fresh:
@@ -126,12 +125,13 @@ def news(rows, per_query):
 @pytest.mark.parametrize("seed", range(3))
 def test_first_provider_with_news(spark, seed):
     rng = random.Random(seed)
-    rows = [(i % 4, rng.randrange(1, 5), rng.randrange(2), i, f"u{rng.randrange(12)}") for i in range(160)]
+    rows = [(i % 4, rng.randrange(1, 9), rng.randrange(2), i, f"u{rng.randrange(12)}") for i in range(160)]
     df = spark.createDataFrame(
         rows, "cycle int, intent_pos int, provider_rank int, position int, url string"
     ).withColumn("provider", F.lit("p"))
-    found = discovery.first_provider_with_news(df, per_query=3)
-    assert pairs(found, "cycle", "intent_pos", "provider_rank", "position", "url") == news(rows, 3)
+    quotas = spark.createDataFrame([(c, i, i) for c in range(4) for i in range(1, 9)], "cycle int, intent_pos int, quota int")
+    found = discovery.first_provider_with_news(df, quotas)
+    assert pairs(found, "cycle", "intent_pos", "provider_rank", "position", "url") == news(rows)
 
 
 def test_priority(spark):
@@ -163,10 +163,12 @@ def test_term_match(spark):
     assert pairs(joins.term_match(rows, dictionary, key="k"), "k", "term") == expected
 
 
-def test_term_match_refuses_overlong_terms(spark):
-    rows = spark.createDataFrame([(1, "abc")], "k int, text string")
-    with pytest.raises(PySparkException, match="longer than 2"):
-        joins.term_match(rows, spark.createDataFrame([("abc",)], "term string"), key="k", max_chars=2).collect()
+def test_term_match_takes_terms_of_any_length(spark):
+    text = "".join(chr(97 + i * 7 % 26) for i in range(500))
+    rows = spark.createDataFrame([(1, text), (2, text[:100]), (3, None), (4, "")], "k int, text string")
+    terms_ = [text[i : i + n] for i, n in ((0, 1), (3, 2), (5, 3), (7, 70), (2, 200), (0, 500))]
+    found = pairs(joins.term_match(rows, spark.createDataFrame([(t,) for t in terms_], "term string"), key="k"), "k", "term")
+    assert found == sorted({(k, t) for k, x in ((1, text), (2, text[:100])) for t in terms_ if t in x})
 
 
 def test_authorized_modes(spark):
@@ -515,3 +517,36 @@ def test_messages_and_registry(spark, tmp_path):
     assert {(r.source, r.source_rank) for r in rows.collect()} == {("files", 1)}
     with pytest.raises(ValueError):
         registry.read(spark, {"gone": str(tmp_path / "nothing")})
+
+
+# ---------------------------------------------------------------- blanks, ties and repeated keys
+def test_reports_trim_and_skip_blank_urls(spark):
+    rows = [("p", u, f, 1, None) for u, f in (("", "a"), (" ", "a"), ("u", "b"), (" u ", "a"), (None, "a"))]
+    df = spark.createDataFrame(rows, "provider string, url string, family string, position int, published_at timestamp")
+    log = spark.createDataFrame([("p", 1, True, None)], "provider string, ord int, ok boolean, error_type string")
+    now = datetime(2026, 7, 20, tzinfo=UTC)
+    assert pairs(aggregates.family_counts(df), "provider", "family", "urls") == [("p", "a", 1)]
+    report = aggregates.discovery_report(df, log, now=now, max_age_hours=24).collect()[0]
+    assert (report.candidate_count, report.unique_count, report.undated) == (1, 1, 1)
+
+
+def test_provenance_does_not_depend_on_the_input_order(spark):
+    rows = [("u", p, f"q{i}", 1) for i, p in enumerate(("b", "a", "c"))]
+    schema = "url string, provider string, query string, position int"
+    found = {
+        tuple(dedupe.distinct_urls(spark.createDataFrame(r, schema), [F.col("position")]).collect()[0])
+        for r in (rows, rows[::-1])
+    }
+    assert found == {("u", "a", "q1", 1)}
+
+
+def test_one_shot_tells_posts_of_one_position_apart(spark):
+    posts = spark.createDataFrame([(0, 1, "old"), (0, 1, "new")], "source_rank int, position int, fingerprint string")
+    ledger = spark.createDataFrame([("old",)], "fingerprint string")
+    assert pairs(discovery.cap_then_dedupe(posts, ledger, 5), "fingerprint") == [("new",)]
+
+
+def test_localization_keeps_posts_of_one_key_apart(spark):
+    posts = spark.createDataFrame([(1, "first text here"), (1, "second text here")], "k int, description string")
+    texts = spark.createDataFrame([], "k int, model_rank int, text string")
+    assert localization.localize_posts(posts, texts, "k").count() == 2

@@ -5,10 +5,9 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from hiremill.catalog import ORACLES, QUERIES
 from tests.oracle import duck_rows, spark_rows
 
-QUERIES, ORACLES = queries(), oracle_sql()
-
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, small, duck, name):
@@ -21,6 +20,7 @@ def test_query_equals_sql(spark, small, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_queries_without_sql_give_rows(spark, small):

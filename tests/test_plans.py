@@ -8,15 +8,14 @@ from datetime import UTC, datetime
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from hiremill.catalog import ORACLES, QUERIES
 from hiremill.operators.dedupe import drop_seen_batch
 from hiremill.operators.filters import filter_fresh
 
-QUERIES = queries()
 # queries whose rules need Python batches; everything else stays in the JVM
 PYTHON = {
     "cap_then_dedupe", "publish_one_shot", "first_provider_with_news", "scan_result_pages", "page_main_text",
-    "requires_manual_access", "text_similarity", "validate_localized", "localization_errors", "localization_gate",
+    "requires_manual_access", "page_links", "validate_localized", "localization_errors", "localization_gate",
     "localization_gate_strict", "page_posts",
 }
 
@@ -98,4 +97,4 @@ def test_python_runs_once(spark, small, name):
 
 
 def test_only_similarity_lacks_sql():
-    assert set(QUERIES) - set(oracle_sql()) == {"text_similarity", "validate_localized"}
+    assert set(QUERIES) - set(ORACLES) == {"validate_localized"}

@@ -166,3 +166,32 @@ def test_bounded_dedupe(spark):
         "checkpointLocation", f"{target}/checkpoint"
     ).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.fingerprint for r in spark.read.parquet(f"{target}/rows").collect()) == ["a", "b", "c"]
+
+
+def test_capped_posts_are_published_without_new_input(spark):
+    source, target = work_folder(spark, "in"), work_folder(spark, "out")
+    drop_files(spark, [[post(i) for i in range(1, 6)]], POSTS, source)
+    run_publish(spark, source, target, max_posts=2)
+    published = [publish.read_published(spark, target).count()]
+    settings = {"now": NOW, "max_age_hours": 48, "max_posts": 2}
+    while publish.publish_pending(spark, target, **settings):
+        published.append(publish.read_published(spark, target).count())
+    assert published == [2, 4, 5]
+    # a later run of the stream knows what those polls published
+    drop_files(spark, [[post(4), post(9)]], POSTS, source)
+    run_publish(spark, source, target, max_posts=2)
+    assert positions(publish.read_cards(spark, target)) == [1, 2, 3, 4, 5, 9]
+
+
+@pytest.mark.parametrize("name", ["stream_dedupe", "stream_update_feed", "stream_late_data"])
+def test_streams_read_a_table_in_a_folder(spark, small, tmp_path, name):
+    import os
+
+    from hiremill.catalog import QUERIES
+
+    for table in ("orders", "events", "customer", "nation"):
+        rows = spark.read.parquet(f"{small}/{table}.parquet")
+        rows.repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert os.path.isdir(tmp_path / "orders.parquet")
+    one = {tuple(r) for r in QUERIES[name](spark, small).collect()}
+    assert {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} == one and one

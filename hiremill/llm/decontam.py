@@ -210,7 +210,7 @@ def build_index(items: Sequence[tuple[int | None, str | None]]) -> Index:
             own_gates = []
             for column in sampled.T:
                 key = _mixed(key, column)
-                gate = np.zeros(1 << 20, dtype=bool)
+                gate = np.zeros(1 << max(16, min((16 * len(rows)).bit_length(), 24)), dtype=bool)
                 gate[(key >> np.uint64(40)).astype(np.int64) & (len(gate) - 1)] = True
                 own_gates.append(gate)
             order = np.argsort(key, kind="stable")

@@ -191,6 +191,7 @@ _UPDATE_COLUMNS = """
        ELSE fingerprint END AS vacancy_id,
   CASE event_id % 6 WHEN 0 THEN 'submitted' WHEN 1 THEN 'loading' WHEN 2 THEN 'submitting' WHEN 3 THEN 'failed'
        WHEN 4 THEN 'queued' ELSE 'manual_required' END AS outcome,
+  CASE event_id % 6 WHEN 3 THEN 'Browser preparation failed.' WHEN 5 THEN 'Site protection detected.' END AS outcome_error,
   CASE WHEN value < 5 THEN 'group' ELSE 'private' END AS chat_type,
   CASE event_id % 5 WHEN 0 THEN 'cv.pdf' WHEN 1 THEN 'cv.DOCX' WHEN 2 THEN '../cv.pdf' WHEN 3 THEN NULL
        ELSE 'cv.txt' END AS file_name,

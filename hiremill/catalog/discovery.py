@@ -245,9 +245,9 @@ _NEWS = (
 )
 
 
-def _news_sql() -> str:
+def _news_sql(last: int = 8, quota: str = "13 - intent_pos") -> str:
     steps = []
-    for intent in range(1, 9):
+    for intent in range(1, last + 1):
         news = (
             f"SELECT a.cycle, a.intent_pos, a.provider_rank, a.position, a.url FROM answers a LEFT JOIN acc{intent - 1} s "
             f"ON a.cycle = s.cycle AND a.url = s.url WHERE a.intent_pos = {intent} AND s.url IS NULL"
@@ -256,7 +256,8 @@ def _news_sql() -> str:
             f"acc{intent} AS (SELECT * FROM acc{intent - 1} UNION ALL (SELECT * FROM ({news}) "
             "QUALIFY provider_rank = min(provider_rank) OVER (PARTITION BY cycle)))"
         )
-    return with_views(["posts"], "").rstrip() + f",\n{_NEWS},\n" + ",\n".join(steps) + "\nSELECT * FROM acc8"
+    answers = _NEWS.replace("13 - intent_pos", quota)
+    return with_views(["posts"], "").rstrip() + f",\n{answers},\n" + ",\n".join(steps) + f"\nSELECT * FROM acc{last}"
 
 
 @query("first_provider_with_news", _news_sql())
@@ -269,6 +270,31 @@ def first_provider_with_news(spark, folder):
     return discovery.first_provider_with_news(asked, quotas).drop("provider")
 
 
+_RUN_TIER = (
+    f"CASE WHEN published_at IS NULL THEN 1 WHEN published_at >= {CUTOFF_SQL} THEN 2 ELSE 0 END"
+)
+
+
+@query(
+    "discovery_queue",
+    "SELECT * FROM (SELECT cycle, n.intent_pos, n.provider_rank, position, n.url, tier, family, language, row_number() OVER "
+    "(PARTITION BY cycle ORDER BY tier DESC, published_at DESC NULLS LAST, n.intent_pos, position, n.url) AS rank "
+    f"FROM (SELECT n.*, p.published_at, {_RUN_TIER} AS tier FROM ("
+    + "WITH "
+    + _news_sql(6, "CASE WHEN intent_pos <= 2 THEN 4 ELSE 3 END").split("WITH ", 1)[1]
+    + ") n JOIN (" + with_views(["posts"], "SELECT k, published_at FROM posts") + ") p ON n.position = p.k) n "
+    + f"JOIN {_INTENT_TABLE} ON i.intent_pos = (cycle * 6 + n.intent_pos - 1) % 24 + 1) WHERE rank <= 5",
+)
+def discovery_queue(spark, folder):
+    """Rotation, quotas, provider fallback, priority and top k in one plan."""
+    asked = posts(spark, folder).selectExpr(
+        "k div 600 AS cycle", "CAST(k % 8 + 1 AS INT) AS intent_pos", "source_rank AS provider_rank",
+        "source AS provider", "k AS position", "concat('u', k * 7 % 40) AS url", "published_at",
+    )
+    found = jobs.discovery_run(asked, 5, total=20, now=NOW, max_age_hours=MAX_AGE_HOURS)
+    return found.select("cycle", "intent_pos", "provider_rank", "position", "url", "tier", "family", "language", "rank")
+
+
 # ---------------------------------------------------------------- priority
 _TIER = f"CASE WHEN published_at IS NULL THEN 1 WHEN published_at >= {CUTOFF_SQL} THEN 2 ELSE 0 END"
 _URLS = (

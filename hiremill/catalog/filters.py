@@ -341,7 +341,10 @@ _STORED = (
 
 @query(
     "profile_with_defaults",
-    f"""SELECT c_custkey AS operator_user_id, c_name AS full_name,
+    f"""SELECT c_custkey AS operator_user_id, c_name AS full_name, concat(lower(c_name), '@x.y') AS email,
+  CASE WHEN c_nationkey % 3 > 0 THEN CAST(c_nationkey AS VARCHAR) END AS phone,
+  concat_ws(';', CASE WHEN c_nationkey % 2 = 0 THEN 'cover_letter=hello' END, concat('personal_url=https://', c_mktsegment))
+    AS extra,
   CASE WHEN s.file IS NOT NULL THEN s.name ELSE 'default.pdf' END AS resume_original_name,
   coalesce(s.file, CASE WHEN c_nationkey > 10 THEN 'f-default' END) AS resume_file_id
 FROM customer LEFT JOIN (SELECT user_id, 
@@ -351,14 +354,20 @@ FROM customer LEFT JOIN (SELECT user_id,
 )
 def profile_with_defaults(spark, folder):
     configured = table(spark, folder, "customer").selectExpr(
-        "c_custkey AS operator_user_id", "c_name AS full_name", "'default.pdf' AS resume_original_name",
+        "c_custkey AS operator_user_id", "concat('  ', c_name, chr(10)) AS full_name",
+        "concat(lower(c_name), '@x.y ') AS email",
+        "CASE c_nationkey % 3 WHEN 0 THEN ' ' ELSE concat(' ', c_nationkey) END AS phone",
+        "concat('https://', c_mktsegment, ' ') AS personal_url",
+        "CASE WHEN c_nationkey % 2 = 0 THEN ' hello' ELSE ' ' END AS cover_letter", "'default.pdf' AS resume_original_name",
         "CASE WHEN c_nationkey > 10 THEN ' f-default ' ELSE ' ' END AS resume_file_id",
     )
     log = table(spark, folder, "events").selectExpr("event_id", *_STORED)
     stored = log.groupBy("operator_user_id").agg(
         F.max_by(F.struct("resume_original_name", "resume_file_id"), "event_id").alias("r")
     )
-    return joins.profile_with_defaults(configured, stored.select("operator_user_id", "r.*"))
+    found = joins.profile_with_defaults(configured, stored.select("operator_user_id", "r.*"))
+    pairs = F.transform(F.array_sort(F.map_entries("extra_fields")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.withColumn("extra", F.array_join(pairs, ";")).drop("extra_fields")
 
 
 _OUTCOME = (

@@ -48,7 +48,7 @@ def published_urls(spark, folder):
     return lookup_published_url(updates(spark, folder), ledger(spark, folder)).select("update_id", "published_url")
 
 
-_EXISTING = "operator_user_id = 0 AND update_id < 2000"
+_EXISTING = "operator_user_id = 0 AND update_id % 5 = 0"
 
 
 @query(
@@ -224,6 +224,25 @@ def parse_extra_fields(spark, folder):
     return found.select("user_id", shown.alias("extra_fields"))
 
 
+_PROFILE_VALUE = (
+    "CASE event_id % 5 WHEN 0 THEN concat(' ', event_type, ' ') WHEN 1 THEN '  ' WHEN 2 THEN ' {skip} ' "
+    "WHEN 3 THEN repeat('x', 250 + CAST(event_id % 13 AS INTEGER)) END"
+)
+
+
+@query(
+    "clean_profile_value",
+    f"""SELECT event_id, CASE WHEN t NOT IN ('', '{terms.SKIP_TEXT}') AND length(t) <= 256 THEN t END AS value,
+  length(t) <= 256 AS valid
+FROM (SELECT event_id, coalesce(trim({_PROFILE_VALUE.format(skip=terms.SKIP_TEXT)}), '') AS t FROM events)""",
+)
+def clean_profile_value(spark, folder):
+    entries = table(spark, folder, "events").selectExpr(
+        "event_id", f"{_PROFILE_VALUE.format(skip=terms.SKIP_TEXT)} AS text"
+    )
+    return entries.select("event_id", profiles.clean_profile_value(F.col("text")).alias("v")).select("event_id", "v.*")
+
+
 @query(
     "evolve_ledger",
     with_views(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hiremill.catalog.base import (
+    CUTOFF_SQL,
+    MAX_AGE_HOURS,
+    NOW,
     conversations,
     epoch,
     posts,
@@ -198,13 +201,13 @@ def search_results(spark, folder):
     with_views(
         ["prints"],
         f"""SELECT k, url, substr(sha256(lower(url)), 1, 32) AS fingerprint, source, {epoch('published_at')} AS seconds
-FROM prints WHERE url IS NOT NULL AND k % 13 <> 0""",
+FROM (SELECT * FROM prints WHERE url IS NOT NULL AND k % 13 <> 0
+  QUALIFY row_number() OVER (PARTITION BY source, url ORDER BY k) = 1) WHERE published_at >= {CUTOFF_SQL}""",
     ),
 )
 def normalized_hits(spark, folder):
-    return jobs.normalize_hits(_payloads(spark, folder)).select(
-        "k", "url", "fingerprint", "source", F.unix_seconds("published_at").alias("seconds")
-    )
+    found = jobs.normalize_hits(_payloads(spark, folder), order=["k"], now=NOW, max_age_hours=MAX_AGE_HOURS)
+    return found.select("k", "url", "fingerprint", "source", F.unix_seconds("published_at").alias("seconds"))
 
 
 _ITEM = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hiremill import terms
 from hiremill.catalog.base import (
     CUTOFF_SQL,
     MAX_AGE_HOURS,
@@ -11,6 +12,7 @@ from hiremill.catalog.base import (
     OPERATORS,
     candidates,
     ledger,
+    lit,
     posts,
     query,
     query_log,
@@ -20,6 +22,7 @@ from hiremill.catalog.base import (
 )
 from hiremill.catalog.filters import FRESH_SQL, ROLE_SQL
 from hiremill.functions import dates
+from hiremill.functions.extract import error_reason
 from hiremill.operators import aggregates, applications, filters
 from hiremill.plans import jobs
 
@@ -135,26 +138,31 @@ DECISIONS = f"""
 resumes AS (SELECT operator_user_id, min(update_id) AS resume_from FROM updates
   WHERE kind = 'resume' AND upload_reason IS NULL GROUP BY operator_user_id),
 clicks AS (SELECT u.update_id, u.operator_user_id, u.vacancy_id, l.fingerprint AS known, l.url,
-  CASE WHEN u.update_id > r.resume_from THEN u.outcome ELSE 'profile_missing' END AS outcome
+  CASE WHEN u.update_id > r.resume_from THEN u.outcome ELSE 'profile_missing' END AS outcome,
+  CASE WHEN u.update_id > r.resume_from THEN u.outcome_error ELSE {lit(terms.NO_RESUME_ERROR)} END AS outcome_error
   FROM updates u LEFT JOIN resumes r USING (operator_user_id) LEFT JOIN ledger l ON u.vacancy_id = l.fingerprint
   WHERE kind = 'apply' AND u.operator_user_id IN (0, 1)),
-settled AS (SELECT operator_user_id, vacancy_id, min(update_id) AS settled_at, arg_min(outcome, update_id) AS status
+settled AS (SELECT operator_user_id, vacancy_id, min(update_id) AS settled_at, arg_min(outcome, update_id) AS status,
+  min_by(struct_pack(e := outcome_error), update_id).e AS error
   FROM clicks WHERE url IS NOT NULL AND outcome NOT IN {_RETRY} GROUP BY operator_user_id, vacancy_id),
-after AS (SELECT c.*, s.settled_at, s.status, row_number() OVER (PARTITION BY operator_user_id, vacancy_id,
+after AS (SELECT c.*, s.settled_at, s.status, s.error, row_number() OVER (PARTITION BY operator_user_id, vacancy_id,
     c.update_id > s.settled_at ORDER BY update_id) AS place
   FROM clicks c LEFT JOIN settled s USING (operator_user_id, vacancy_id) WHERE url IS NOT NULL),
 decisions AS (
   SELECT update_id, CASE WHEN kind = 'resume' AND upload_reason IS NULL THEN 'resume_updated' ELSE 'skipped' END
-    AS decision, false AS processed, NULL AS status_after, operator_user_id, vacancy_id
+    AS decision, false AS processed, NULL AS status_after, NULL AS error_after, operator_user_id, vacancy_id
   FROM updates WHERE NOT (kind = 'apply' AND operator_user_id IN (0, 1))
-  UNION ALL SELECT update_id, 'failed', false, CASE WHEN known IS NOT NULL THEN 'failed' END, operator_user_id, vacancy_id
+  UNION ALL SELECT update_id, 'failed', false, CASE WHEN known IS NOT NULL THEN 'failed' END,
+    CASE WHEN known IS NOT NULL THEN {lit(terms.NO_URL_ERROR)} END, operator_user_id, vacancy_id
   FROM clicks WHERE url IS NULL
   UNION ALL SELECT update_id, CASE WHEN settled_at IS NULL OR update_id <= settled_at THEN
       CASE WHEN outcome IN ('submitted', 'manual_required') THEN outcome ELSE 'failed' END
       WHEN status = 'submitting' AND place = 1 THEN 'manual_required' WHEN status = 'failed' THEN 'failed'
       ELSE 'skipped' END, settled_at IS NULL OR update_id <= settled_at,
     CASE WHEN settled_at IS NULL OR update_id <= settled_at THEN outcome WHEN status = 'submitting' THEN 'manual_required'
-      ELSE status END, operator_user_id, vacancy_id FROM after)"""
+      ELSE status END,
+    CASE WHEN settled_at IS NULL OR update_id <= settled_at THEN outcome_error
+      WHEN status = 'submitting' THEN {lit(terms.INTERRUPTED_ERROR)} ELSE error END, operator_user_id, vacancy_id FROM after)"""
 
 
 def decisions_sql(select: str) -> str:
@@ -168,9 +176,12 @@ def _decisions(spark, folder):
     )
 
 
-@query("application_decisions", decisions_sql("SELECT update_id, decision, processed, status_after FROM decisions"))
+@query(
+    "application_decisions",
+    decisions_sql("SELECT update_id, decision, processed, status_after, error_after FROM decisions"),
+)
 def application_decisions(spark, folder):
-    return _decisions(spark, folder).select("update_id", "decision", "processed", "status_after")
+    return _decisions(spark, folder).select("update_id", "decision", "processed", "status_after", "error_after")
 
 
 @query(
@@ -191,12 +202,24 @@ def queue_tally(spark, folder):
     return applications.queue_tally(_decisions(spark, folder))
 
 
+_REASONS = (
+    "WHEN coalesce(last.e, '') = '' THEN NULL "
+    + " ".join(f"WHEN contains(lower(last.e), {lit(marker)}) THEN {lit(told)}" for marker, told in terms.ERROR_REASONS)
+    + f" ELSE {lit(terms.DEFAULT_ERROR_REASON)}"
+)
 FINAL_SQL = decisions_sql(
-    "SELECT operator_user_id, vacancy_id, arg_max(status_after, update_id) AS status FROM decisions "
-    "WHERE status_after IS NOT NULL GROUP BY operator_user_id, vacancy_id"
+    "SELECT operator_user_id, vacancy_id, last.s AS status, last.e AS error, "
+    + f"CASE {_REASONS} END AS public_reason FROM (SELECT operator_user_id, vacancy_id, "
+    "max_by(struct_pack(s := status_after, e := error_after), update_id) AS last FROM decisions "
+    "WHERE status_after IS NOT NULL GROUP BY operator_user_id, vacancy_id)"
 )
 
 
+def explained(statuses):
+    """Final states with what the operator is told about the error."""
+    return statuses.withColumn("public_reason", error_reason(F.col("error")))
+
+
 @query("application_ledger", FINAL_SQL)
 def application_ledger(spark, folder):
-    return jobs.application_ledger(updates(spark, folder), ledger(spark, folder), operators=OPERATORS)
+    return explained(jobs.application_ledger(updates(spark, folder), ledger(spark, folder), operators=OPERATORS))

@@ -16,7 +16,7 @@ from hiremill.catalog.base import (
     with_views,
 )
 from hiremill.catalog.discovery import ELIGIBLE_SQL, FLAGSHIP_SQL
-from hiremill.catalog.reports import FINAL_SQL, decisions_sql
+from hiremill.catalog.reports import FINAL_SQL, decisions_sql, explained
 from hiremill.operators.dedupe import with_fingerprint
 from hiremill.session import work_folder
 from hiremill.sources.ledger import write_batch
@@ -145,13 +145,14 @@ def _applications(spark, folder):
 
 
 @query(
-    "stream_application_decisions", decisions_sql("SELECT update_id, decision, processed, status_after FROM decisions")
+    "stream_application_decisions",
+    decisions_sql("SELECT update_id, decision, processed, status_after, error_after FROM decisions"),
 )
 def stream_application_decisions(spark, folder):
     decided = application_stream.read_decisions(spark, _applications(spark, folder))
-    return decided.select("update_id", "decision", "processed", "status_after")
+    return decided.select("update_id", "decision", "processed", "status_after", "error_after")
 
 
 @query("stream_application_statuses", FINAL_SQL)
 def stream_application_statuses(spark, folder):
-    return application_stream.latest_statuses(spark, _applications(spark, folder))
+    return explained(application_stream.latest_statuses(spark, _applications(spark, folder)))

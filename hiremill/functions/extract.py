@@ -65,23 +65,45 @@ def extract_stack_with_evidence(
     return unique_in_order(F.filter(hits, lambda word: ~word.isin(*vague)))
 
 
-def _has_label(line: Column, pattern: str) -> Column:
-    """The cheap test for a colon spares most lines the pattern."""
-    return line.rlike("[:：]") & line.rlike(pattern)
+def marked_lines(text: Column, pattern: str = terms.LABEL_LINE_PATTERN) -> Column:
+    """Every line with its parts: nothing, label and value for a ``Label: value`` line, else one part or none."""
 
+    def mark(line: Column) -> Column:
+        parts = F.split(F.regexp_replace(line, pattern, "\x00$1\x00$2"), "\x00", 3)
+        # the cheap test for a colon spares most lines the pattern
+        return F.struct(line.alias("line"), F.when(line.rlike("[:：]"), parts).alias("parts"))
 
-def labeled_lines(text: Column, pattern: str = terms.LABEL_LINE_PATTERN) -> Column:
-    """(label, value) of every ``Label: value`` line, in order."""
-    marked = F.transform(
-        F.filter(lines(text), lambda line: line.rlike("[:：]")),
-        lambda line: F.split(F.regexp_replace(line, pattern, "\x00$1\x00$2"), "\x00", 3),
-    )
+    return F.transform(lines(text), mark)
+
+
+def _is_labeled(marked: Column) -> Column:
+    parts = marked["parts"]
+    return F.coalesce((F.size(parts) == 3) & (F.get(parts, 0) == ""), F.lit(False))
+
+
+def labels_of(marked: Column) -> Column:
+    """(label, value) of the labelled ones of marked lines, in order."""
     return F.transform(
-        F.filter(marked, lambda part: (F.size(part) == 3) & (part[0] == "")),
-        lambda part: F.struct(collapse(F.lower(part[1])).alias("label"), strip(part[2]).alias("value")),
+        F.filter(marked, _is_labeled),
+        lambda x: F.struct(collapse(F.lower(x["parts"][1])).alias("label"), strip(x["parts"][2]).alias("value")),
     )
 
 
+def unlabeled_text(marked: Column, headings: Sequence[str] = terms.FIELD_LABELS["description"]) -> Column:
+    """The other ones of marked lines, without empty headings."""
+
+    def is_heading(line: Column) -> Column:
+        return F.lower(F.rtrim(strip(line), F.lit(":：-"))).isin(*headings)
+
+    kept = F.filter(marked, lambda x: ~_is_labeled(x) & ~is_heading(x["line"]))
+    return strip(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+
+
+def labeled_lines(text: Column, pattern: str = terms.LABEL_LINE_PATTERN) -> Column:
+    """(label, value) of every ``Label: value`` line, in order."""
+    return labels_of(marked_lines(text, pattern))
+
+
 def first_labeled(labeled: Column, aliases: Sequence[str], max_chars: int = terms.MAX_FIELD_CHARS) -> Column:
     hits = F.filter(labeled, lambda x: x["label"].isin(*aliases) & (x["value"] != ""))
     return F.substring(_first(hits)["value"], 1, max_chars)
@@ -119,12 +141,7 @@ def strip_labeled_lines(
     headings: Sequence[str] = terms.FIELD_LABELS["description"],
 ) -> Column:
     """The text without ``label: value`` lines, known labels or not, and without empty headings."""
-
-    def is_heading(line: Column) -> Column:
-        return F.lower(F.rtrim(strip(line), F.lit(":：-"))).isin(*headings)
-
-    kept = F.filter(lines(text), lambda line: ~_has_label(line, pattern) & ~is_heading(line))
-    return strip(F.array_join(kept, "\n"))
+    return unlabeled_text(marked_lines(text, pattern), headings)
 
 
 def guess_title(

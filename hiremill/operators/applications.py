@@ -91,14 +91,16 @@ def decide_clicks(
     that a failed pair reports its failure again and a pair left at ``submitting`` becomes
     ``manual_required`` on the next click and is never submitted again.
 
-    clicks: update_id, operator_user_id, vacancy_id, outcome. current: the pair's status so
-    far, if any. The result adds decision, processed, status_after.
+    clicks: update_id, operator_user_id, vacancy_id, outcome, outcome_error (optional). current:
+    the pair's status and error so far, if any. The result adds decision, processed, status_after
+    and error_after, the error text that goes with the status.
 
     Only the settling click of a pair matters to the others, so a pair's clicks are first
     aggregated per run of ``run_length`` update ids and the state passes from run to run. A
     pair with any number of clicks is thereby spread over many tasks.
     """
     run = [*PAIR, "_run"]
+    clicks = with_error(clicks, "outcome_error")
     clicks = clicks.withColumn("_run", F.floor(F.col("update_id") / run_length))
     in_run = Window.partitionBy(*run).orderBy("update_id")
     clicks = clicks.withColumn("_next", F.lead("update_id").over(in_run))
@@ -107,13 +109,14 @@ def decide_clicks(
     settle_at = F.when(settles, F.col("update_id"))
     runs = clicks.groupBy(*run).agg(
         F.min("update_id").alias("_first"),
-        F.min_by(F.struct("update_id", "outcome", "_next"), settle_at).alias("_settle"),
+        F.min_by(F.struct("update_id", "outcome", "outcome_error", "_next"), settle_at).alias("_settle"),
     )
     if current is None:
-        runs = runs.withColumn("_before", F.lit(None).cast("string"))
+        runs = runs.withColumn("_before", F.lit(None).cast("string")).withColumn("_error", F.lit(None).cast("string"))
     else:
-        held = current.select(
-            "operator_user_id", F.col("vacancy_fingerprint").alias("vacancy_id"), F.col("status").alias("_before")
+        held = with_error(current, "error").select(
+            "operator_user_id", F.col("vacancy_fingerprint").alias("vacancy_id"), F.col("status").alias("_before"),
+            F.col("error").alias("_error"),
         )
         runs = runs.join(held, list(PAIR), "left")
     by_pair = Window.partitionBy(*PAIR).orderBy("_run")
@@ -127,6 +130,7 @@ def decide_clicks(
                 F.struct(
                     F.col("_settle.update_id").alias("at"),
                     F.col("_settle.outcome").alias("status"),
+                    F.col("_settle.outcome_error").alias("error"),
                     F.coalesce("_settle._next", "_after").alias("next"),
                 ),
             ),
@@ -145,6 +149,7 @@ def decide_clicks(
             F.struct(
                 F.lit(-1).cast("bigint").alias("at"),
                 F.col("_before").alias("status"),
+                F.col("_error").alias("error"),
                 F.col("_pair_first").alias("next"),
             ),
         )
@@ -155,7 +160,9 @@ def decide_clicks(
     late = F.col("_state").isNotNull() & (F.col("update_id") > F.col("_state.at"))
     resumed = (F.col("_state.status") == "submitting") & (F.col("update_id") == F.col("_state.next"))
     counted = F.when(F.col("outcome").isin("submitted", "manual_required"), F.col("outcome")).otherwise("failed")
-    interrupted = F.when(F.col("_state.status") == "submitting", "manual_required").otherwise(F.col("_state.status"))
+    stopped = F.col("_state.status") == "submitting"
+    interrupted = F.when(stopped, "manual_required").otherwise(F.col("_state.status"))
+    error = F.when(stopped, terms.INTERRUPTED_ERROR).otherwise(F.col("_state.error"))
     return joined.select(
         "update_id",
         *PAIR,
@@ -166,9 +173,15 @@ def decide_clicks(
         .alias("decision"),
         (~late).alias("processed"),
         F.when(late, interrupted).otherwise(F.col("outcome")).alias("status_after"),
+        F.when(late, error).otherwise(F.col("outcome_error")).alias("error_after"),
     )
 
 
+def with_error(df: DataFrame, name: str) -> DataFrame:
+    """The table with the error column; one that has none knows no errors."""
+    return df if name in df.columns else df.withColumn(name, F.lit(None).cast("string"))
+
+
 def decide_updates(
     updates: DataFrame,
     ledger: DataFrame,
@@ -182,8 +195,10 @@ def decide_updates(
     """One decision per update of the feed: submitted, manual_required, failed, skipped or resume_updated.
 
     updates: update_id, operator_user_id, kind ('apply', 'resume' or other), vacancy_id,
-    upload_reason (null accepts a resume), outcome (status the worker would leave behind).
+    upload_reason (null accepts a resume), outcome (status the worker would leave behind),
+    outcome_error (its error text, optional).
     """
+    updates = with_error(updates, "outcome_error")
     allowed = F.coalesce(F.col("operator_user_id").isin(*operators), F.lit(False))
     stored = (F.col("kind") == "resume") & allowed & F.col("upload_reason").isNull()
     applies = (F.col("kind") == "apply") & allowed
@@ -194,6 +209,7 @@ def decide_updates(
         F.when(stored, "resume_updated").otherwise("skipped").alias("decision"),
         F.lit(False).alias("processed"),
         F.lit(None).cast("string").alias("status_after"),
+        F.lit(None).cast("string").alias("error_after"),
     )
 
     clicks = updates.filter(applies)
@@ -207,11 +223,16 @@ def decide_updates(
         )
     clicks = clicks.join(resumes, "operator_user_id", "left")
     has_resume = F.lit(default_resume) | F.coalesce(F.col("update_id") > F.col("resume_from"), F.lit(False))
-    clicks = clicks.withColumn("outcome", F.when(has_resume, F.col("outcome")).otherwise("profile_missing"))
+    clicks = clicks.withColumns(
+        {
+            "outcome": F.when(has_resume, F.col("outcome")).otherwise("profile_missing"),
+            "outcome_error": F.when(has_resume, F.col("outcome_error")).otherwise(terms.NO_RESUME_ERROR),
+        }
+    )
     posts = ledger.select(
         F.col("fingerprint").alias("vacancy_id"), F.col("url").alias("_url"), F.lit(True).alias("_known")
     )
-    met = clicks.select("update_id", *PAIR, "outcome").join(posts, "vacancy_id", "left")
+    met = clicks.select("update_id", *PAIR, "outcome", "outcome_error").join(posts, "vacancy_id", "left")
     linked = F.col("_known") & (F.coalesce(F.col("_url"), F.lit("")) != "")
     linked = F.coalesce(linked, F.lit(False))
     refused = met.filter(~linked).select(
@@ -220,15 +241,17 @@ def decide_updates(
         F.lit("failed").alias("decision"),
         F.lit(False).alias("processed"),
         F.when(F.col("_known"), "failed").alias("status_after"),
+        F.when(F.col("_known"), terms.NO_URL_ERROR).alias("error_after"),
     )
     decided = decide_clicks(met.filter(linked).drop("_url", "_known"), current, run_length=run_length)
     return other.unionByName(refused).unionByName(decided)
 
 
 def final_statuses(decisions: DataFrame) -> DataFrame:
-    """Status of every pair after its last update."""
+    """Status and error of every pair after its last update."""
     known = decisions.filter(F.col("status_after").isNotNull())
-    return known.groupBy(*PAIR).agg(F.max_by("status_after", "update_id").alias("status"))
+    last = F.max_by(F.struct(F.col("status_after").alias("status"), F.col("error_after").alias("error")), "update_id")
+    return known.groupBy(*PAIR).agg(last.alias("_last")).select(*PAIR, "_last.status", "_last.error")
 
 
 def queue_tally(decisions: DataFrame) -> DataFrame:

@@ -101,13 +101,13 @@ def first_provider_with_news(candidates: DataFrame, quotas: DataFrame) -> DataFr
     folded in order. A query returns at most the quota of its intent, so a cycle has at most
     its total quota times the number of providers; cycles run in parallel.
 
-    candidates: cycle, intent_pos, provider_rank, provider, position, url. quotas: cycle,
-    intent_pos, quota. An intent without a quota brings nothing.
+    candidates: cycle, intent_pos, provider_rank, provider, position, url and any others.
+    quotas: cycle, intent_pos, quota. An intent without a quota brings nothing.
     """
-    columns = ["cycle", "intent_pos", "provider_rank", "provider", "position", "url"]
+    columns = candidates.columns
     query = ["cycle", "intent_pos", "provider_rank"]
     order = [F.col("position"), F.col("url"), F.col("provider")]
-    hits = first_wins(candidates.select(*columns), [*query, "url"], order)
+    hits = first_wins(candidates, [*query, "url"], [*order, *ties(candidates)])
     limited = hits.join(quotas.select("cycle", "intent_pos", "quota"), ["cycle", "intent_pos"])
     place = F.row_number().over(Window.partitionBy(*query).orderBy(*order))
     answers = limited.withColumn("_place", place).filter(F.col("_place") <= F.col("quota")).select(*columns)

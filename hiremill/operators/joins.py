@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.functions.identity import valid_fingerprint
+from hiremill.functions.text import strip
 
 
 def authorized_only(
@@ -80,8 +81,17 @@ def profile_with_defaults(profiles: DataFrame, stored: DataFrame, key: str = "op
     """Configured profiles completed by stored ones.
 
     The resume name follows whichever side supplied the file: a stored name without a
-    stored file is not used.
+    stored file is not used. Of the configured values, full_name and email are trimmed, a blank
+    phone is null, and personal_url and cover_letter that are not blank become extra_fields.
     """
+    texts = {c: strip(F.coalesce(F.col(c), F.lit(""))) for c in ("full_name", "email") if c in profiles.columns}
+    if "phone" in profiles.columns:
+        texts["phone"] = F.nullif(strip(F.col("phone")), F.lit(""))
+    extra = [c for c in ("personal_url", "cover_letter") if c in profiles.columns]
+    if extra:
+        pairs = [F.struct(F.lit(c).alias("key"), strip(F.coalesce(F.col(c), F.lit(""))).alias("value")) for c in extra]
+        texts["extra_fields"] = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"] != ""))
+    profiles = profiles.withColumns(texts).drop(*extra)
     resume = stored.select(
         key,
         F.nullif(F.col("resume_file_id"), F.lit("")).alias("_file"),

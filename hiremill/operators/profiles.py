@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill import terms
-from hiremill.functions.text import strip
+from hiremill.functions.text import let, strip
 from hiremill.operators.dedupe import first_n
 from hiremill.operators.once import select_where
 
@@ -79,6 +79,18 @@ def delete_hits(profiles: DataFrame, removed: DataFrame, key: str = KEY) -> Data
     return asked.join(held, key, "left").select(key, F.coalesce("_held", F.lit(False)).alias("deleted"))
 
 
+def clean_profile_value(
+    value: Column, skip: str = terms.SKIP_TEXT, max_chars: int = terms.MAX_EXTRA_VALUE_CHARS
+) -> Column:
+    """Struct of the trimmed value, null where blank or skipped, and whether it is short enough to keep."""
+
+    def clean(text: Column) -> Column:
+        kept = F.when((text != "") & (text != skip) & (F.length(text) <= max_chars), text)
+        return F.struct(kept.alias("value"), (F.length(text) <= max_chars).alias("valid"))
+
+    return let(strip(F.coalesce(value, F.lit(""))), clean)
+
+
 def parse_extra_fields(
     entries: DataFrame,
     owner: str,

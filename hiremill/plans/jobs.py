@@ -15,7 +15,7 @@ from hiremill.functions.html import html_to_text, page_title
 from hiremill.functions.text import blank_to_null, contains_any, strip
 from hiremill.functions.urls import canonicalize_url, detect_source, extract_urls, public_origin_url
 from hiremill.operators import aggregates, applications, discovery, filters, localization, ordering
-from hiremill.operators.dedupe import distinct_urls, first_wins, new_posts, with_fingerprint
+from hiremill.operators.dedupe import distinct_urls, first_n, first_wins, new_posts, with_fingerprint
 from hiremill.operators.once import select_where
 from hiremill.sources.feeds import scan_rss_items
 from hiremill.sources.ledger import evolve_ledger, rows_to_publish
@@ -39,13 +39,14 @@ def parse_posts(
             "_body": strip(F.regexp_replace("raw_text", terms.URL_PATTERN, "")),
         }
     )
-    step = step.withColumn("_labeled", extract.labeled_lines(F.col("_body")))
+    step = step.withColumn("_lines", extract.marked_lines(F.col("_body")))
+    step = step.withColumn("_labeled", extract.labels_of(F.col("_lines")))
     fields = extract.labeled_field_columns(F.col("_body"), F.col("_labeled"))
     step = step.withColumns({f"_{name}": value for name, value in fields.items()})
     step = step.withColumns(
         {
             "title": extract.guess_title(F.when(F.col("_body") != "", F.col("_body")).otherwise(F.col("raw_text"))),
-            "_text": F.coalesce("_description", extract.strip_labeled_lines(F.col("_body"))),
+            "_text": F.coalesce("_description", extract.unlabeled_text(F.col("_lines"))),
         }
     )
     stack = F.when(F.col("_stack").isNotNull(), extract.parse_stack_value(F.col("_stack"))).otherwise(
@@ -139,16 +140,19 @@ def publishable_one_shot(
     return with_card(discovery.cap_then_dedupe(allowed, ledger, max_posts))
 
 
-def normalize_hits(payloads: DataFrame, payload: str = "payload", **site) -> DataFrame:
-    """Posts of landed search payloads, with fingerprints.
+def normalize_hits(
+    payloads: DataFrame, payload: str = "payload", *, order: Sequence[str], now: datetime, max_age_hours: int, **site
+) -> DataFrame:
+    """Fresh, dated posts of landed search payloads, with fingerprints.
 
-    payloads: provider, query and the payload text.
+    A provider names a URL once: its first hit counts, in the order of the payload columns ``order``
+    and then of the hits. payloads: provider, query and the payload text.
     """
-    return with_fingerprint(
-        candidates_to_posts(scan_search_results(payloads, payload, **site)).withColumn(
-            "company", F.lit(None).cast("string")
-        )
-    )
+    found = scan_search_results(payloads, payload, **site)
+    once = first_wins(found, ["provider", "url"], [*[F.col(c) for c in order], F.col("position")])
+    made = candidates_to_posts(once).withColumn("company", F.lit(None).cast("string"))
+    fresh = filters.filter_fresh(made, now=now, max_age_hours=max_age_hours, require_published_at=True)
+    return with_fingerprint(fresh)
 
 
 def feed_posts(feeds: DataFrame, source: str, order: Sequence[str], rss: str = "rss") -> DataFrame:
@@ -232,6 +236,30 @@ def discovery_queue(
     return ordering.top_urls(candidates, k, now=now, max_age_hours=max_age_hours, order=order)
 
 
+def discovery_run(
+    answers: DataFrame,
+    k: int,
+    *,
+    total: int,
+    now: datetime,
+    max_age_hours: int,
+    max_intents: int = terms.INTENTS_PER_CYCLE,
+) -> DataFrame:
+    """What every cycle reads next: its intents with their quotas, the first provider with news for
+    each, and the first ``k`` URLs in priority order, with their rank.
+
+    answers: cycle, intent_pos (the place of the intent in its cycle), provider_rank, provider,
+    position, url, published_at.
+    """
+    plan = discovery_plan(answers.select("cycle").distinct(), total=total, max_intents=max_intents)
+    news = discovery.first_provider_with_news(answers, plan.select("cycle", "intent_pos", "quota"))
+    ranked = ordering.with_tier(news, now=now, max_age_hours=max_age_hours)
+    best = [*ordering.priority_order(("intent_pos", "position", "url"))]
+    kept = first_n(ranked, ["cycle"], best, max(k, 0), rank="rank")
+    family = plan.select("cycle", "intent_pos", "family", "language")
+    return kept.join(family, ["cycle", "intent_pos"])
+
+
 def discovery_report(candidates: DataFrame, query_log: DataFrame, **options) -> DataFrame:
     return aggregates.discovery_report(candidates, query_log, **options)
 

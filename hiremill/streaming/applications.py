@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from hiremill.operators.applications import PAIR, decide_updates
 from hiremill.sources.ledger import read_batches, write_batch
 
-_STATUS = "operator_user_id bigint, vacancy_id string, status string, update_id bigint"
+_STATUS = "operator_user_id bigint, vacancy_id string, status string, error string, update_id bigint"
 _RESUME = "operator_user_id bigint, resume_from bigint"
 
 
@@ -49,8 +49,8 @@ def application_batch(
     current = (
         log.join(touched, list(PAIR), "left_semi")
         .groupBy(*PAIR)
-        .agg(F.max_by("status", "update_id").alias("status"))
-        .withColumnRenamed("vacancy_id", "vacancy_fingerprint")
+        .agg(F.max_by(F.struct("status", "error"), "update_id").alias("_last"))
+        .select("operator_user_id", F.col("vacancy_id").alias("vacancy_fingerprint"), "_last.status", "_last.error")
     )
     resumes = read_batches(spark, f"{folder}/resumes", _RESUME, before=batch_id)
     decisions = decide_updates(
@@ -64,8 +64,11 @@ def application_batch(
     write_batch(decisions, f"{folder}/decisions", batch_id)
     decided = spark.read.schema(decisions.schema).parquet(f"{folder}/decisions/batch={batch_id}")
     changed = decided.filter(F.col("status_after").isNotNull())
-    statuses = changed.groupBy(*PAIR).agg(
-        F.max_by("status_after", "update_id").alias("status"), F.max("update_id").alias("update_id")
+    last = F.max_by(F.struct(F.col("status_after").alias("status"), F.col("error_after").alias("error")), "update_id")
+    statuses = (
+        changed.groupBy(*PAIR)
+        .agg(last.alias("_last"), F.max("update_id").alias("update_id"))
+        .select(*PAIR, "_last.status", "_last.error", "update_id")
     )
     write_batch(statuses, f"{folder}/statuses", batch_id)
     stored = decided.filter(F.col("decision") == "resume_updated")
@@ -104,6 +107,7 @@ def read_decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_statuses(spark: SparkSession, folder: str) -> DataFrame:
-    """Status of every pair after all batches."""
+    """Status and error of every pair after all batches."""
     log = read_batches(spark, f"{folder}/statuses", _STATUS)
-    return log.groupBy(*PAIR).agg(F.max_by("status", "update_id").alias("status"))
+    last = log.groupBy(*PAIR).agg(F.max_by(F.struct("status", "error"), "update_id").alias("_last"))
+    return last.select(*PAIR, "_last.status", "_last.error")

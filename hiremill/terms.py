@@ -252,99 +252,210 @@ DEFAULT_ERROR_REASON = "бот остановил автоматическую 
 MAX_EXTRA_NAME_CHARS = 64
 MAX_EXTRA_VALUE_CHARS = 256
 MAX_EXTRA_FIELDS = 20
+SKIP_TEXT = "Пропустить"
 PROFILE_GAPS = ("имя и фамилия", "email", "резюме в PDF или DOCX")
 
 # --- Fixed values: discovery ----------------------------------------------
 CYCLE_SECONDS = 900
 INTENTS_PER_CYCLE = 6
-SEARCH_SCOPE = "(site:linkedin.com/posts OR site:linkedin.com/feed/update)"
-HIRING_PHRASES = {
-    "en": (
-        '("we are hiring" OR "we\'re hiring" OR "hiring for" OR "looking for" OR "join our team" '
-        'OR "open role")'
+# (family, language, query) of the built-in search profile, in order
+SEARCH_INTENTS = (
+    (
+        "backend-software", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Backend Developer" OR '
+            '"Backend Engineer" OR "Software Developer" OR "Software Engineer")'
+        ),
+    ),
+    (
+        "backend-software", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("бэкенд-разработчик" OR "backend-разработчик" OR '
+            '"разработчик ПО" OR "программный инженер")'
+        ),
+    ),
+    (
+        "frontend", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Frontend Developer" OR '
+            '"Front-End Developer" OR "Frontend Engineer" OR "Front-End Engineer")'
+        ),
+    ),
+    (
+        "frontend", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("фронтенд-разработчик" OR "frontend-разработчик" OR '
+            '"фронтенд-инженер")'
+        ),
+    ),
+    (
+        "fullstack", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Fullstack Developer" OR '
+            '"Full-Stack Developer" OR "Fullstack Engineer" OR "Full-Stack Engineer")'
+        ),
+    ),
+    (
+        "fullstack", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("фулстек-разработчик" OR "fullstack-разработчик" OR '
+            '"фулстек-инженер")'
+        ),
+    ),
+    (
+        "mobile", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Mobile Developer" OR '
+            '"Mobile Engineer" OR "iOS Developer" OR "Android Developer" OR "Flutter Developer" OR "React '
+            'Native Developer")'
+        ),
+    ),
+    (
+        "mobile", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("мобильный разработчик" OR "iOS-разработчик" OR '
+            '"Android-разработчик" OR "Flutter-разработчик")'
+        ),
+    ),
+    (
+        "ml-ai-llm", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Machine Learning '
+            'Engineer" OR "ML Engineer" OR "AI Engineer" OR "AI Developer" OR "LLM Engineer")'
+        ),
     ),
-    "ru": '("ищем" OR "ищет" OR "нанимаем" OR "в команду" OR "открыта вакансия")',
-}
-# (family, english role phrases, russian role phrases)
-ROLE_FAMILIES = (
     (
-        "backend-software",
-        ("Backend Developer", "Backend Engineer", "Software Developer", "Software Engineer"),
-        ("бэкенд-разработчик", "backend-разработчик", "разработчик ПО", "программный инженер"),
+        "ml-ai-llm", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("инженер машинного обучения" OR "ML-инженер" OR '
+            '"AI-инженер" OR "AI-разработчик" OR "LLM-инженер")'
+        ),
     ),
     (
-        "frontend",
-        ("Frontend Developer", "Front-End Developer", "Frontend Engineer", "Front-End Engineer"),
-        ("фронтенд-разработчик", "frontend-разработчик", "фронтенд-инженер"),
+        "gamedev", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Game Developer" OR "Game '
+            'Engineer" OR "Gameplay Developer" OR "Gameplay Programmer")'
+        ),
     ),
     (
-        "fullstack",
-        ("Fullstack Developer", "Full-Stack Developer", "Fullstack Engineer", "Full-Stack Engineer"),
-        ("фулстек-разработчик", "fullstack-разработчик", "фулстек-инженер"),
+        "gamedev", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("разработчик игр" OR "игровой разработчик" OR '
+            '"геймплей-программист")'
+        ),
     ),
     (
-        "mobile",
+        "automation-qa", "en",
         (
-            "Mobile Developer", "Mobile Engineer", "iOS Developer", "Android Developer",
-            "Flutter Developer", "React Native Developer",
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("QA Automation Engineer" '
+            'OR "Automation QA Engineer" OR "Test Automation Engineer")'
         ),
-        ("мобильный разработчик", "iOS-разработчик", "Android-разработчик", "Flutter-разработчик"),
     ),
     (
-        "ml-ai-llm",
-        ("Machine Learning Engineer", "ML Engineer", "AI Engineer", "AI Developer", "LLM Engineer"),
-        ("инженер машинного обучения", "ML-инженер", "AI-инженер", "AI-разработчик", "LLM-инженер"),
+        "automation-qa", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("инженер по автоматизации тестирования" OR "QA automation '
+            'инженер" OR "автоматизатор тестирования")'
+        ),
     ),
     (
-        "gamedev",
-        ("Game Developer", "Game Engineer", "Gameplay Developer", "Gameplay Programmer"),
-        ("разработчик игр", "игровой разработчик", "геймплей-программист"),
+        "devsecops", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("DevSecOps Engineer" OR '
+            '"DevSecOps Developer")'
+        ),
     ),
     (
-        "automation-qa",
-        ("QA Automation Engineer", "Automation QA Engineer", "Test Automation Engineer"),
-        ("инженер по автоматизации тестирования", "QA automation инженер", "автоматизатор тестирования"),
+        "devsecops", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("DevSecOps-инженер" OR "инженер DevSecOps")'
+        ),
     ),
     (
-        "devsecops",
-        ("DevSecOps Engineer", "DevSecOps Developer"),
-        ("DevSecOps-инженер", "инженер DevSecOps"),
+        "blockchain", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Blockchain Developer" OR '
+            '"Blockchain Engineer" OR "Smart Contract Developer")'
+        ),
     ),
     (
-        "blockchain",
-        ("Blockchain Developer", "Blockchain Engineer", "Smart Contract Developer"),
-        ("блокчейн-разработчик", "блокчейн-инженер", "разработчик смарт-контрактов"),
+        "blockchain", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("блокчейн-разработчик" OR "блокчейн-инженер" OR '
+            '"разработчик смарт-контрактов")'
+        ),
+    ),
+    (
+        "enterprise-developer", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Enterprise Developer" OR '
+            '"Java Developer" OR "Python Developer" OR "Go Developer" OR "Node.js Developer" OR "Software '
+            'Programmer")'
+        ),
+    ),
+    (
+        "enterprise-developer", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("корпоративный разработчик" OR "Java-разработчик" OR '
+            '"Python-разработчик" OR "Go-разработчик" OR "программист")'
+        ),
     ),
     (
-        "enterprise-developer",
+        "software-architecture-lead", "en",
         (
-            "Enterprise Developer", "Java Developer", "Python Developer", "Go Developer",
-            "Node.js Developer", "Software Programmer",
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("Software Architect" OR '
+            '"Technical Lead" OR "Tech Lead")'
         ),
+    ),
+    (
+        "software-architecture-lead", "ru",
         (
-            "корпоративный разработчик", "Java-разработчик", "Python-разработчик", "Go-разработчик",
-            "программист",
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("архитектор ПО" OR "программный архитектор" OR "технический '
+            'лидер" OR "техлид")'
         ),
     ),
     (
-        "software-architecture-lead",
-        ("Software Architect", "Technical Lead", "Tech Lead"),
-        ("архитектор ПО", "программный архитектор", "технический лидер", "техлид"),
+        "ui-ux", "en",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("we are hiring" OR "we\'re hiring" '
+            'OR "hiring for" OR "looking for" OR "join our team" OR "open role") ("UI/UX Designer" OR "UX/UI '
+            'Designer" OR "UI Designer" OR "UX Designer")'
+        ),
     ),
     (
-        "ui-ux",
-        ("UI/UX Designer", "UX/UI Designer", "UI Designer", "UX Designer"),
-        ("UI/UX-дизайнер", "UX/UI-дизайнер", "дизайнер интерфейсов", "UX-дизайнер"),
+        "ui-ux", "ru",
+        (
+            '(site:linkedin.com/posts OR site:linkedin.com/feed/update) ("ищем" OR "ищет" OR "нанимаем" OR '
+            '"в команду" OR "открыта вакансия") ("UI/UX-дизайнер" OR "UX/UI-дизайнер" OR "дизайнер '
+            'интерфейсов" OR "UX-дизайнер")'
+        ),
     ),
 )
 
 
 def default_intents() -> list[tuple[int, str, str, str]]:
     """(intent_pos, family, language, query) of the built-in search profile, 1-based."""
-    rows = []
-    for family, english, russian in ROLE_FAMILIES:
-        for language, roles in (("en", english), ("ru", russian)):
-            phrases = " OR ".join(f'"{role}"' for role in roles)
-            query = f"{SEARCH_SCOPE} {HIRING_PHRASES[language]} ({phrases})"
-            rows.append((len(rows) + 1, family, language, query))
-    return rows
+    return [(place, *row) for place, row in enumerate(SEARCH_INTENTS, start=1)]

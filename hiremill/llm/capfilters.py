@@ -239,7 +239,8 @@ def near_duplicates(
         ),
         "members",
     )
-    least = member.groupBy("component").agg(F.min("low").alias("component_id"))
+    # as a table of its own, so that both sides of the join are plain shuffles and a large component is split
+    least = stored(member.groupBy("component").agg(F.min("low").alias("component_id")), "least")
     named = stored(member.join(least, "component").select("node", "n_links", "component_id"), "named")
     return rows.join(named, "node", "left").select(
         "vec_id",

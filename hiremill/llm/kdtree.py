@@ -201,7 +201,7 @@ def _split(
 def _with_slots(rows: DataFrame, number: int, shards: int) -> DataFrame:
     """Number the rows of every shard without gaps; a task numbers one part of one shard."""
     parts = max(1, -(-number // (shards * SLOT_ROWS))) * 8
-    rows = stored(rows.withColumn("part_", F.pmod(F.xxhash64("row_id_"), F.lit(parts)).cast("int")), "shard-of-rows")
+    rows = rows.withColumn("part_", F.pmod(F.xxhash64("row_id_"), F.lit(parts)).cast("int"))
     sums = rows.groupBy("shard", "part_").agg(F.count(F.lit(1)).alias("n_"))
     before = Window.partitionBy("shard").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("shard", "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -152,10 +152,16 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     Rows with a null id come last; among rows of one id a checksum of the row decides. Of rows that
     are equal in every column one stays. Columns of map type do not take part in the checksum.
     """
+    return first_of_groups(
+        docs, doc_id, lambda marked: fingerprint_groups(marked, text, doc_id, width, distance, ["row_check_"])
+    )
+
+
+def first_of_groups(docs: DataFrame, doc_id: str, groups_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents that come first in their group; `groups_of` gives doc_id, row_check_ and component of each row."""
     plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
     marked = docs.withColumn("row_check_", F.xxhash64(*plain)).withColumn("row_id_", F.col(doc_id))
-    groups = fingerprint_groups(marked, text, doc_id, width, distance, ["row_check_"])
-    first = groups.groupBy("component").agg(
+    first = groups_of(marked).groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_check_")).alias("row")
     )
     chosen = stored(first.select(F.col("row.doc_id").alias("chosen_id_"), F.col("row.row_check_").alias("chosen_check_")), "chosen")

@@ -86,11 +86,15 @@ class Index:
     owners: tuple[np.ndarray, ...]
 
     # ------------------------------------------------------------ search
-    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start of the item in `codes`, item) of windows that agree with a window of an item."""
-        found = [np.empty((0, 2), dtype=np.int64)]
+    def candidates(self, codes: np.ndarray, starts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start of the item in `codes`, item, text of the window) of windows that agree with a window of an item.
+
+        `texts` is the text of each start: an item cut off at either end may reach beyond the text its words are in.
+        """
+        found = [np.empty((0, 3), dtype=np.int64)]
         for walk, gates, keys, owners in zip(self.walks, self.gates, self.keys, self.owners, strict=True):
             at = place = starts
+            text = texts
             key = np.zeros(len(starts), dtype=np.uint64)
             taken = 0
             for step in range(walk.samples[-1] + 1):
@@ -99,7 +103,7 @@ class Index:
                     key = _mixed(key, words)
                     gate = gates[taken]
                     kept = np.flatnonzero(gate[(key >> np.uint64(40)).astype(np.int64) & (len(gate) - 1)])
-                    key, at, place, words = key[kept], at[kept], place[kept], words[kept]
+                    key, at, place, text, words = key[kept], at[kept], place[kept], text[kept], words[kept]
                     taken += 1
                     if not len(kept):
                         break
@@ -110,9 +114,9 @@ class Index:
             count = high - low
             hit = np.repeat(np.arange(len(key)), count)
             entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[hit]
-            found.append(np.stack([place[hit] - owners[entry, 1], owners[entry, 0]], axis=1))
+            found.append(np.stack([place[hit] - owners[entry, 1], owners[entry, 0], text[hit]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        return pairs[:, 0], pairs[:, 1], pairs[:, 2]
 
     def search(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, int]]]:
         """For each text the items in it: (item, first word, edit distance), each item once at its closest."""
@@ -136,14 +140,10 @@ class Index:
         codes = np.zeros(int((lengths + reach).sum()) + reach, dtype=np.uint32)
         starts = np.repeat(offsets, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         codes[starts] = word_codes([w for words in texts for w in words])
-        at, item = self.candidates(codes, starts)
+        at, item, owner = self.candidates(codes, starts, np.repeat(np.arange(len(texts)), lengths))
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        owner = np.searchsorted(offsets, np.maximum(at, 0), side="right") - 1
         for place, number, doc in zip(at.tolist(), item.tolist(), owner.tolist(), strict=True):
             size = self.sizes[number]
-            # a window that begins before its text belongs to the text its words are in
-            while doc + 1 < len(texts) and place + size > offsets[doc] + lengths[doc] + reach:
-                doc += 1
             known = best[doc].get(number)
             if known and known[0] == 0:
                 continue

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, exact edit verification."""
+"""Benchmark decontamination: CGK embeddings of windows of benchmark items, bit-sampling LSH, exact edit verification."""
 
 from __future__ import annotations
 
@@ -13,10 +13,32 @@ from pyspark.sql import functions as F
 
 #: Part of an item's words that may differ.
 EDIT_SHARE = 0.2
-#: Repetitions of the random walk, sampled coordinates of each, and words the walk starts over.
-REPETITIONS = 8
-SAMPLES = 7
-PREFIX_WORDS = 12
+#: Part of the items with as many edits as allowed that the repetitions of each class are to find.
+RECALL = 0.98
+
+
+@dataclass(frozen=True)
+class SizeClass:
+    """Items of at least `least` words: words of a window and between windows, sampled steps, repetitions."""
+
+    least: int
+    window: int
+    apart: int
+    samples: int
+    repetitions: int
+
+
+#: Repetitions with which each class reaches RECALL on items edited as much as allowed (tests/llm/test_leaks.py
+#: measures it); items under five words allow no edit.
+CLASSES = (
+    SizeClass(1, 1, 1, 1, 1),
+    SizeClass(2, 2, 1, 2, 1),
+    SizeClass(4, 4, 2, 4, 1),
+    SizeClass(5, 4, 1, 3, 8),
+    SizeClass(8, 6, 1, 5, 7),
+    SizeClass(16, 8, 1, 6, 6),
+    SizeClass(25, 12, 3, 7, 8),
+)
 #: Items held by one index; a larger benchmark is searched one block after another.
 BLOCK_ITEMS = 20_000
 #: Words of documents worked on at a time.
@@ -48,23 +70,27 @@ class Walk:
         return (words * self.factors[number]) >> np.uint32(31)
 
 
-def walks(prefix: int) -> list[Walk]:
+def class_of(words: int) -> SizeClass:
+    return [c for c in CLASSES if c.least <= words][-1]
+
+
+def walks(kind: SizeClass) -> list[Walk]:
     """The repetitions for one size class.
 
     The walk of a window writes its current word at every step and then, by a random bit of step and
     word, stays or moves on. Windows at a small edit distance agree at most steps: after an edit the
     walks fall in step again. Agreement at all of a few sampled steps makes a candidate. The first
-    repetition samples early steps only, which every window of the class reaches.
+    repetitions sample early steps only, which every window of the class reaches.
     """
-    steps = max(1, prefix + prefix // 2)
+    steps = max(1, kind.window + kind.window // 2)
     out = []
-    for number in range(REPETITIONS):
-        rng = np.random.default_rng([7, prefix, number])
+    for number in range(kind.repetitions):
+        rng = np.random.default_rng([7, kind.window, kind.least, number])
         factors = (rng.integers(0, 1 << 32, steps, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-        first = number % min(3, prefix)
-        pool = np.arange(first + 1, prefix if number < 2 else steps)
-        chosen = rng.choice(pool, size=min(SAMPLES - 1, len(pool)), replace=False) if len(pool) else []
-        out.append(Walk(prefix, factors, np.sort(np.append(chosen, first)).astype(int)))
+        first = number % min(3, kind.window)
+        pool = np.arange(first + 1, kind.window if number < 2 else steps)
+        chosen = rng.choice(pool, size=min(kind.samples - 1, len(pool)), replace=False) if len(pool) else []
+        out.append(Walk(kind.window, factors, np.sort(np.append(chosen, first)).astype(int)))
     return out
 
 
@@ -181,25 +207,25 @@ def least_distance(item: np.ndarray, part: np.ndarray) -> int:
 def build_index(items: Sequence[tuple[int | None, str | None]]) -> Index:
     """An index of items: windows at several offsets of each, for every repetition of its size class.
 
-    Items without words are left out. Windows begin every half prefix, so that edits near the start of
-    an item leave others untouched; a window whose sampled steps leave the item is no entry.
+    Items without words are left out. Windows overlap, so that edits in one leave others untouched; a
+    window whose sampled steps leave the item is no entry.
     """
     known = [(item_id, words_of(text)) for item_id, text in items]
     known = sorted({(i is None, i or 0, tuple(w)) for i, w in known if w})
     names = tuple(None if none else i for none, i, _ in known)
     texts = [w for _, _, w in known]
     codes_of = tuple(word_codes(w) for w in texts)
-    prefix = [min(PREFIX_WORDS, 1 << (len(w).bit_length() - 1)) for w in texts]
+    kinds = [class_of(len(w)) for w in texts]
     all_walks, gates, keys, owners = [], [], [], []
-    for size in sorted(set(prefix)):
-        for walk in walks(size):
+    for kind in sorted(set(kinds), key=lambda k: k.least):
+        for walk in walks(kind):
             rows = []
             for number, words in enumerate(texts):
-                if prefix[number] != size:
+                if kinds[number] != kind:
                     continue
                 codes = codes_of[number]
-                last = len(words) - size
-                for offset in sorted({*range(0, last + 1, max(1, size // 2)), last}):
+                last = len(words) - kind.window
+                for offset in sorted({*range(0, last + 1, kind.apart), last}):
                     sampled = _walked(walk, codes, offset)
                     if sampled is not None:
                         rows.append((number, offset, sampled))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hiremill.llm.common import stored
+
 #: Part of an item's words that may differ.
 EDIT_SHARE = 0.2
 #: Part of the items with as many edits as allowed that the repetitions of each class are to find.
@@ -262,6 +264,8 @@ def _walked(walk: Walk, codes: np.ndarray, offset: int) -> list[int] | None:
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
     """Indexes of at most about BLOCK_ITEMS items each, one after the other."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("words")).where("words is not null")
+    # copies would share one block, however many there are
+    items = stored(items.distinct(), "benchmark-items")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
     for number in range(blocks):

@@ -43,3 +43,13 @@ def test_recall_of_edited_items(size, evenly):
     found = sum(any(hit[0] == i for hit in hits) for i, hits in enumerate(index.search(texts)))
     print(size, evenly, found / len(items))
     assert found >= decontam.RECALL * len(items)
+
+
+def test_blocks_leave_out_copies(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 5)
+    sizes = []
+    build = decontam.build_index
+    monkeypatch.setattr(decontam, "build_index", lambda items: sizes.append(len(items)) or build(items))
+    rows = [(1, "a repeated item")] * 50 + [(i, f"item number {i}") for i in range(2, 6)]
+    list(decontam.item_blocks(spark.createDataFrame(rows, "item_id long, text string")))
+    assert sizes == [5]

@@ -10,9 +10,12 @@ from hiremill.llm import (
     boilerplate,
     capfilters,
     decontam,
+    fim,
     kdtree,
     language,
+    licenses,
     mixing,
+    repair,
     secrets,
     simhash,
     tokenfiles,
@@ -88,3 +91,18 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_kd_shards")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return kdtree.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op11_license_scan", licenses.oracle())
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op12_fill_in_middle", fim.ORACLE)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.transform_digests(table(spark, folder, "documents"))
+
+
+@query("op13_conversation_repair")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, folder, "conversations"))

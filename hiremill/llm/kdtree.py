@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hiremill.llm.common import stored, unit_hash
@@ -60,9 +62,9 @@ def shard(
     the bytes on either side are in proportion to the shards there. Medians come from sums over parts
     of the range, cut finer at each step; what reaches the driver are sums of PARTS parts per node.
     Equal texts stay together: groups large enough to disturb a shard are placed first, each where most
-    room is left, and the tree divides the rest by the room that remains. A group larger than any room
-    is split by a hash of its rows. `dimensions` are non-negative integer columns below 2^31 that equal
-    texts share.
+    room is left, and the tree divides the rest by the room that remains. The rows of a group larger than
+    any room are numbered and dealt out in exact counts. `dimensions` are non-negative integer columns below
+    2^31 that equal texts share.
     """
     base = docs.select(
         *[F.col(c) for c in keep], text_size(F.col(text)).alias("size"),
@@ -81,42 +83,67 @@ def shard(
     spans = {n: max((facts[f"max_{n}"] or 0) - (facts[f"min_{n}"] or 0), 1) for n in names}
     room = [float(leaf)] * shards
     heavy = (
-        base.groupBy("text_hash_").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > HEAVY_SHARE * leaf)
-        .orderBy(F.desc("bytes"), "text_hash_").collect()
+        base.groupBy("text_hash_").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        .where(F.col("bytes") > HEAVY_SHARE * leaf).orderBy(F.desc("bytes"), "text_hash_").collect()
     )
     placed = _place(heavy, room)
-    spark = docs.sparkSession
-    table = spark.createDataFrame(placed, "heavy_hash_ long, low_ double, high_ double, heavy_shard_ int")
-    part = unit_hash(F.col("row_id_"), seed=10)
-    here = (F.col("text_hash_") == F.col("heavy_hash_")) & (part >= F.col("low_")) & (part < F.col("high_"))
-    rest = base.join(F.broadcast(table), F.col("text_hash_") == F.col("heavy_hash_"), "left_anti")
+    table = _small_table(
+        docs.sparkSession,
+        [{"heavy_hash_": key, "ranges_": [{"low": low, "shard": number} for low, number in own]} for key, own in placed.items()],
+        "heavy_hash_: bigint, ranges_: array<struct<low: bigint, shard: int>>",
+    )
+    own_key = F.col("text_hash_") == F.col("heavy_hash_")
+    rest = base.join(F.broadcast(table), own_key, "left_anti")
     root = Node(0, shards)
     level = [root]
     while any(node.shards > 1 for node in level):
         _split(rest, root, [n for n in level if n.shards > 1], names, spans, room, leaf)
         level = [child for n in level for child in ((n.left, n.right) if n.left else (n,))]
-    light = rest.withColumn("shard", _shard_of(root))
-    full = base.join(F.broadcast(table), here).withColumn("shard", F.col("heavy_shard_"))
     columns = [*keep, "size", "text_crc32", "shard", "row_id_"]
-    return _with_slots(light.select(columns).unionByName(full.select(columns)), facts["rows"], shards)
+    marked = base.join(F.broadcast(table), own_key, "left")
+    whole = F.coalesce(F.size("ranges_"), F.lit(0)) <= 1
+    out = marked.where(whole).withColumn("shard", F.coalesce(F.get("ranges_", F.lit(0))["shard"], _shard_of(root))).select(columns)
+    if any(len(own) > 1 for own in placed.values()):
+        split = marked.where(~whole)
+        counted = _numbered(split, "text_hash_", _parts(facts["rows"]), "place_in_group_")
+        below = F.filter("ranges_", lambda x: x["low"] <= F.col("place_in_group_"))
+        out = out.unionByName(counted.withColumn("shard", F.element_at(below, -1)["shard"]).select(columns))
+    return _numbered(out, "shard", max(1, _parts(facts["rows"]) // shards) * 8, "slot").drop("row_id_")
+
+
+def _small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few rows, made of a literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def _place(heavy: Sequence, room: list[float]) -> list[tuple[int, float, float, int]]:
-    """(text hash, from, to, shard) for each large group; `room` loses the bytes placed.
+def _place(heavy: Sequence, room: list[float]) -> dict[int, list[tuple[int, int]]]:
+    """For each large group, by its text hash, from which of its rows on it goes to which shard.
 
-    Largest first, each to the shard with most room; a group that fits nowhere fills one after another.
+    `room` loses the bytes placed. Largest first, each to the shard with most room. A group that fits nowhere
+    fills shards with as many whole rows as each has room for, most room first; what is left then goes one
+    row at a time to where most room is, so no shard is over by more than a row.
     """
-    out = []
+    out: dict[int, list[tuple[int, int]]] = {}
     for row in heavy:
-        left, low = float(row["bytes"]), 0.0
-        while left > 0:
-            number = max(range(len(room)), key=lambda i: (room[i], -i))
-            last = left <= room[number] or room[number] < 1
-            own = left if last else room[number]
-            high = 1.0 if last else low + own / row["bytes"]
-            out.append((row["text_hash_"], low, high, number))
-            room[number] -= own
-            left, low = (0.0 if last else left - own), high
+        size, left = row["bytes"] / row["rows"], row["rows"]
+        order = sorted(range(len(room)), key=lambda i: (-room[i], i))
+        if row["bytes"] <= room[order[0]]:
+            counts = {order[0]: left}
+        else:
+            counts = {i: max(0, math.floor(room[i] / size + 1e-9)) for i in order}
+            for i in order:
+                counts[i] = min(counts[i], left)
+                left -= counts[i]
+            most = sorted(range(len(room)), key=lambda i: (counts[i] * size - room[i], i))
+            for place, i in enumerate(most):
+                counts[i] += left // len(room) + (place < left % len(room))
+        own, low = [], 0
+        for i, n in counts.items():
+            if n:
+                own.append((low, i))
+                low += n
+                room[i] -= n * size
+        out[row["text_hash_"]] = own
     return out
 
 
@@ -198,19 +225,23 @@ def _split(
                 del search[first]
 
 
-def _with_slots(rows: DataFrame, number: int, shards: int) -> DataFrame:
-    """Number the rows of every shard without gaps; a task numbers one part of one shard."""
-    parts = max(1, -(-number // (shards * SLOT_ROWS))) * 8
+def _parts(rows: int) -> int:
+    """Parts of about SLOT_ROWS rows."""
+    return max(1, -(-rows // SLOT_ROWS))
+
+
+def _numbered(rows: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """The rows of every value of `key` numbered from 0 without gaps; a task numbers one part of one value."""
     rows = rows.withColumn("part_", F.pmod(F.xxhash64("row_id_"), F.lit(parts)).cast("int"))
-    sums = rows.groupBy("shard", "part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.partitionBy("shard").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("shard", "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    place = F.row_number().over(Window.partitionBy("shard", "part_").orderBy("row_id_")) - 1
+    sums = rows.groupBy(key, "part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    place = F.row_number().over(Window.partitionBy(key, "part_").orderBy("row_id_")) - 1
     return (
         rows.withColumn("place_", place)
-        .join(starts, ["shard", "part_"])
-        .withColumn("slot", (F.col("place_") + F.col("before_")).cast("long"))
-        .drop("place_", "before_", "part_", "row_id_")
+        .join(starts, [key, "part_"])
+        .withColumn(name, (F.col("place_") + F.col("before_")).cast("long"))
+        .drop("place_", "before_", "part_")
     )
 
 
@@ -228,7 +259,7 @@ def shard_documents(docs: DataFrame) -> DataFrame:
 
 
 def with_shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The documents, all columns, with shard and slot."""
+    """The documents, all columns, with shard and slot; columns of these names are replaced."""
     packed = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("row_"))
     found = shard(packed, shards=shards, keep=["row_"])
     own = [F.col("row_")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]

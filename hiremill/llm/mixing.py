@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiremill.llm.common import WORD, stored, unit_hash
+from hiremill.llm.common import WORD, discard, stored, unit_hash
 
 #: Weights of the sources in order, repeating; words of the mix over all words; copies of a source at most.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -46,11 +46,12 @@ def source_targets(
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     levels = weighed.withColumn("level", left / weight_left).withColumn("own", F.col("cap") / F.col("weight"))
-    # the first source at or below the level sets it for all that follow
-    settled = F.min(F.when(F.col("own") >= F.col("level"), F.struct("own", "level"))).over(everything)["level"]
-    target = F.when(
-        settled.isNull() | (F.col("own") < settled), F.col("cap")
-    ).otherwise(F.col("weight") * settled)
+    # the first source at or above the level, in the order of filling, sets it for all that follow
+    first = F.struct("own", F.col("source").isNull().alias("none"), "source", "level")
+    settled = F.min(F.when(F.col("own") >= F.col("level"), first)).over(everything)
+    here = F.struct(F.col("own"), F.col("source").isNull(), F.col("source"))
+    full = settled.isNull() | (here < F.struct(settled["own"], settled["none"], settled["source"]))
+    target = F.when(full, F.col("cap")).otherwise(F.col("weight") * settled["level"])
     return levels.select("source", "source_size", F.least(target, F.col("cap")).alias("target"))
 
 
@@ -85,6 +86,26 @@ def allocate(
     targets = stored(source_targets(rows, weights, total_share, most), "mix-targets").select(
         F.col("source").alias("to"), "source_size", "target"
     )
+    ranked = _ranked(rows, targets)
+    # the search reads narrow columns many times; the rows of `keep` are read once more, at the end
+    narrow = stored(ranked.select("source", "size", "wanted", *STEPS, "order_1", "order_2", "row_id"), "mix-ranks")
+    cutoffs = _cutoffs(narrow)
+    discard(narrow)
+    inside = F.lit(False)
+    same = F.lit(True)
+    for name in STEPS:
+        inside = inside | (same & (F.col(name) < F.col(f"cut_{name}")))
+        same = same & (F.col(name) == F.col(f"cut_{name}"))
+    inside = inside | (same & (F.struct("order_1", "order_2", "row_id") <= F.col("last")))
+    joined = ranked.join(cutoffs, ranked["source"].eqNullSafe(cutoffs["cut_source"]), "left")
+    return joined.select(
+        "doc_id", "source", "size", "source_size", "target",
+        (F.col("sure") + F.coalesce(inside, F.lit(False)).cast("long")).alias("copies"), *keep,
+    )
+
+
+def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows with their certain copies, the words still wanted of their source, and their place in its order."""
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sure = F.floor(ratio + F.lit(1e-12)).cast("long")
     inclusion = F.greatest(ratio - sure, F.lit(0.0))
@@ -102,19 +123,7 @@ def allocate(
         ranked = ranked.withColumn(
             name, F.pmod(F.floor(F.col(f"order_{number // 2 + 1}") * F.lit(scale)), F.lit(PARTS)).cast("int")
         )
-    ranked = stored(ranked, "mix-ranked")
-    cutoffs = _cutoffs(ranked)
-    inside = F.lit(False)
-    same = F.lit(True)
-    for name in STEPS:
-        inside = inside | (same & (F.col(name) < F.col(f"cut_{name}")))
-        same = same & (F.col(name) == F.col(f"cut_{name}"))
-    inside = inside | (same & (F.struct("order_1", "order_2", "row_id") <= F.col("last")))
-    joined = ranked.join(cutoffs, ranked["source"].eqNullSafe(cutoffs["cut_source"]), "left")
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("sure") + F.coalesce(inside, F.lit(False)).cast("long")).alias("copies"), *keep,
-    )
+    return ranked
 
 
 def _cutoffs(ranked: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from hiremill.llm.common import stored
 
 TILE_ROWS = 512
+#: Bytes of the texts of a chunk, where rows carry texts.
+TILE_BYTES = 1 << 22
 
 
 def in_tiles(
@@ -26,19 +28,26 @@ def in_tiles(
     work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
     schema: str,
     tile: int | None = None,
+    weight: str | None = None,
+    tile_weight: int = TILE_BYTES,
 ) -> DataFrame:
     """`work(rows, starts)` over whole tiles; `starts` are the first rows of each, the end is the last.
 
+    With a column `weight`, a chunk also holds about `tile_weight` of its sum at most.
+
     `rows` is read twice and should be a stored table. Buckets of one row are left out. In a tile of
     two chunks the column `half` is 0 for one chunk and 1 for the other, so that `work` can skip the
     pairs inside a chunk, which the tile of that chunk alone holds.
     """
     tile = tile or TILE_ROWS
+    chunks = F.ceil(F.col("rows_") / tile)
+    if weight:
+        chunks = F.least(F.greatest(chunks, F.ceil(F.col("weight_") / tile_weight)), F.col("rows_"))
     sizes = stored(
         rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("rows_"))
+        .agg(F.count(F.lit(1)).alias("rows_"), F.sum(F.col(weight) if weight else F.lit(0)).alias("weight_"))
         .where("rows_ > 1")
-        .select(*key, F.ceil(F.col("rows_") / tile).cast("int").alias("chunks")),
+        .select(*key, chunks.cast("int").alias("chunks")),
         "bucket-sizes",
     )
     chunk = F.pmod(F.xxhash64(F.lit(17), F.col(node)), F.col("chunks")).cast("int")

@@ -84,13 +84,57 @@ def cheapest(value: str) -> float:
     return best[-1]
 
 
-@pytest.mark.parametrize(
-    "value", ["", "a", "password", "P4ssword1999", "qwertyuiop", "aaaaaaaaaa", "abcabcabc!", "2020-01-02x", "xK9$vQ2m", "drowssap12", "19991231"]
-)
-def test_guess_cost_is_the_least(value):
-    own, least = secrets.guess_cost(value), cheapest(value)
-    # repeats and walks begin where their run does, so a cheaper start inside a run may be passed over
-    assert least - 1e-9 <= own <= least + 1e-9 if value != "19991231" else least - 1e-9 <= own
+VALUES = [
+    "", "a", "password", "P4ssword1999", "qwertyuiop", "aaaaaaaaaa", "abcabcabc!", "2020-01-02x", "xK9$vQ2m", "drowssap12",
+    "19991231", "x99991231", "12341999", "aaaaaaab", "abababc", "qweasdqwe", "1231231999", "passpasspass",
+]
+
+
+def test_guess_cost_is_the_least():
+    rng = random.Random(21)
+    odd = ["".join(rng.choices(rng.choice(["ab", "19", "qwe1", "12349", "pas1", "a1!"]), k=rng.randint(1, 16))) for _ in range(300)]
+    long = ["12" * 40 + "x", "a" * 60 + "b" * 3 + "a" * 30, "abc" * 20 + "1999" + "qwert" * 3, "1234567890" * 6]
+    for value in VALUES + odd + long:
+        assert secrets.guess_cost(value) == pytest.approx(cheapest(value), abs=1e-9), value
+        assert secrets.guess_cost(value, enough=3.0) >= min(3.0, cheapest(value)) - 1e-9
+
+
+def plain_base(text):
+    """The base contract by a scan of its own: (start, end, kind) with every pattern tried at every place."""
+    import re
+
+    kinds = [
+        ("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?[ ]*[:=][ ]*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
+        ("access", r"AKIA[A-Z0-9]+", 20, 0),
+        ("hex", r"[0-9a-f]+", 24, 0),
+    ]
+    out = []
+    for number, (kind, pattern, least, group) in enumerate(kinds):
+        at = 0
+        while at <= len(text):
+            match = re.compile(pattern).match(text, at)
+            if match and match.end() > at:
+                if len(match[group]) >= least:
+                    out.append((match.start(), number, f"{kind}:{match.start()}:{match.end()}"))
+                at = match.end()
+            else:
+                at += 1
+    return [s for *_, s in sorted(out)]
+
+
+def test_base_contract_by_its_own_scan(spark):
+    import hashlib
+
+    rng = random.Random(22)
+    parts = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", ":", "=", " ", '"', "'", "abc", "12ab", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", "-", "\n", "Zx9_Qw77"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(400)] + [(400, None)]
+    found = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        own = plain_base(text or "")
+        row = found[i]
+        assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(s.startswith(k) for s in own) for k in ("assign", "access", "hex")]
+        assert row["base_sha256"] == hashlib.sha256(",".join(own).encode()).hexdigest()
+        assert set(own) <= set(row["spans"].split(","))
 
 
 def test_guess_cost_orders_values():

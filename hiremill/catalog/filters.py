@@ -25,6 +25,9 @@ from hiremill.functions.extract import error_reason
 from hiremill.functions.identity import valid_fingerprint
 from hiremill.operators import applications, filters, joins, localization, sets
 from hiremill.operators.dedupe import drop_seen, with_fingerprint
+from hiremill.session import work_folder
+from hiremill.sources.files import read_files
+from hiremill.sources.landed import register as register_landed
 from hiremill.sources.registry import SourceRegistry
 
 _TEXT = "concat_ws(' ', title, description)"
@@ -184,13 +187,13 @@ def localization_errors(spark, folder):
     return localization.localization_errors(attempts, "doc_id")
 
 
-_OFFER_2 = "concat('Éà ô ', source, ' ïé ùà')"
+OFFER_2_SQL = "concat('Éà ô ', source, ' ïé ùà')"
 
 
 # the first offer is empty or in the wrong script, so only the second can be accepted
 @query(
     "localization_gate",
-    f"SELECT doc_id, CASE WHEN trim(text) <> '' AND {BELOW_SQL.format('text')} THEN {_OFFER_2} ELSE text END "
+    f"SELECT doc_id, CASE WHEN trim(text) <> '' AND {BELOW_SQL.format('text')} THEN {OFFER_2_SQL} ELSE text END "
     "AS description FROM documents",
 )
 def localization_gate(spark, folder):
@@ -445,3 +448,92 @@ def source_registry(spark, folder):
 def only_new(spark, folder):
     return sets.only_new(with_fingerprint(posts(spark, folder)), ledger(spark, folder))
 
+
+@query(
+    "isolated_sources",
+    "SELECT o_orderkey AS k, 0 AS source_rank, 'orders' AS source, NULL AS error FROM orders UNION ALL "
+    "SELECT event_id, 3, 'events', NULL FROM events UNION ALL "
+    "SELECT NULL, NULL, name, kind FROM (VALUES ('missing', 'AnalysisException'), ('broken', 'failed')) AS e(name, kind)",
+)
+def isolated_sources(spark, folder):
+    """A source that is not there and one that fails while it is read cost their own rows."""
+    registry = SourceRegistry()
+    registry.register("orders", lambda s, path: s.read.parquet(path).selectExpr("o_orderkey AS k"))
+    registry.register("missing", lambda s, path: s.read.parquet(path))
+    fail = "CASE WHEN o_orderkey > 0 THEN raise_error('broken') END"
+    registry.register("broken", lambda s, path: s.read.parquet(path).selectExpr(f"CAST({fail} AS BIGINT) AS k"))
+    registry.register("events", lambda s, path: s.read.parquet(path).selectExpr("event_id AS k"))
+    paths = {name: f"{folder}/{name}.parquet" for name in registry.names} | {"broken": f"{folder}/orders.parquet"}
+    rows, errors = registry.collect(spark, paths, "k bigint")
+    told = errors.select(
+        F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("int").alias("source_rank"), "source",
+        # the class of an error inside a task differs between Spark's releases
+        F.when(F.col("source") == "missing", F.col("error")).otherwise("failed").alias("error"),
+    )
+    return rows.select("k", "source_rank", "source", F.lit(None).cast("string").alias("error")).unionByName(told)
+
+
+FILES = 10
+_BROKEN_FILE = 7
+
+
+@query(
+    "isolated_files",
+    f"SELECT o_orderkey AS k, CAST(o_orderkey % {FILES} AS INTEGER) AS folder, false AS broken FROM orders "
+    f"WHERE o_orderkey % {FILES} <> {_BROKEN_FILE} UNION ALL SELECT NULL, {_BROKEN_FILE}, true",
+)
+def isolated_files(spark, folder):
+    """The orders in ten files, one of which is none: it costs its rows and is told."""
+    target = work_folder(spark, "isolated")
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"))
+    for number in range(FILES):
+        own = rows.where(F.pmod("k", F.lit(FILES)) == number).coalesce(1)
+        if number == _BROKEN_FILE:
+            own.select(F.col("k").cast("string")).write.text(f"{target}/part={number}")
+        else:
+            own.write.parquet(f"{target}/part={number}")
+    found, errors = read_files(spark, target, "k bigint")
+    number = F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("folder")
+    told = errors.select(F.lit(None).cast("bigint").alias("k"), number, F.lit(True).alias("broken"))
+    return found.select("k", number, F.lit(False).alias("broken")).unionByName(told)
+
+
+LANDINGS = 3
+
+
+def _land(spark, folder, target, number):
+    """A third of the conversations as two files of JSON lines, under names that ascend with the number."""
+    rows = table(spark, folder, "conversations")
+    own = rows.where(F.pmod("conv_id", F.lit(LANDINGS)) == number).select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    own.repartition(2).write.text(f"{target}/{number:03d}")
+
+
+def _messages(payloads):
+    fields = "conv_id bigint, turn bigint, role string, text string"
+    return payloads.select(F.from_json("payload", fields).alias("m")).select("m.*")
+
+
+_CONVERSATIONS = "SELECT conv_id, turn, role, text FROM conversations"
+
+
+@query("read_landed", _CONVERSATIONS)
+def read_landed(spark, folder):
+    """Landed payloads through the library's own data source."""
+    target = work_folder(spark, "landed")
+    for number in range(LANDINGS):
+        _land(spark, folder, target, number)
+    register_landed(spark)
+    return _messages(spark.read.format("landed").load(target))
+
+
+@query("stream_landed", _CONVERSATIONS)
+def stream_landed(spark, folder):
+    """The same as a stream: each of three runs goes on behind the last file of the one before."""
+    target, out = work_folder(spark, "landed"), work_folder(spark, "landed-rows")
+    register_landed(spark)
+    for number in range(LANDINGS):
+        _land(spark, folder, target, number)
+        rows = _messages(spark.readStream.format("landed").load(target))
+        run = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from html.entities import html5, name2codepoint
 
@@ -26,6 +27,18 @@ NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {
 }
 # names that also count without their semicolon, the longest first
 _OPEN_NAMES = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True))
+_TABLE_TYPE = "map<string, map<string, string>>"
+
+
+def _table(names: Mapping[str, str]) -> str:
+    """The names by their first letters, as the text of one literal: a lookup then passes few of them."""
+    found: dict[str, dict[str, str]] = {}
+    for name, value in names.items():
+        found.setdefault(name[0], {})[name] = value
+    return json.dumps(found)
+
+
+_NAMED_TABLE = _table(NAMED_ENTITIES)
 _WINDOWS = "".join(bytes([code]).decode("cp1252", "replace") for code in range(0x80, 0xA0))
 
 
@@ -35,7 +48,11 @@ def decode_entities(text: Column, names: Mapping[str, str] = NAMED_ENTITIES) ->
     A name ends at its semicolon; of one without, the longest known beginning counts. Numbers from
     128 to 159 mean the characters of the Windows code page.
     """
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    table = F.from_json(F.lit(_NAMED_TABLE if names is NAMED_ENTITIES else _table(names)), _TABLE_TYPE)
+
+    def named(name: Column) -> Column:
+        return F.try_element_at(F.try_element_at(table, F.left(name, F.lit(1))), name)
+
     begin = "^(" + "|".join(n for n in _OPEN_NAMES.split("|") if n in names) + ")"
 
     def decode(piece: Column) -> Column:
@@ -49,10 +66,8 @@ def decode_entities(text: Column, names: Mapping[str, str] = NAMED_ENTITIES) ->
         windows = F.nullif(F.substring(F.lit(_WINDOWS), code - 0x7F, F.lit(1)), F.lit("\ufffd"))
         plain = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
         numeric = F.when(valid, F.when(code.between(0x80, 0x9F), F.coalesce(windows, plain)).otherwise(plain)).otherwise("�")
-        closed = F.when(
-            piece.rlike(_CLOSED_NAME), F.try_element_at(table, F.regexp_extract(piece, _CLOSED_NAME, 1))
-        )
-        opened = F.try_element_at(table, F.nullif(F.regexp_extract(piece, begin, 1), F.lit("")))
+        closed = F.when(piece.rlike(_CLOSED_NAME), named(F.regexp_extract(piece, _CLOSED_NAME, 1)))
+        opened = named(F.nullif(F.regexp_extract(piece, begin, 1), F.lit("")))
         found = F.coalesce(
             F.when(code.isNotNull(), F.concat(numeric, F.regexp_replace(piece, _ENTITY, ""))),
             F.concat(closed, F.regexp_replace(piece, _CLOSED_NAME, "")),

@@ -182,21 +182,19 @@ def with_error(df: DataFrame, name: str) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast("string"))
 
 
-def decide_updates(
+def route_updates(
     updates: DataFrame,
     ledger: DataFrame,
     *,
     operators: Sequence[int],
     default_resume: bool = False,
-    current: DataFrame | None = None,
     earlier_resumes: DataFrame | None = None,
-    run_length: int = RUN_LENGTH,
-) -> DataFrame:
-    """One decision per update of the feed: submitted, manual_required, failed, skipped or resume_updated.
+) -> tuple[DataFrame, DataFrame]:
+    """Decisions that need no state, and the clicks that reach the worker of a pair.
 
-    updates: update_id, operator_user_id, kind ('apply', 'resume' or other), vacancy_id,
-    upload_reason (null accepts a resume), outcome (status the worker would leave behind),
-    outcome_error (its error text, optional).
+    The first are uploads, other updates, and clicks on posts that are unknown or have no link. The clicks
+    carry update_id, the pair, and the outcome they would leave behind, which is ``profile_missing`` as long
+    as the operator has stored no resume.
     """
     updates = with_error(updates, "outcome_error")
     allowed = F.coalesce(F.col("operator_user_id").isin(*operators), F.lit(False))
@@ -243,8 +241,29 @@ def decide_updates(
         F.when(F.col("_known"), "failed").alias("status_after"),
         F.when(F.col("_known"), terms.NO_URL_ERROR).alias("error_after"),
     )
-    decided = decide_clicks(met.filter(linked).drop("_url", "_known"), current, run_length=run_length)
-    return other.unionByName(refused).unionByName(decided)
+    return other.unionByName(refused), met.filter(linked).drop("_url", "_known")
+
+
+def decide_updates(
+    updates: DataFrame,
+    ledger: DataFrame,
+    *,
+    operators: Sequence[int],
+    default_resume: bool = False,
+    current: DataFrame | None = None,
+    earlier_resumes: DataFrame | None = None,
+    run_length: int = RUN_LENGTH,
+) -> DataFrame:
+    """One decision per update of the feed: submitted, manual_required, failed, skipped or resume_updated.
+
+    updates: update_id, operator_user_id, kind ('apply', 'resume' or other), vacancy_id,
+    upload_reason (null accepts a resume), outcome (status the worker would leave behind),
+    outcome_error (its error text, optional).
+    """
+    plain, clicks = route_updates(
+        updates, ledger, operators=operators, default_resume=default_resume, earlier_resumes=earlier_resumes
+    )
+    return plain.unionByName(decide_clicks(clicks, current, run_length=run_length))
 
 
 def final_statuses(decisions: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiremill import terms
-from hiremill.operators.dedupe import first_n, first_wins, ties
+from hiremill.operators.dedupe import drop_seen, first_n, first_wins, new_posts, ties
+from hiremill.session import work_folder
 
 Intent = tuple[int, str, str, str]
 
@@ -130,38 +131,42 @@ def first_provider_with_news(candidates: DataFrame, quotas: DataFrame) -> DataFr
 def cap_then_dedupe(posts: DataFrame, ledger: DataFrame, max_posts: int) -> DataFrame:
     """The one-shot cap: each source is cut to what is left of the cap, then deduplicated.
 
-    Already published posts use up a source's share. Sources follow one another, because
-    the share of the next one depends on what the earlier ones really published. Only the
-    first ``max_posts`` rows of each source can matter, so the fold sees no more than that.
+    Already published posts use up a source's share, and the share of the next one depends on what the
+    earlier ones really published. All sources are settled at once, in rounds: from the shares of a round
+    follows what each source publishes, a fingerprint going to the first source that has it within its
+    share, and from that the shares of the next round. What the first source publishes is right after the
+    first round, and each round settles at least one more source that matters; in most cases all after
+    two or three. Only the first ``max_posts`` rows of a source can matter.
 
     Columns needed: source_rank, position, fingerprint; zero or less means no cap.
     """
     order = [F.col("position"), F.col("fingerprint")]
     if max_posts <= 0:
-        from hiremill.operators.dedupe import new_posts
-
         return new_posts(posts, ledger, [F.col("source_rank"), *order])
-    heads = first_n(posts, ["source_rank"], order, max_posts)
-    seen = ledger.select("fingerprint").distinct().withColumn("_seen", F.lit(True))
-    small = (
-        heads.select("source_rank", "position", "fingerprint")
-        .join(seen, "fingerprint", "left")
-        .withColumn("seen", F.coalesce("_seen", F.lit(False)))
-        .drop("_seen")
-    )
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        published: set[str] = set()
-        kept = []
-        for _, source in rows.sort_values(["source_rank", "position", "fingerprint"]).groupby("source_rank"):
-            if len(published) >= max_posts:
-                break
-            for row in source.head(max_posts - len(published)).itertuples():
-                if not row.seen and row.fingerprint not in published:
-                    published.add(row.fingerprint)
-                    kept.append((row.source_rank, row.position, row.fingerprint))
-        return pd.DataFrame(kept, columns=names)
-
-    names = ["source_rank", "position", "fingerprint"]
-    chosen = small.groupBy().applyInPandas(fold, heads.select(*names).schema)
-    return first_wins(heads.join(chosen, names, "left_semi"), names, ties(heads))
+    spark = posts.sparkSession
+    heads = first_n(posts, ["source_rank"], [*order, *ties(posts)], max_posts, rank="_place")
+    heads = _kept(heads, work_folder(spark, "one-shot-heads"))
+    names = ["source_rank", "_place", "fingerprint"]
+    unseen = drop_seen(heads.select(*names), ledger)
+    unseen = _kept(unseen, work_folder(spark, "one-shot-unseen"))
+    shares = heads.select("source_rank").distinct().withColumn("share", F.lit(max_posts).cast("long"))
+    state, before = None, object()
+    while state != before:
+        within = unseen.join(shares, "source_rank").where(F.col("_place") <= F.col("share"))
+        firsts = within.groupBy("fingerprint").agg(F.min(F.struct("source_rank", "_place")).alias("_first"))
+        firsts = _kept(firsts, work_folder(spark, "one-shot-firsts"))
+        published = firsts.groupBy(F.col("_first.source_rank").alias("source_rank")).agg(F.count(F.lit(1)).alias("n"))
+        # one row for each source stands in this window
+        earlier = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.greatest(F.lit(max_posts) - F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(earlier), F.lit(0)), F.lit(0))
+        shares = shares.select("source_rank").join(published, "source_rank", "left").select("source_rank", left.alias("share"))
+        shares = _kept(shares, work_folder(spark, "one-shot-shares"))
+        before, state = state, shares.agg(F.sum(F.xxhash64("source_rank", "share").cast("decimal(38,0)"))).first()[0]
+    chosen = firsts.select("_first.source_rank", "_first._place")
+    return heads.join(chosen, ["source_rank", "_place"], "left_semi").drop("_place")
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table in the shared folder, which several rounds read."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,34 +43,71 @@ def term_match(
 ) -> DataFrame:
     """(key, term) for every dictionary term a text contains, for dictionaries too large for one pattern.
 
-    Substring search as an equi-join: the distinct character sequences of a text meet the terms
-    filed under one of theirs, the one fewest terms have. Terms longer than their sequence are then
-    searched in the text itself. No text is paired with the whole dictionary, and a term may have
-    any length.
+    Substring search as an equi-join: a term is filed under one sequence of three of its characters (the whole
+    term, if it is shorter), the one fewest terms have. Of the sequences of a text only those that a Bloom
+    filter of the filed ones knows leave the scan, and meet the terms there. Terms longer than their
+    sequence are then searched in the text. The filter has a fixed size, whatever the dictionary's; it is
+    all that reaches the driver. No text is paired with the whole dictionary, and a term may have any length.
     """
     words = dictionary.select(F.col(term), F.lower(F.col(term)).alias("_term")).filter(F.length("_term") > 0).distinct()
-    filed = words.withColumn("_gram", F.explode(_grams(F.col("_term"))))
+    filed = words.withColumn("_gram", F.explode(_filed_grams(F.col("_term"))))
     spread = filed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = filed.join(spread, "_gram").groupBy(term, "_term").agg(
         F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram")
     )
-    found = texts.select(key, F.lower(F.col(text)).alias("_text")).filter(F.length("_text") > 0)
-    pieces = found.select(key, F.explode(F.array_union(_grams(F.col("_text")), _letters(F.col("_text")))).alias("_gram"))
-    met = pieces.join(rarest, "_gram").select(key, term, "_term", "_gram").distinct()
+    known = _gram_filter(rarest)
+    lowered = texts.select(key, F.lower(F.col(text)).alias("_text")).filter(F.length("_text") > 0)
+    grams = [_filtered(_sequences(F.col("_text"), size), bits) for size, bits in sorted(known.items())]
+    found = F.concat(*grams) if grams else F.array().cast("array<string>")
+    pieces = lowered.select(key, "_text", F.array_distinct(found).alias("_grams")).filter(F.size("_grams") > 0)
+    met = pieces.select(key, F.explode("_grams").alias("_gram")).join(rarest, "_gram").select(key, term, "_term", "_gram")
     settled = met.filter(F.col("_term") == F.col("_gram")).select(key, term)
-    open_pairs = met.filter(F.col("_term") != F.col("_gram")).select(key, term, "_term")
-    checked = open_pairs.join(found, key).filter(F.contains(F.col("_text"), F.col("_term"))).select(key, term)
-    return settled.unionByName(checked).distinct()
+    open_pairs = met.filter(F.col("_term") != F.col("_gram")).groupBy(key).agg(
+        F.collect_set(F.struct(term, "_term")).alias("_terms")
+    )
+    # a text meets all its terms in one row
+    inside = F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_term"]))
+    checked = pieces.select(key, "_text").join(open_pairs, key).select(key, F.explode(inside).alias("_found"))
+    return settled.unionByName(checked.select(key, F.col(f"_found.{term}").alias(term))).distinct()
+
+
+#: Characters of a sequence that terms are filed under, and bits of the filter of each length.
+_GRAM = 3
+_FILTER_BITS = 1 << 20
+
+
+def _sequences(text: Column, size: int) -> Column:
+    """Every sequence of so many characters."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _filed_grams(term: Column) -> Column:
+    """The sequences a term may be filed under; a short term is one itself."""
+    return F.when(F.length(term) >= _GRAM, F.array_distinct(_sequences(term, _GRAM))).otherwise(F.array(term))
+
+
+def _place(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(_FILTER_BITS)).cast("int")
+
+
+def _gram_filter(rarest: DataFrame) -> dict[int, Column]:
+    """For each length of a filed sequence the words of its filter, 64 bits each."""
+    places = rarest.select(F.length("_gram").alias("size"), _place(F.col("_gram")).alias("place"))
+    bit = F.expr("shiftleft(1L, place % 64)")
+    words = places.groupBy("size", F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found: dict[int, list[int]] = {}
+    for row in words.collect():
+        found.setdefault(row["size"], [0] * (_FILTER_BITS // 64))[row["word"]] = row["bits"]
+    return {size: F.from_json(F.lit(json.dumps(bits)), "array<bigint>") for size, bits in found.items()}
 
 
-def _letters(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)))
+def _filtered(grams: Column, bits: Column) -> Column:
+    """The sequences whose bit is set."""
 
+    def held(place: Column) -> Column:
+        return F.getbit(F.get(bits, F.shiftright(place, 6)), F.pmod(place, F.lit(64))) == 1
 
-def _grams(text: Column, size: int = 3) -> Column:
-    """Distinct sequences of ``size`` characters; of a shorter text its first character."""
-    every = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-    return F.when(F.length(text) >= size, every).otherwise(F.array(F.substring(text, 1, 1)))
+    return F.filter(grams, lambda gram: held(_place(gram)))
 
 
 def intent_quota_zip(intents: DataFrame, quotas: DataFrame, keys: Sequence[str] = ("intent_pos",)) -> DataFrame:

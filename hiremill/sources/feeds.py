@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,34 +11,105 @@ from hiremill.functions.extract import clean_result_title
 from hiremill.functions.html import decode_entities, html_to_text
 from hiremill.functions.text import let, strip
 
-_COMMENT = r"(?s)<!--.*?-->"
-_ITEM = r"(?s)<item(?:\s[^>]*)?(?<!/)>(.*?)</item\s*>"
-_TAG = r"<[^>]*>"
+#: Comments, sections of characters, instructions and declarations: markup in them is none.
+_OPAQUE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Za-z][^>\[]*(?:\[.*?\]\s*)?>"
+_CDATA = "<![CDATA["
+_TAG_OR_TEXT = r"""<[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>|[^<]++"""
+_TAG_NAME = r"^<([^\s/>]+)"
 _XML_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_FIELDS = ("title", "link", "description", "pubDate")
+
+
+def plain_markup(xml: Column) -> Column:
+    """The same document of tags and text alone: comments and instructions go, sections are spelled with references."""
+
+    def spelled(part: Column) -> Column:
+        inside = F.substring(part, F.lit(len(_CDATA) + 1), F.length(part) - len(_CDATA) - 3)
+        escaped = F.replace(F.replace(F.replace(inside, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.when(F.startswith(part, F.lit(_CDATA)), escaped).otherwise("")
+
+    def joined(text: Column) -> Column:
+        parts = F.zip_with(
+            F.split(text, _OPAQUE, -1), F.regexp_extract_all(text, F.lit(_OPAQUE), F.lit(0)),
+            lambda between, part: F.concat(between, F.coalesce(spelled(part), F.lit(""))),
+        )
+        return F.when(text.rlike("<[!?]"), F.array_join(parts, "")).otherwise(text)
+
+    return let(xml, joined)
+
+
+def item_texts(markup: Column) -> Column:
+    """From each ``<item`` of a document of tags and text on, as far as it takes to hold the whole item.
+
+    A piece ends before the next item begins; one that is not closed there holds other items, and goes on to the end.
+    """
 
+    def pieces(parts: Column) -> Column:
+        def whole(part: Column, at: Column) -> Column:
+            closed = F.contains(part, F.lit("</item")) | part.rlike(r"^<item[^>]*/>")
+            rest = F.array_join(F.slice(parts, at + 1, F.size(parts)), "")
+            return F.when(closed, part).otherwise(rest)
 
-def inner_text(markup: Column) -> Column:
-    """Text of an element: tags left out, references decoded, CDATA sections as they are."""
+        return F.filter(F.transform(parts, whole), lambda part: part.rlike(r"^<item[\s/>]"))
 
-    def plain(part: Column) -> Column:
-        return decode_entities(F.regexp_replace(part, _TAG, ""), _XML_ENTITIES)
+    # what stands before the first item is none
+    return let(F.split(markup, r"(?=<item[\s/>])", -1), pieces)
 
-    def section(piece: Column) -> Column:
-        end = F.locate("]]>", piece)
-        return F.concat(
-            F.when(end > 0, F.substring(piece, F.lit(1), end - 1)).otherwise(piece),
-            F.when(end > 0, plain(F.substring(piece, end + 3, F.length(piece)))).otherwise(""),
+
+def child_texts(item: Column, names: Sequence[str] = _FIELDS) -> Column:
+    """The text of the first direct child of each name: a struct, empty text for a child that is missing.
+
+    One pass over the tags with the depth: a name counts right below the item, whatever stands deeper.
+    """
+    empty = F.lit(None).cast("string")
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("over"), empty.alias("open"), *[empty.alias(n) for n in names]
+    )
+
+    def step(state: Column, token: Column) -> Column:
+        tag = F.startswith(token, F.lit("<"))
+        closes = F.startswith(token, F.lit("</"))
+        alone = tag & F.endswith(token, F.lit("/>"))
+        opens = tag & ~closes & ~alone
+        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        name = F.when(tag & ~closes & (state["depth"] == 1), F.regexp_extract(token, _TAG_NAME, 1))
+        open_ = (
+            F.when(opens & (state["depth"] == 1), name).when(closes & (depth == 1), empty).otherwise(state["open"])
+        )
+
+        def field(own: str) -> Column:
+            held = state[own]
+            begins = (name == own) & held.isNull()
+            # a second child of the name finds the text of the first, which its mark keeps apart
+            adds = ~tag & (state["open"] == own)
+            closed = closes & (depth == 1) & (state["open"] == own)
+            mark = F.endswith(F.coalesce(held, F.lit("")), F.lit("\0"))
+            return (
+                F.when(begins, F.when(alone, F.lit("\0")).otherwise(""))
+                .when(adds & ~mark, F.concat(held, token))
+                .when(closed & ~mark, F.concat(held, F.lit("\0")))
+                .otherwise(held)
+            )
+
+        moved = F.struct(
+            depth.alias("depth"), (state["over"] | (tag & (depth == 0))).alias("over"), open_.alias("open"),
+            *[field(n).alias(n) for n in names],
         )
+        return F.when(state["over"], state).otherwise(moved)
 
-    def join(pieces: Column) -> Column:
-        tail = F.transform(F.slice(pieces, 2, 1 << 30), section)
-        return F.concat(plain(F.element_at(pieces, 1)), F.array_join(tail, ""))
+    def text(found: Column, name: str) -> Column:
+        raw = F.replace(F.coalesce(found[name], F.lit("")), F.lit("\0"), F.lit(""))
+        return strip(decode_entities(raw, _XML_ENTITIES)).alias(name)
 
-    return let(F.split(markup, r"<!\[CDATA\["), join)
+    tokens = F.regexp_extract_all(item, F.lit(_TAG_OR_TEXT), F.lit(0))
+    return F.aggregate(tokens, start, step, lambda found: F.struct(*[text(found, n) for n in names]))
 
 
 def scan_rss_items(feeds: DataFrame, rss: str = "rss") -> DataFrame:
-    """One row per item of a well-formed feed, at any depth; blank or malformed feeds give no rows."""
+    """One row per item of a well-formed feed, at any depth; blank or malformed feeds give no rows.
+
+    Title, link, description and date are those right below the item. An item without any child gives no row.
+    """
     parsed = F.from_xml(
         F.col(rss), "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
@@ -45,18 +118,14 @@ def scan_rss_items(feeds: DataFrame, rss: str = "rss") -> DataFrame:
     whole = filled.select(*kept, F.col(rss).alias("_rss"), parsed.alias("_feed")).filter(
         F.col("_feed._corrupt").isNull()
     )
-    items = F.regexp_extract_all(F.regexp_replace("_rss", _COMMENT, ""), F.lit(_ITEM), F.lit(1))
+    items = F.filter(item_texts(plain_markup(F.col("_rss"))), lambda item: ~item.rlike(r"^<item[^>]*(?:/>|>\s*</item)"))
     rows = whole.select(*kept, F.posexplode(items).alias("_at", "_item"))
-
-    def text(name: str) -> Column:
-        element = rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>(.*?)</{name}\s*>"
-        return strip(inner_text(F.regexp_extract("_item", element, 1)))
-
-    return rows.select(
+    read = rows.select(*kept, "_at", child_texts(F.col("_item")).alias("_read"))
+    return read.select(
         *kept,
         (F.col("_at") + 1).alias("position"),
-        clean_result_title(text("title")).alias("title"),
-        text("link").alias("link"),
-        html_to_text(text("description")).alias("snippet"),
-        text("pubDate").alias("date_text"),
+        clean_result_title(F.col("_read.title")).alias("title"),
+        F.col("_read.link").alias("link"),
+        html_to_text(F.col("_read.description")).alias("snippet"),
+        F.col("_read.pubDate").alias("date_text"),
     )

@@ -1,14 +1,14 @@
-"""The published ledger as Parquet: append-only, one folder per batch."""
+"""The published ledger as Parquet: append-only, a folder per batch, old batches merged into runs."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiremill import schemas
 from hiremill.functions.identity import valid_fingerprint
 from hiremill.operators.dedupe import new_posts
+from hiremill.sources import runs
 
 LEDGER_COLUMNS = ("fingerprint", "title", "source", "url")
 
@@ -33,17 +33,19 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 def read_batches(
     spark: SparkSession, path: str, schema: str = schemas.PUBLISHED, *, before: int | None = None
 ) -> DataFrame:
-    """All batches of a table, or those before a batch; a table without batches is empty."""
-    schema = f"{schema}, batch int"
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    """All rows of a table of batches and runs, or those before a batch; a table without batches is empty."""
+    rows = runs.read_parts(spark, path, schema, runs.parts_of(spark, path, before))
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
+def schema_of(spark: SparkSession, path: str) -> str:
+    """The columns of a table of batches, from its newest batch."""
+    last = max(p for p in runs.parts_of(spark, path) if not p.level)
+    return ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{last.name}").schema.fields
+    )
+
+
 def evolve_ledger(*versions: DataFrame) -> DataFrame:
     """Tables of several versions as one; columns a version lacks are null."""
     first, *rest = versions

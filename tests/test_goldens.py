@@ -427,6 +427,38 @@ def test_feeds_with_channels_depth_and_inner_markup(spark):
     ]
 
 
+def test_feeds_are_read_by_depth(spark):
+    from xml.etree import ElementTree
+
+    from hiremill.sources.feeds import scan_rss_items
+
+    feeds = [
+        "<rss><channel><item><title><![CDATA[a </item> b]]></title><link>http://x/1</link></item></channel></rss>",
+        "<rss><channel><item><image><title>logo</title><link>no</link></image><title>real</title><link>l</link></item></channel></rss>",
+        "<rss><channel><description><![CDATA[<item><title>ghost</title></item>]]></description><item><title>t</title></item></channel></rss>",
+        "<rss><item><title><![CDATA[keep <!-- this --> text]]></title><description>x<!-- not --> y</description></item></rss>",
+        "<rss><item><title>outer</title><group><item><title>inner</title></item></group><link>after</link></item></rss>",
+        "<rss><item><a><a><title>deep</title></a></a><title/><title>second</title><link>one<b> two</b></link><link>three</link></item></rss>",
+        "<!DOCTYPE rss [<!ENTITY x 'y'>]><rss><item a='>'><title k='/item>'>t</title><pubDate> d </pubDate></item></rss>".replace("[<!ENTITY x 'y'>]", ""),
+        "<rss><items><item><items/><title>plural</title></item></items></rss>",
+        "<rss><item><title>&amp;lt; &#233; &quot;</title></item><item> <title>b</title></item></rss>",
+    ]
+
+    def standard(feed):
+        rows = []
+        for item in ElementTree.fromstring(feed).findall(".//item"):
+            child = lambda name: "".join(e.itertext()).strip() if (e := item.find(name)) is not None else ""  # noqa: B023, E731
+            rows.append((child("title"), child("link"), child("pubDate")))
+        return rows
+
+    table = spark.createDataFrame(list(enumerate(feeds)), "k int, rss string")
+    found = scan_rss_items(table).orderBy("k", "position").collect()
+    for number, feed in enumerate(feeds):
+        own = [(r.title, r.link, r.date_text) for r in found if r.k == number]
+        assert own == standard(feed), feed
+    assert [r.snippet for r in found if r.k == 3] == ["x y"]
+
+
 def test_links_skip_comments_scripts_and_guarded_pages(spark):
     from hiremill.sources.pages import page_links
 

@@ -14,7 +14,7 @@ from hiremill.operators.filters import filter_fresh
 
 # queries whose rules need Python batches; everything else stays in the JVM
 PYTHON = {
-    "cap_then_dedupe", "publish_one_shot", "first_provider_with_news", "discovery_queue", "scan_result_pages", "page_main_text",
+    "first_provider_with_news", "discovery_queue", "scan_result_pages", "page_main_text",
     "requires_manual_access", "page_links", "validate_localized", "localization_errors", "localization_gate",
     "localization_gate_strict", "page_posts",
 }
@@ -90,7 +90,7 @@ def test_computed_filters_run_once(spark, small):
     assert plan.count("from_json(StructField(title") == 1
 
 
-@pytest.mark.parametrize("name", sorted(PYTHON - {"cap_then_dedupe", "publish_one_shot", "first_provider_with_news", "discovery_queue"}))
+@pytest.mark.parametrize("name", sorted(PYTHON - {"first_provider_with_news", "discovery_queue"}))
 def test_python_runs_once(spark, small, name):
     plan = plan_of(QUERIES[name](spark, small))
     assert plan.count("ArrowEvalPython") + plan.count("MapInPandas") == 1

@@ -40,13 +40,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """The rows of a table in fewer files than cores, dealt to all cores before heavy text work.
+#: Session setting: partitions that the given tables are dealt to before heavy text work. A table of one file with
+#: one row group is one task otherwise. Without it tables are read as they lie, which is right for large ones.
+DEAL_TO = "spark.hiremill.dealTo"
+
 
-    A file of one row group is one task however the splits are set; a table of many files stays put.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a table, dealt by a key where the session asks for it."""
+    parts = df.sparkSession.conf.get(DEAL_TO, None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 # ---------------------------------------------------------------- SQL helpers

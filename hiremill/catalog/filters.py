@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hiremill import terms
 from hiremill.catalog.base import (
+    lit,
     CUTOFF_SQL,
     MAX_AGE_HOURS,
     NOW,
@@ -166,11 +167,31 @@ def _documents(spark, folder):
     return documents(spark, folder).withColumnRenamed("text", "description").select("doc_id", "description")
 
 
-@query("validate_localized")
+# texts short enough that the similarity of two of the same letters is exactly one
+_SHORT = "substr(text, 1, 150)"
+
+
+def _short_offers(spark, folder):
+    """Four offers for the beginning of every document: none, one in the wrong script, the original in accents, a new one."""
+    start = F.left(F.col("text"), F.lit(150))
+    offers = [
+        F.lit(" "), F.regexp_replace(start, "[À-ÿ]+", ""),
+        F.concat(F.repeat(F.lit("é "), F.length(start)), start), F.lit("Éà ô ïé"),
+    ]
+    rows = documents(spark, folder).select("doc_id", start.alias("description"), F.array(*offers).alias("offers"))
+    texts = rows.select("doc_id", F.posexplode("offers").alias("model_rank", "text"))
+    return rows.drop("offers"), texts
+
+
+@query(
+    "validate_localized",
+    f"SELECT doc_id, unnest([0, 1, 2, 3]) AS model_rank, unnest([{', '.join(lit(r) for r in terms.LOCALIZATION_REASONS)}, NULL]) "
+    f"AS reason FROM (SELECT doc_id, {_SHORT} AS text FROM documents) WHERE trim(text) <> '' AND {BELOW_SQL.format('text')}",
+)
 def validate_localized(spark, folder):
-    originals = documents(spark, folder).select("doc_id", F.lit(3).alias("model_rank"), "text")
-    texts = localized_texts(spark, folder).unionByName(originals)
-    attempts = localization.localization_attempts(_documents(spark, folder), texts, "doc_id", **ACCENTED)
+    """Offers whose outcome is known: refused as empty, for their script, as a copy, and accepted."""
+    posts, texts = _short_offers(spark, folder)
+    attempts = localization.localization_attempts(posts, texts, "doc_id", **ACCENTED)
     return attempts.select("doc_id", "model_rank", "reason")
 
 

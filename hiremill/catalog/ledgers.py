@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hiremill import terms
-from hiremill.catalog.base import ledger, posts, query, table, updates, with_views
+from hiremill.catalog.base import ORACLES, ledger, posts, query, table, updates, with_views
 from hiremill.operators import applications, profiles
 from hiremill.operators.dedupe import with_fingerprint
 from hiremill.plans import jobs
+from hiremill.session import work_folder
+from hiremill.sources import keyed
 from hiremill.sources.ledger import evolve_ledger, lookup_published_url, rows_to_publish
 
 
@@ -126,11 +128,7 @@ FROM customer FULL JOIN (SELECT user_id, min(event_id) AS lo, max(event_id) AS h
   FROM events GROUP BY user_id) ON c_custkey = user_id""",
 )
 def upsert_profiles(spark, folder):
-    changes = table(spark, folder, "events").selectExpr(
-        "user_id AS operator_user_id", "event_id AS version", "event_type AS full_name",
-        "CASE WHEN value > 10 THEN props END AS email", "'moved' AS location",
-    )
-    return profiles.upsert_profiles(_configured(spark, folder), changes, _FIELDS)
+    return profiles.upsert_profiles(_configured(spark, folder), _profile_changes(spark, folder), _FIELDS)
 
 
 @query(
@@ -156,6 +154,56 @@ def patch_profiles(spark, folder):
     return profiles.patch_profiles(_configured(spark, folder), known, _FIELDS)
 
 
+_KEYED = "operator_user_id bigint, full_name string, email string, location string, created_version bigint, updated_version bigint"
+
+
+def _profile_changes(spark, folder):
+    return table(spark, folder, "events").selectExpr(
+        "user_id AS operator_user_id", "event_id AS version", "event_type AS full_name",
+        "CASE WHEN value > 10 THEN props END AS email", "'moved' AS location",
+    )
+
+
+@query("keyed_profiles", ORACLES["upsert_profiles"])
+def keyed_profiles(spark, folder):
+    """The same upserts in three changes of a stored table, each of which rewrites the buckets it meets."""
+    path = work_folder(spark, "profiles")
+    first = _configured(spark, folder).selectExpr(
+        "operator_user_id", *_FIELDS, "version AS created_version", "version AS updated_version"
+    )
+    keyed.write_keyed(first, path, "operator_user_id")
+    changes = _profile_changes(spark, folder)
+    for number in range(3):
+        keyed.change_keyed(
+            spark, path, _KEYED, "operator_user_id", changes.where(F.pmod("version", F.lit(3)) == number),
+            lambda rows, new: profiles.merge_profiles(rows, new, _FIELDS),
+        )
+    return keyed.read_keyed(spark, path, _KEYED)
+
+
+_STATUSES = "application_id bigint, status string, error_description string"
+
+
+@query("keyed_statuses", ORACLES["update_application_status"])
+def keyed_statuses(spark, folder):
+    """Status changes applied to a stored table in two stretches, the later after the earlier."""
+    path = work_folder(spark, "statuses")
+    begun = table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS application_id", "'created' AS status", "CAST(NULL AS STRING) AS error_description"
+    )
+    keyed.write_keyed(begun, path, "application_id")
+    changes = table(spark, folder, "events").selectExpr(
+        "event_id div 3 AS application_id", "event_id AS seq", "event_type AS status",
+        "CASE WHEN event_id % 2 = 0 THEN props END AS error",
+    )
+    half = changes.agg(F.max("seq")).first()[0] // 2
+    for stretch in (F.col("seq") <= half, F.col("seq") > half):
+        keyed.change_keyed(
+            spark, path, _STATUSES, "application_id", changes.where(stretch), applications.update_application_status
+        )
+    return keyed.read_keyed(spark, path, _STATUSES)
+
+
 _EXTRA_JSON = (
     "CASE WHEN c_nationkey % 3 = 0 THEN concat('{\"segment\": \"', c_mktsegment, '\", \"name\": \"', c_name, '\"}') "
     "WHEN c_nationkey % 3 = 1 THEN concat('{\"key\": ', c_custkey, '}') ELSE '{}' END"

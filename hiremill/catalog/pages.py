@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from hiremill.catalog.base import (
@@ -129,6 +131,79 @@ def result_rows(spark, folder):
     return rows.select("page_id", F.col("position").alias("first_place"), "title", "link")
 
 
+_RESULTS = (
+    # a page of marked anchors: the link behind a redirect, the snippet and the date inside the box of the anchor
+    """<div class="x result"><h2><a rel="n" class="result__a" href="//duckduckgo.com/l/?uddg={encoded}&amp;rut=1">"""
+    """First {id} &amp; Co - LinkedIn</a></h2><a class="result__snippet">Part <b>{id}</b>  of it</a><time datetime=" d{id} ">x</time>"""
+    """</div><div class="result"><a class="result-link" href=" {url} ">again</a></div><a href="https://other.example/">other</a>""",
+    # a page of list items: the first anchor of each, a snippet by rank of its selector, an item without anchor
+    """<ol><li class="b_algo"><p>early</p><h2><a href="{url}">Second {id} | LinkedIn</a></h2><div class="b_caption"><p>Caption {id}</p>"""
+    """</div><span class="news_dt"> Jul {id}, 2026 </span></li><li class="b_algo"><p>none</p></li></ol><a href="https://other.example/">other</a>""",
+    # neither: every anchor, the snippet that follows, and no date outside a box; comments hold no anchors
+    """<!-- <a class="result__a" href="https://hidden.example/">no</a> --><p><a href="{url}">Third {id}</a></p>"""
+    """<p class="result-snippet">After {id}</p><time>d{id}</time><a name="top">no link</a>""",
+)
+
+
+def _result_pages(spark, folder):
+    """Search-result pages of each of the three kinds, and challenge pages among them."""
+    def page(template):
+        parts = []
+        for piece in re.split(r"({[a-z]+})", template):
+            value = {"{id}": F.col("page_id").cast("string"), "{url}": F.col("url"), "{encoded}": F.url_encode("url")}
+            parts.append(value.get(piece, F.lit(piece)))
+        return F.concat(*parts)
+
+    kind = F.col("page_id") % 3
+    html = F.when(kind == 0, page(_RESULTS[0])).when(kind == 1, page(_RESULTS[1])).otherwise(page(_RESULTS[2]))
+    guard = F.when(F.col("page_id") % 10 == 9, F.lit("<form id='challenge-form'>")).otherwise("")
+    return web_pages(spark, folder).select("page_id", F.concat(F.lit("<html><body>"), html, guard).alias("html"))
+
+
+@query(
+    "scan_result_tiers",
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('First ', page_id, ' & Co') WHEN 1 THEN concat('Second ', page_id)
+    ELSE concat('Third ', page_id) END AS title, url AS target,
+  CASE page_id % 3 WHEN 0 THEN concat('Part ', page_id, ' of it') WHEN 1 THEN concat('Caption ', page_id)
+    ELSE concat('After ', page_id) END AS snippet,
+  CASE page_id % 3 WHEN 0 THEN concat('d', page_id) WHEN 1 THEN concat('Jul ', page_id, ', 2026') ELSE '' END AS date_text
+FROM pages WHERE page_id % 10 <> 9""",
+)
+def result_tiers(spark, folder):
+    """Titles, links, snippets and dates of every kind of result page."""
+    rows = scan_result_pages(_result_pages(spark, folder))
+    return rows.select("page_id", "title", urls.unwrap_redirect_url(F.col("link")).alias("target"), "snippet", "date_text")
+
+
+_MAIN_TEXTS = (
+    '<article><p class="attributed-text-segment-list__content">{}</p></article>',
+    '<article><div class="x-attributed-text-segment-list__content-y">{}</div></article>',
+    '<p class="z attributed-text-segment-list__content">{}</p>',
+    '<div class="attributed-text-segment-list__content-2">{}</div>',
+    '<div class="feed-shared-update-v2__description-wrapper">{}</div>',
+    '<span class="a feed-shared-inline-show-more-text">{}</span>',
+    '<div data-test-id="main-feed-activity-card__commentary">{}</div>',
+)
+
+
+@query(
+    "page_main_text_ranks",
+    f"SELECT page_id, CASE WHEN page_id % {len(_MAIN_TEXTS) + 1} = {len(_MAIN_TEXTS)} THEN '' "
+    "ELSE concat('Text & ', page_id, ' here') END AS main_text FROM pages",
+)
+def main_text_ranks(spark, folder):
+    """Pages with the elements of all selectors in reverse: those of better rank are empty, those of lesser rank hold more."""
+    rank = F.col("page_id") % (len(_MAIN_TEXTS) + 1)
+    parts = []
+    for number, markup in reversed(list(enumerate(_MAIN_TEXTS))):
+        before, after = markup.split("{}")
+        own = F.concat(F.lit("Text &amp; <i>"), F.col("page_id").cast("string"), F.lit("</i>\n here"))
+        inside = F.when(rank == number, own).when(rank < number, F.lit("a text of lesser rank")).otherwise(F.lit(" <!-- none --> "))
+        parts.append(F.concat(F.lit(before), inside, F.lit(after)))
+    rows = web_pages(spark, folder).select("page_id", F.concat(*parts).alias("html"))
+    return rows.select("page_id", page_main_text(F.col("html")).alias("main_text"))
+
+
 @query(
     "requires_manual_access",
     f"""SELECT page_id, contains(lower({sql_text('html')}), 'that at') OR page_id % 4 = 0 AS manual FROM pages""",

@@ -184,20 +184,20 @@ def application_decisions(spark, folder):
     return _decisions(spark, folder).select("update_id", "decision", "processed", "status_after", "error_after")
 
 
-@query(
-    "queue_tally",
-    decisions_sql(
-        "SELECT count(*) AS updates_seen, count(*) FILTER (WHERE processed) AS applications_processed, "
-        + ", ".join(
-            f"count(*) FILTER (WHERE decision = '{d}') AS {name}"
-            for d, name in (
-                ("submitted", "submitted"), ("manual_required", "manual_required"), ("failed", "failed"),
-                ("skipped", "skipped"), ("resume_updated", "resumes_updated"),
-            )
+TALLY_SQL = decisions_sql(
+    "SELECT count(*) AS updates_seen, count(*) FILTER (WHERE processed) AS applications_processed, "
+    + ", ".join(
+        f"count(*) FILTER (WHERE decision = '{d}') AS {name}"
+        for d, name in (
+            ("submitted", "submitted"), ("manual_required", "manual_required"), ("failed", "failed"),
+            ("skipped", "skipped"), ("resume_updated", "resumes_updated"),
         )
-        + " FROM decisions"
-    ),
+    )
+    + " FROM decisions"
 )
+
+
+@query("queue_tally", TALLY_SQL)
 def queue_tally(spark, folder):
     return applications.queue_tally(_decisions(spark, folder))
 

@@ -20,7 +20,7 @@ from hiremill.catalog.base import (
 )
 from hiremill.catalog.discovery import CAP
 from hiremill.catalog.filters import ACCENTED, BELOW_SQL, FRESH_SQL, OFFER_2_SQL, ROLE_SQL, localized_texts
-from hiremill.catalog.reports import FINAL_SQL, decisions_sql, explained
+from hiremill.catalog.reports import FINAL_SQL, TALLY_SQL, decisions_sql, explained
 from hiremill.catalog.texts import CARD_SQL
 from hiremill.operators.dedupe import with_fingerprint
 from hiremill.session import work_folder
@@ -274,21 +274,22 @@ def stream_application_statuses(spark, folder):
 
 
 def _polled(spark, folder):
-    """The feed drained in two polls on keyed state, the second from the checkpoints of the first."""
+    """The feed drained in two polls on keyed state, the second from the checkpoints of the first; their tallies."""
     target, landed = work_folder(spark, "polls"), work_folder(spark, "stream-updates")
     rows = updates(spark, folder)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     # one file for each of four stretches, two for each poll
     stretch = _stretch(rows, "update_id", 4)
     application_state.use_state_store(spark)
+    tallies = []
     for number in range(4):
         rows.where(stretch == number).coalesce(1).write.mode("append").parquet(landed)
         if number % 2:
-            application_state.poll_applications(
+            tallies.append(application_state.poll_applications(
                 application_stream.read_update_feed(spark, landed, schema, files_per_batch=1),
                 lambda: ledger(spark, folder), target, operators=OPERATORS,
-            )
-    return target
+            ))
+    return target, tallies
 
 
 @query(
@@ -296,5 +297,15 @@ def _polled(spark, folder):
     decisions_sql("SELECT update_id, decision, processed, status_after, error_after FROM decisions"),
 )
 def keyed_application_decisions(spark, folder):
-    decided = application_state.read_polled_decisions(spark, _polled(spark, folder))
+    target, _ = _polled(spark, folder)
+    decided = application_state.read_polled_decisions(spark, target)
     return decided.select("update_id", "decision", "processed", "status_after", "error_after")
+
+
+@query("stream_queue_tally", TALLY_SQL)
+def stream_queue_tally(spark, folder):
+    """The tallies of both polls, observed on the way, summed."""
+    _, tallies = _polled(spark, folder)
+    names = ["updates_seen", "applications_processed", "submitted", "manual_required", "failed", "skipped", "resumes_updated"]
+    rows = spark.createDataFrame([[t[n] for n in names] for t in tallies], ", ".join(f"{n} bigint" for n in names))
+    return rows.agg(*[F.sum(n).alias(n) for n in names])

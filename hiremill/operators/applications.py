@@ -273,13 +273,13 @@ def final_statuses(decisions: DataFrame) -> DataFrame:
     return known.groupBy(*PAIR).agg(last.alias("_last")).select(*PAIR, "_last.status", "_last.error")
 
 
-def queue_tally(decisions: DataFrame) -> DataFrame:
-    """Counts of what a run over the feed did."""
+def tally_columns() -> list[Column]:
+    """What a run over the feed counts."""
 
     def tally(decision: str) -> Column:
         return F.count_if(F.col("decision") == decision)
 
-    return decisions.agg(
+    return [
         F.count(F.lit(1)).alias("updates_seen"),
         F.count_if(F.col("processed")).alias("applications_processed"),
         tally("submitted").alias("submitted"),
@@ -287,4 +287,9 @@ def queue_tally(decisions: DataFrame) -> DataFrame:
         tally("failed").alias("failed"),
         tally("skipped").alias("skipped"),
         tally("resume_updated").alias("resumes_updated"),
-    )
+    ]
+
+
+def queue_tally(decisions: DataFrame) -> DataFrame:
+    """Counts of what a run over the feed did."""
+    return decisions.agg(*tally_columns())

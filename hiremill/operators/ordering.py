@@ -57,12 +57,12 @@ def limit_wanted(candidates: DataFrame, wanted: int, order: Sequence[str]) -> Da
 
 def publish_cap(posts: DataFrame, max_posts: int, order: Sequence[str] = ("source_rank", "position")) -> DataFrame:
     """At most ``max_posts`` rows in source order; zero or less means no cap."""
-    return posts.orderBy(*order).limit(max_posts) if max_posts > 0 else posts
+    return posts.orderBy(*order, *ties(posts)).limit(max_posts) if max_posts > 0 else posts
 
 
 def show_with_omitted(urls: DataFrame, k: int, order: Sequence[str], url: str = "url") -> DataFrame:
     """The first ``k`` URLs, and one closing row that counts the rest."""
-    shown = urls.orderBy(*order).limit(max(k, 0)).select(F.col(url).alias("url"), F.lit(0).cast("bigint").alias("omitted"))
+    shown = urls.orderBy(*order, *ties(urls)).limit(max(k, 0)).select(F.col(url).alias("url"), F.lit(0).cast("bigint").alias("omitted"))
     rest = urls.agg(F.greatest(F.count(F.lit(1)) - max(k, 0), F.lit(0)).alias("omitted")).select(
         F.lit(None).cast("string").alias("url"), "omitted"
     )

@@ -32,6 +32,21 @@ def upsert_profiles(
     return latest.select(key, "_row.*", "created_version", "updated_version")
 
 
+def merge_profiles(
+    stored: DataFrame, changes: DataFrame, fields: Sequence[str], key: str = KEY, version: str = "version"
+) -> DataFrame:
+    """The same on profiles that an earlier upsert left: what they were created and last updated by goes on."""
+    rows = stored.select(key, F.col("updated_version").alias(version), "created_version", *fields).unionByName(
+        changes.select(key, version, F.col(version).alias("created_version"), *fields)
+    )
+    latest = rows.groupBy(key).agg(
+        F.max_by(F.struct(*fields), version).alias("_row"),
+        F.min("created_version").alias("created_version"),
+        F.max(version).alias("updated_version"),
+    )
+    return latest.select(key, "_row.*", "created_version", "updated_version")
+
+
 def patch_profiles(
     current: DataFrame, patches: DataFrame, fields: Sequence[str], key: str = KEY, version: str = "version"
 ) -> DataFrame:

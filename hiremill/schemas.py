@@ -2,23 +2,5 @@
 
 from __future__ import annotations
 
-POSTS = (
-    "title string, description string, source string, result_type string, url string, location string, "
-    "company string, role string, stack array<string>, salary string, published_at timestamp, "
-    "detected_at timestamp, raw_text string, fingerprint string"
-)
-CANDIDATES = (
-    "url string, search_title string, snippet string, date_text string, provider string, query string, "
-    "family string, language string, position int"
-)
-INTENTS = "intent_pos int, family string, language string, query string"
 PUBLISHED = "fingerprint string, title string, source string, url string"
-PROFILE_FIELDS = (
-    "full_name", "email", "phone", "desired_salary", "location", "work_format", "employment_type",
-    "extra_fields", "resume_original_name", "resume_stored_name", "resume_file_id", "resume_text",
-)
-APPLICATIONS = (
-    "application_id string, operator_user_id bigint, vacancy_fingerprint string, vacancy_url string, "
-    "site string, status string, error_description string"
-)
 HITS = "title string, link string, snippet string, date string"

@@ -17,17 +17,17 @@ def read_files(spark: SparkSession, path: str, schema: str, format: str = "parqu
 
     rows: the columns of the schema and ``file``. errors: file, error, records; an unreadable file has one row with the
     class of its error and no records, a JSON file with malformed lines one with their number. A file that was
-    written without rows is no error. The errors are found by a scan of the file names alone; only files that gave
+    written without rows is no error, nor is one of no bytes, which Spark never opens. The errors are found by a scan of the file names alone; only files that gave
     no row are opened again, one by one.
     """
-    found = (
-        spark.read.format(format)
-        .schema(schema if format != "json" else f"{schema}, {_CORRUPT} string")
-        .option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-        .load(path)
-        .select("*", F.col("_metadata.file_path").alias("file"))
-    )
+    scan = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    if format == "json":
+        # lines are parsed as a column, so that malformed ones can be asked for alone
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        lines = scan.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+        found = lines.select(F.from_json("value", f"{schema}, {_CORRUPT} string", options).alias("_row"), "file").select("_row.*", "file")
+    else:
+        found = scan.format(format).schema(schema).load(path).select("*", F.col("_metadata.file_path").alias("file"))
     malformed = None
     rows = found
     if format == "json":
@@ -36,13 +36,11 @@ def read_files(spark: SparkSession, path: str, schema: str, format: str = "parqu
             .agg(F.count(F.lit(1)).alias("records")).select("file", F.lit(MALFORMED).alias("error"), "records")
         )
         rows = found.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    )
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     given = found.select("file").distinct()
     # the driver lists these names for every scan of the folder
     silent = listed.join(given, _plain(F.col("path")) == _plain(F.col("file")), "left_anti").collect()
-    broken = [(r["path"], error, 0) for r in silent if (error := _error(spark, r["path"], r["length"], schema, format))]
+    broken = [(r["path"], error, 0) for r in silent if (error := _error(spark, r["path"], schema, format))]
     errors = spark.createDataFrame(broken, ERRORS)
     return rows, errors if malformed is None else errors.unionByName(malformed)
 
@@ -52,10 +50,8 @@ def _plain(path):
     return F.regexp_replace(path, "^([a-z]+):/+", "$1:/")
 
 
-def _error(spark: SparkSession, path: str, length: int, schema: str, format: str) -> str | None:
+def _error(spark: SparkSession, path: str, schema: str, format: str) -> str | None:
     """Why one file cannot be read; None for a readable one."""
-    if not length:
-        return None if format == "json" else "empty file"
     try:
         spark.read.format(format).schema(schema).load(path).write.format("noop").mode("overwrite").save()
     except (PySparkException, Py4JError) as error:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hiremill import terms
 from hiremill.operators.dedupe import drop_seen, first_n, first_wins, new_posts, ties
-from hiremill.session import work_folder
+from hiremill.session import stored
 
 Intent = tuple[int, str, str, str]
 
@@ -143,30 +143,23 @@ def cap_then_dedupe(posts: DataFrame, ledger: DataFrame, max_posts: int) -> Data
     order = [F.col("position"), F.col("fingerprint")]
     if max_posts <= 0:
         return new_posts(posts, ledger, [F.col("source_rank"), *order])
-    spark = posts.sparkSession
     heads = first_n(posts, ["source_rank"], [*order, *ties(posts)], max_posts, rank="_place")
-    heads = _kept(heads, work_folder(spark, "one-shot-heads"))
+    heads = stored(heads, "one-shot-heads")
     names = ["source_rank", "_place", "fingerprint"]
     unseen = drop_seen(heads.select(*names), ledger)
-    unseen = _kept(unseen, work_folder(spark, "one-shot-unseen"))
+    unseen = stored(unseen, "one-shot-unseen")
     shares = heads.select("source_rank").distinct().withColumn("share", F.lit(max_posts).cast("long"))
     state, before = None, object()
     while state != before:
         within = unseen.join(shares, "source_rank").where(F.col("_place") <= F.col("share"))
         firsts = within.groupBy("fingerprint").agg(F.min(F.struct("source_rank", "_place")).alias("_first"))
-        firsts = _kept(firsts, work_folder(spark, "one-shot-firsts"))
+        firsts = stored(firsts, "one-shot-firsts")
         published = firsts.groupBy(F.col("_first.source_rank").alias("source_rank")).agg(F.count(F.lit(1)).alias("n"))
         # one row for each source stands in this window
         earlier = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)
         left = F.greatest(F.lit(max_posts) - F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(earlier), F.lit(0)), F.lit(0))
         shares = shares.select("source_rank").join(published, "source_rank", "left").select("source_rank", left.alias("share"))
-        shares = _kept(shares, work_folder(spark, "one-shot-shares"))
+        shares = stored(shares, "one-shot-shares")
         before, state = state, shares.agg(F.sum(F.xxhash64("source_rank", "share").cast("decimal(38,0)"))).first()[0]
     chosen = firsts.select("_first.source_rank", "_first._place")
     return heads.join(chosen, ["source_rank", "_place"], "left_semi").drop("_place")
-
-
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    """The rows as a table in the shared folder, which several rounds read."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

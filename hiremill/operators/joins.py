@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiremill.functions.identity import valid_fingerprint
 from hiremill.functions.text import strip
+from hiremill.session import stored
 
 
 def authorized_only(
@@ -45,30 +46,23 @@ def term_match(
 
     Substring search as an equi-join: a term is filed under one sequence of three of its characters (the whole
     term, if it is shorter), the one fewest terms have. Of the sequences of a text only those that a Bloom
-    filter of the filed ones knows leave the scan, and meet the terms there. Terms longer than their
-    sequence are then searched in the text. The filter has a fixed size, whatever the dictionary's; it is
-    all that reaches the driver. No text is paired with the whole dictionary, and a term may have any length.
+    filter of the filed ones knows leave the scan; they meet the terms there, each beside its text, in which longer terms
+    are then searched. The filter has a fixed size, whatever the dictionary's, and is all that reaches the
+    driver. No text is paired with the whole dictionary, and a term may have any length. The filed terms are
+    stored, so that Spark knows their size when it chooses the join.
     """
     words = dictionary.select(F.col(term), F.lower(F.col(term)).alias("_term")).filter(F.length("_term") > 0).distinct()
     filed = words.withColumn("_gram", F.explode(_filed_grams(F.col("_term"))))
-    spread = filed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = filed.join(spread, "_gram").groupBy(term, "_term").agg(
-        F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram")
-    )
+    spread = F.count(F.lit(1)).over(Window.partitionBy("_gram"))
+    rarest = filed.withColumn("_n", spread).groupBy(term, "_term").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    rarest = stored(rarest, "filed-terms")
     known = _gram_filter(rarest)
-    lowered = texts.select(key, F.lower(F.col(text)).alias("_text")).filter(F.length("_text") > 0)
     grams = [_filtered(_sequences(F.col("_text"), size), bits) for size, bits in sorted(known.items())]
-    found = F.concat(*grams) if grams else F.array().cast("array<string>")
-    pieces = lowered.select(key, "_text", F.array_distinct(found).alias("_grams")).filter(F.size("_grams") > 0)
-    met = pieces.select(key, F.explode("_grams").alias("_gram")).join(rarest, "_gram").select(key, term, "_term", "_gram")
-    settled = met.filter(F.col("_term") == F.col("_gram")).select(key, term)
-    open_pairs = met.filter(F.col("_term") != F.col("_gram")).groupBy(key).agg(
-        F.collect_set(F.struct(term, "_term")).alias("_terms")
-    )
-    # a text meets all its terms in one row
-    inside = F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_term"]))
-    checked = pieces.select(key, "_text").join(open_pairs, key).select(key, F.explode(inside).alias("_found"))
-    return settled.unionByName(checked.select(key, F.col(f"_found.{term}").alias(term))).distinct()
+    found = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
+    # an outer explode: of an inner one Spark would test the size first, and compute all sequences twice
+    pieces = texts.select(key, F.lower(F.col(text)).alias("_text")).select(key, "_text", F.explode_outer(found).alias("_gram"))
+    met = pieces.join(rarest, "_gram").filter((F.col("_term") == F.col("_gram")) | F.contains(F.col("_text"), F.col("_term")))
+    return met.select(key, term).distinct()
 
 
 #: Characters of a sequence that terms are filed under, and bits of the filter of each length.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 
@@ -41,3 +41,10 @@ def work_folder(spark: SparkSession, label: str) -> str:
             _local_folders[app] = tempfile.mkdtemp(prefix="hiremill-")
         shared = _local_folders[app]
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, of known size, and behind no lineage."""
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

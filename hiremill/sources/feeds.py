@@ -16,6 +16,9 @@ _OPAQUE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Za-z][^>\[]*(?:\[.
 _CDATA = "<![CDATA["
 _TAG_OR_TEXT = r"""<[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>|[^<]++"""
 _TAG_NAME = r"^<([^\s/>]+)"
+_ATTRIBUTES = r"""(?:\s[^<>"']*+(?:"[^"]*"[^<>"']*+|'[^']*'[^<>"']*+)*+)?"""
+#: An item whose children hold text alone: the first tag of a name is its first child of that name.
+_FLAT = rf"^<item{_ATTRIBUTES}>\s*+(?:<([^\s<>/]++){_ATTRIBUTES}>[^<]*+</\1\s*+>[^<]*+)*+</item"
 _XML_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 _FIELDS = ("title", "link", "description", "pubDate")
 
@@ -59,8 +62,19 @@ def item_texts(markup: Column) -> Column:
 def child_texts(item: Column, names: Sequence[str] = _FIELDS) -> Column:
     """The text of the first direct child of each name: a struct, empty text for a child that is missing.
 
-    One pass over the tags with the depth: a name counts right below the item, whatever stands deeper.
+    Items with children of text alone are read by patterns, the others in a pass over their tags.
     """
+
+    own = F.substring_index(item, "</item", 1)  # what follows belongs to others
+
+    def text(name: str) -> Column:
+        return strip(decode_entities(F.regexp_extract(own, rf"<{name}{_ATTRIBUTES}>([^<]*)<", 1), _XML_ENTITIES)).alias(name)
+
+    return F.when(item.rlike(_FLAT), F.struct(*[text(n) for n in names])).otherwise(_nested_texts(item, names))
+
+
+def _nested_texts(item: Column, names: Sequence[str]) -> Column:
+    """One pass over the tags with the depth: a name counts right below the item, whatever stands deeper."""
     empty = F.lit(None).cast("string")
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(False).alias("over"), empty.alias("open"), *[empty.alias(n) for n in names]

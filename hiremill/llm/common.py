@@ -50,6 +50,13 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table does not have yet."""
+    while wanted.lower() in (c.lower() for c in df.columns):
+        wanted += "_"
+    return wanted
+
+
 def unit_hash(*columns: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the values and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiremill.llm.common import stored
+from hiremill.llm.common import free_name, stored
 
 #: Part of an item's words that may differ.
 EDIT_SHARE = 0.2
@@ -312,7 +312,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns."""
-    columns = docs.columns
+    columns, name = docs.columns, free_name(docs, "leaks_")
     for index in item_blocks(benchmark):
-        docs = docs.withColumn("leaks_", hits_column(index, F.col("text"))).where(F.size("leaks_") == 0).select(columns)
+        docs = docs.withColumn(name, hits_column(index, F.col("text"))).where(F.size(name) == 0).select(columns)
     return docs

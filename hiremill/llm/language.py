@@ -163,7 +163,7 @@ def train(
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The documents with a struct column `language`: lang_pred, score, rejected."""
+    """The documents with a struct column `language`: lang_pred, score, rejected. A column of that name is replaced."""
     languages, idf, centroids, owner, least = (
         model.languages, model.idf, model.centroids.astype(np.float64), model.owner, model.least,
     )

@@ -160,10 +160,15 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
 def first_of_groups(docs: DataFrame, doc_id: str, groups_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The documents that come first in their group; `groups_of` gives doc_id, row_check_ and component of each row."""
     plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
-    marked = docs.withColumn("row_check_", F.xxhash64(*plain)).withColumn("row_id_", F.col(doc_id))
+    # the rows travel packed, so that columns of theirs may have any names
+    packed = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row_"), F.xxhash64(*plain).alias("row_check_"),
+        F.col(doc_id).alias("row_id_"),
+    )
+    marked = docs.select(*[F.col(c) for c in docs.columns if c not in ("row_check_", "row_id_")], F.xxhash64(*plain).alias("row_check_"))
     first = groups_of(marked).groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_check_")).alias("row")
     )
     chosen = stored(first.select(F.col("row.doc_id").alias("chosen_id_"), F.col("row.row_check_").alias("chosen_check_")), "chosen")
-    match = marked["row_check_"].eqNullSafe(chosen["chosen_check_"]) & marked["row_id_"].eqNullSafe(chosen["chosen_id_"])
-    return marked.join(chosen, match, "left_semi").dropDuplicates(["row_id_", "row_check_"]).select(docs.columns)
+    match = packed["row_check_"].eqNullSafe(chosen["chosen_check_"]) & packed["row_id_"].eqNullSafe(chosen["chosen_id_"])
+    return packed.join(chosen, match, "left_semi").dropDuplicates(["row_id_", "row_check_"]).select("row_.*")

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiremill.llm.common import bounded_sample, held_out, once, unit_hash
+from hiremill.llm.common import bounded_sample, free_name, held_out, once, unit_hash
 
 #: Bytes of a window; it ends at the next space, so that a word is never cut.
 WINDOW = 64
@@ -260,6 +260,8 @@ def train(
         docs.where(F.col(text).isNotNull() & (F.length(text) <= sample_chars))
         .join(F.broadcast(wanted), F.col(doc_id) == F.col("id_"))
         .select("id_", F.col(text).alias("text_"), "label_", unit_hash(F.col("id_"), seed=9).alias("part_"))
+        # repeated ids: the bound is kept by the order of the rows, not by their place
+        .orderBy("id_", F.xxhash64("text_"), "text_")
         .limit(2 * sum(sample_rows.values()))
         .collect()
     )
@@ -300,5 +302,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below the threshold, all columns."""
-    scored = with_score(docs, train(docs, labels), name="toxicity_score_")
-    return scored.where(F.col("toxicity_score_") < threshold).select(docs.columns)
+    name = free_name(docs, "toxicity_score_")
+    return with_score(docs, train(docs, labels), name=name).where(F.col(name) < threshold).select(docs.columns)

@@ -50,7 +50,7 @@ def clashing(df: DataFrame) -> DataFrame:
     names = [
         "size", "shard", "slot", "score", "predicted", "fp", "fingerprint", "component", "component_id", "node", "low",
         "row_id", "copies", "target", "start", "language", "held_out", "kept", "hit", "item", "words", "host", "lines",
-        "leaks_", "toxicity_score_", "row_check_", "row_id_", "row_", "copy_",
+        "leaks_", "toxicity_score_", "row_", "copy_",
     ]
     for name in names:
         if name not in df.columns:

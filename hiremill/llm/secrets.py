@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiremill.llm.common import once, unit_hash
+from hiremill.llm.common import once
 
 #: Fixed patterns, in the order in which spans of one start are listed.
 ASSIGN = re.compile(
@@ -90,8 +90,7 @@ def _neighbours() -> set[tuple[str, str]]:
 
 LEXICON = Lexicon.of(COMMON_WORDS)
 NEIGHBOURS = _neighbours()
-#: The bounded sample that the words of a corpus are ranked on, after those above: rows, words, and their letters.
-SAMPLE_ROWS = 2000
+#: Words of a corpus that are ranked after those above, by their number in all documents, and the letters they have.
 CORPUS_WORDS = 5000
 WORD_CHARS = (4, 16)
 DATE = re.compile(
@@ -299,19 +298,16 @@ def joined(spans: Sequence[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def corpus_words(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, most: int = CORPUS_WORDS) -> tuple[str, ...]:
-    """The most frequent words of about `rows` documents, chosen by a hash of their text; `most` of them at most.
+def corpus_words(docs: DataFrame, text: str = "text", most: int = CORPUS_WORDS) -> tuple[str, ...]:
+    """The most frequent words of all documents, `most` of them at most; every occurrence counts.
 
-    Only these words reach the driver. Ties go by the words themselves.
+    Words are counted where they stand and merged by shuffle; only the words returned reach the driver. Ties go by
+    the words themselves.
     """
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    n = texts.count()
-    if not n:
-        return ()
-    chosen = texts.where(unit_hash(F.col("text"), seed=1) < rows / n)
     least, longest = WORD_CHARS
-    words = chosen.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = words.where(F.length("word").between(least, longest)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    pattern = F.lit(rf"(?<!\p{{L}})\p{{L}}{{{least},{longest}}}(?!\p{{L}})")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), pattern, F.lit(0))).alias("word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return tuple(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
 
 
@@ -348,8 +344,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Defined cases: a null text is an empty one, with no span, zero counts and the digest of the empty
     string; a null id stays null; repeated rows stay repeated; an empty table gives an empty result;
-    other columns are ignored. Values of any length are weighed whole. Words are ranked on a bounded sample of the
-    documents (`corpus_words`).
+    other columns are ignored. Values of any length are weighed whole. Words are ranked by their number in all documents
+    (`corpus_words`).
     """
     known = corpus_words(docs)
 

@@ -61,3 +61,13 @@ def test_words_of_the_corpus_are_cheap(spark):
     known = secrets.Lexicon.of([*secrets.COMMON_WORDS, *words])
     assert secrets.guess_cost("kesselwagen7", lexicon=known) < 5 < secrets.guess_cost("kesselwagen7")
     assert secrets.corpus_words(docs.limit(0)) == ()
+
+
+def test_words_are_counted_in_all_documents(spark):
+    own = ["".join(chr(97 + int(d)) for d in f"{i:04d}") + "qx" for i in range(4500)]
+    rows = [(i, f"{word} everywhere") for i, word in enumerate(own)] + [(-i, f"{own[0]} {own[0]} \u00fcber{own[0]}") for i in range(1, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.corpus_words(docs)
+    assert words[:3] == ("everywhere", own[0], f"\u00fcber{own[0]}")
+    assert set(words) == {*own, "everywhere", f"\u00fcber{own[0]}"}
+    assert secrets.corpus_words(docs, most=2) == ("everywhere", own[0])

@@ -1,6 +1,7 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-MinHash bands find candidates; every link is verified with the exact similarity.
+SimHash fingerprints a few bits apart are candidates, and MinHash bands find those that differ in more bits;
+every link is verified with the exact similarity.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from hiremill.llm.buckets import TILE_BYTES, TILE_ROWS, in_tiles
 from hiremill.llm.common import discard, stored
 from hiremill.llm.components import components
-from hiremill.llm.simhash import first_of_groups
+from hiremill.llm.simhash import fingerprint_column, fingerprint_links, first_of_groups
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -24,6 +25,10 @@ SIMILARITY = 0.8
 BANDS = 24
 BAND_ROWS = 6
 SEED = 23
+#: Bits in which fingerprints of candidates may differ, as in `simhash`.
+DISTANCE = 4
+#: Buckets of at most so many texts are compared pair by pair, each pair once whatever number of buckets holds it.
+PAIR_ROWS = 6
 #: Shingles after which a run of texts is hashed together.
 HASH_ROWS = 1 << 14
 
@@ -141,6 +146,16 @@ def bucket_entries(nodes: DataFrame) -> DataFrame:
     return stored(rows.join(stored(leaders.drop("n"), "leaders"), ["band", "key"]), "entries")
 
 
+def fingerprint_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node, leader): nodes whose SimHash fingerprints are linked; `nodes` is a stored table of node and fp."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    equal = nodes.join(heads, "fp").where("node <> head").select("node", F.col("head").alias("leader"))
+    links = stored(fingerprint_links(heads.select("fp"), distance).distinct(), "fingerprint-links")
+    one, other = heads.select(F.col("fp").alias("left"), F.col("head").alias("leader")), heads.withColumnRenamed("fp", "right")
+    near = links.join(one, "left").join(other, "right").select(F.col("head").alias("node"), "leader")
+    return equal.unionByName(near)
+
+
 def star_links(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(left, right): the pairs of node and leader that are similar; `pairs` is stored.
 
@@ -173,22 +188,40 @@ def star_links(pairs: DataFrame, texts: DataFrame, width: int, similarity: float
     )
 
 
-def similar_links(entries: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def similar_links(
+    entries: DataFrame, texts: DataFrame, width: int, similarity: float, candidates: DataFrame | None = None
+) -> DataFrame:
     """(left, right): stored links that join all texts that share a band and are similar, directly or in steps.
 
-    First each text is compared with one leader. What buckets then still hold texts of several groups are
-    compared whole, in tiles, group against group: no pair of a bucket is left out.
+    First each text is compared with one leader, and the pairs of `candidates` (node, leader) are. What buckets
+    then still hold texts of several groups are compared whole, group against group: small ones by their pairs,
+    without those compared before, others in tiles. No pair of a bucket is left out.
     """
     pairs = entries.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
-    first = stored(star_links(stored(pairs, "stars"), texts, width, similarity), "star-links")
+    if candidates is not None:
+        pairs = pairs.unionByName(candidates.select("node", "leader")).select(
+            F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")
+        ).distinct()
+    pairs = stored(pairs, "stars")
+    first = stored(star_links(pairs, texts, width, similarity), "star-links")
     groups = stored(components(first), "star-groups")
     named = stored(
         entries.drop("leader").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"),
         "named-entries",
     )
-    several = named.groupBy("band", "key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most")
-    open_ = named.join(several.select("band", "key"), ["band", "key"], "left_semi")
-    # a node's text travels once for each of its open buckets
+    several = stored(
+        named.groupBy("band", "key")
+        .agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count(F.lit(1)).alias("n"))
+        .where("least <> most").select("band", "key", "n"),
+        "open-buckets",
+    )
+    few = stored(named.join(several.where(F.col("n") <= PAIR_ROWS).drop("n"), ["band", "key"]), "small-buckets")
+    other = few.select("band", "key", F.col("node").alias("leader"), F.col("group").alias("of"))
+    across = few.join(other, ["band", "key"]).where((F.col("leader") < F.col("node")) & (F.col("of") != F.col("group")))
+    left_out = stored(across.select("node", "leader").distinct().join(pairs, ["node", "leader"], "left_anti"), "pairs")
+    second = stored(star_links(left_out, texts, width, similarity), "pair-links")
+    open_ = named.join(several.where(F.col("n") > PAIR_ROWS).drop("n"), ["band", "key"])
+    # a node's text travels once for each of its large open buckets
     rows = stored(open_.join(texts, "node").select("band", "key", "node", "group", "text", "bytes"), "open-texts")
 
     def link(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
@@ -202,11 +235,11 @@ def similar_links(entries: DataFrame, texts: DataFrame, width: int, similarity:
                     right.append(nodes[start + other])
         return pd.DataFrame({"left": left, "right": right}, dtype="int64")
 
-    second = stored(
+    third = stored(
         in_tiles(rows, ["band", "key"], "node", link, "left long, right long", weight="bytes"), "tile-links"
     )
     discard(rows)
-    return first.unionByName(second)
+    return first.unionByName(second).unionByName(third)
 
 
 def _key_column(text: Column) -> Column:
@@ -243,20 +276,24 @@ def keep_one(
             marked.select(
                 F.col(doc_id).alias("doc_id"), "row_check_", _key_column(F.col(text_name)).alias("node"),
                 _bands_column(F.col(text_name), width).alias("bands"),
+                fingerprint_column(F.col(text_name), width).alias("fp"),
             ),
             "copy-rows",
         )
-        nodes = stored(rows.groupBy("node").agg(F.first("bands").alias("bands")), "copy-nodes")
+        nodes = stored(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp")), "copy-nodes")
         entries = bucket_entries(nodes)
+        # texts without words are one node and like nothing else
+        candidates = stored(fingerprint_pairs(stored(nodes.where(F.size("bands") > 0).select("node", "fp"), "prints")), "candidates")
+        own = [entries.select("node"), candidates.select("node"), candidates.select(F.col("leader").alias("node"))]
         whole = F.first("text")
         texts = stored(
             marked.select(_key_column(F.col(text_name)).alias("node"), F.col(text_name).alias("text"))
-            .join(entries.select("node").distinct(), "node", "left_semi")
+            .join(own[0].unionByName(own[1]).unionByName(own[2]).distinct(), "node", "left_semi")
             .groupBy("node").agg(whole.alias("text"), F.octet_length(whole).cast("long").alias("bytes")),
             "candidate-texts",
         )
-        found = stored(components(similar_links(entries, texts, width, similarity)), "copy-groups")
-        discard(texts, entries)
+        found = stored(components(similar_links(entries, texts, width, similarity, candidates)), "copy-groups")
+        discard(texts, entries, nodes)
         return rows.join(found, "node", "left").select("doc_id", "row_check_", F.coalesce("component", "node").alias("component"))
 
     return first_of_groups(docs, doc_id, groups)

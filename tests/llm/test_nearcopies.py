@@ -8,7 +8,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from hiremill.llm import buckets, nearcopies
+from hiremill.llm import buckets, common, nearcopies, simhash
 from tests.llm.data import SCHEMA
 from tests.llm.test_brute import reachable
 
@@ -82,3 +82,52 @@ def test_edges_join_what_is_similar():
         ids = list(range(len(sets)))
         assert reachable(ids, given + edges) == reachable(ids, given + every)
         assert all(nearcopies.jaccard(sets[i], sets[j]) >= 0.8 for i, j in edges)
+
+
+def test_fingerprints_give_candidates(spark):
+    """Texts whose fingerprints differ in four bits or fewer are linked without a band, if they are similar."""
+    rng = random.Random(19)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        texts += [" ".join(words), " ".join([*words[:-1], "last"]), " ".join(words[:60])]
+    prints = [simhash.fingerprint(t, nearcopies.WIDTH) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert len(near) >= 20
+    rows = [(i, t, len(t), int(np.uint64(p).view(np.int64))) for i, (t, p) in enumerate(zip(texts, prints, strict=True))]
+    table = common.stored(spark.createDataFrame(rows, "node long, text string, bytes long, fp long"), "test-nodes")
+    found = common.stored(nearcopies.fingerprint_pairs(table.select("node", "fp")), "test-candidates")
+    ids = list(range(len(texts)))
+    assert reachable(ids, [(r["leader"], r["node"]) for r in found.collect()]) == reachable(ids, near)
+    nothing = spark.createDataFrame([], "band int, key long, node long, leader long")
+    links = nearcopies.similar_links(nothing, table.drop("fp"), nearcopies.WIDTH, nearcopies.SIMILARITY, found)
+    sets = [plain_shingles(t) for t in texts]
+    similar = [(a, b) for a, b in near if similarity(sets[a], sets[b]) >= 0.8]
+    assert reachable(ids, [(r["left"], r["right"]) for r in links.collect()]) == reachable(ids, similar)
+
+
+def test_small_buckets_travel_as_pairs(spark, monkeypatch):
+    """A text that shares several small buckets with a text unlike it travels for none of them: the pair has been compared."""
+    sizes = {}
+    kept = common.stored
+
+    def stored(df, label):
+        out = kept(df, label)
+        sizes[label] = sizes.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(nearcopies, "stored", stored)
+    rng = random.Random(20)
+    rows = []
+    for pair in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        own = list(words)
+        for at in rng.sample(range(100), 4):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(own))]
+    sets = [plain_shingles(t) for _, t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(80), 2) if similarity(sets[a], sets[b]) >= 0.8]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    kept_rows = {r["doc_id"] for r in nearcopies.keep_one(docs).collect()}
+    assert kept_rows == set(reachable(list(range(80)), links))
+    assert sizes["stars"] >= 20 and sizes["open-texts"] == 0

@@ -32,6 +32,9 @@ from hiremill.streaming.localize import with_localized
 
 
 BATCHES = 3
+#: Rows of a file that a stream reads, about; a file has so many at least where a batch has several.
+FILE_ROWS = 20_000
+LEAST_FILE_ROWS = 1_000
 
 
 def _stream(spark, folder, name):
@@ -43,10 +46,32 @@ def _stream(spark, folder, name):
 def _in_batches(spark, rows, batch, name):
     """The rows as a stream, by the number of their batch; file times tell the order of batches."""
     target = work_folder(spark, f"stream-{name}")
+    files = _files(rows, batch)
     for number in range(BATCHES):
-        rows.where(batch == number).coalesce(1).write.mode("append").parquet(target)
+        _land(rows.where(batch == number), files, target)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return application_stream.read_update_feed(spark, target, schema, files_per_batch=1)
+    return application_stream.read_update_feed(spark, target, schema, files_per_batch=files)
+
+
+def _files(rows, batch):
+    """How many files each batch gets: the same number for all, so that a trigger of that many files is a batch."""
+    counts = [r["count"] for r in rows.groupBy(batch.alias("batch")).count().collect()]
+    return max(1, min(-(-max(counts, default=0) // FILE_ROWS), min(counts, default=0) // LEAST_FILE_ROWS))
+
+
+def _land(rows, files, target):
+    """The rows as so many more files in a folder, written side by side."""
+    rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+    before = len(rows.sparkSession.read.parquet(target).inputFiles()) if _exists(rows.sparkSession, target) else 0
+    rows.write.mode("append").parquet(target)
+    landed = len(rows.sparkSession.read.parquet(target).inputFiles()) - before
+    if landed != files:
+        raise RuntimeError(f"{landed} files landed in {target}, {files} make a batch")
+
+
+def _exists(spark, path):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def _stretch(rows, key, parts):

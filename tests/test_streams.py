@@ -421,3 +421,27 @@ def test_a_hot_pair_is_decided_in_one_pass():
     assert (status, error) == ("manual_required", terms.INTERRUPTED_ERROR)
     assert found["processed"].sum() == n // 2 + 1
     assert (found["decision"] == "manual_required").sum() == 1 and found["decision"][ids == n // 2 + 1] == ["manual_required"]
+
+
+def test_batches_of_several_files(spark, small, monkeypatch):
+    """No task writes a batch of a stream alone: each lies in as many files as its rows ask for, and is one trigger."""
+    from hiremill.catalog import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 30)
+    monkeypatch.setattr(streams, "LEAST_FILE_ROWS", 5)
+    rows = spark.range(400).withColumn("batch", F.col("id") % streams.BATCHES)
+    seen = []
+    feed = streams._in_batches(spark, rows, F.col("batch"), "test")
+    run = feed.writeStream.foreachBatch(lambda df, n: seen.append((len(df.inputFiles()), sorted(r["id"] for r in df.select("id").collect()))))
+    run.option("checkpointLocation", streams.work_folder(spark, "test-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert [ids for _, ids in seen] == [list(range(n, 400, 3)) for n in range(3)]
+    assert streams._files(rows, F.col("batch")) == 5
+
+
+def test_localized_in_several_files(spark, small, duck, monkeypatch):
+    from hiremill.catalog import ORACLES, streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 60)
+    monkeypatch.setattr(streams, "LEAST_FILE_ROWS", 20)
+    found = {(r["doc_id"], r["description"]) for r in streams.stream_localized_strict(spark, small).collect()}
+    assert found == set(duck.execute(ORACLES["stream_localized_strict"]).fetchall())

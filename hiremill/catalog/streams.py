@@ -23,7 +23,7 @@ from hiremill.catalog.filters import ACCENTED, BELOW_SQL, FRESH_SQL, OFFER_2_SQL
 from hiremill.catalog.reports import FINAL_SQL, TALLY_SQL, decisions_sql, explained
 from hiremill.catalog.texts import CARD_SQL
 from hiremill.operators.dedupe import with_fingerprint
-from hiremill.session import work_folder
+from hiremill.session import stored, work_folder
 from hiremill.sources.ledger import write_batch
 from hiremill.streaming import applications as application_stream
 from hiremill.streaming import application_state, publish
@@ -301,18 +301,20 @@ def stream_application_statuses(spark, folder):
 def _polled(spark, folder):
     """The feed drained in two polls on keyed state, the second from the checkpoints of the first; their tallies."""
     target, landed = work_folder(spark, "polls"), work_folder(spark, "stream-updates")
-    rows = updates(spark, folder)
+    # the feed and the ledger are made once, not for every stretch and batch
+    rows, published = stored(updates(spark, folder), "updates"), stored(ledger(spark, folder), "ledger")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    # one file for each of four stretches, two for each poll
+    # four stretches, two for each poll
     stretch = _stretch(rows, "update_id", 4)
+    files = _files(rows, stretch)
     application_state.use_state_store(spark)
     tallies = []
     for number in range(4):
-        rows.where(stretch == number).coalesce(1).write.mode("append").parquet(landed)
+        _land(rows.where(stretch == number), files, landed)
         if number % 2:
             tallies.append(application_state.poll_applications(
-                application_stream.read_update_feed(spark, landed, schema, files_per_batch=1),
-                lambda: ledger(spark, folder), target, operators=OPERATORS,
+                application_stream.read_update_feed(spark, landed, schema, files_per_batch=files),
+                lambda: published, target, operators=OPERATORS,
             ))
     return target, tallies
 

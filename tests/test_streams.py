@@ -445,3 +445,14 @@ def test_localized_in_several_files(spark, small, duck, monkeypatch):
     monkeypatch.setattr(streams, "LEAST_FILE_ROWS", 20)
     found = {(r["doc_id"], r["description"]) for r in streams.stream_localized_strict(spark, small).collect()}
     assert found == set(duck.execute(ORACLES["stream_localized_strict"]).fetchall())
+
+
+def test_polls_in_several_files(spark, small, duck, monkeypatch):
+    from hiremill.catalog import ORACLES, streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    monkeypatch.setattr(streams, "LEAST_FILE_ROWS", 20)
+    names = ["update_id", "decision", "processed", "status_after", "error_after"]
+    found = {tuple(r[n] for n in names) for r in streams.keyed_application_decisions(spark, small).collect()}
+    own = duck.execute(ORACLES["keyed_application_decisions"])
+    assert found == set(own.fetchall())

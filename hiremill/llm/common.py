@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from hiremill.session import work_folder
 
 #: Words are separated by the six ASCII spaces only.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts of an Arrow batch that a worker holds as Python strings at a time.
+SLICE_ROWS = 256
 
 
 def once(key: Hashable, make: Callable[[], Any]) -> Any:
@@ -28,6 +31,12 @@ def once(key: Hashable, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
+def text_slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch in lists of SLICE_ROWS."""
+    for at in range(0, len(texts), SLICE_ROWS):
+        yield texts.slice(at, SLICE_ROWS).to_pylist()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the cluster's shared folder.
 

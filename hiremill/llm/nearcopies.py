@@ -10,14 +10,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.llm.buckets import TILE_BYTES, TILE_ROWS, in_tiles
-from hiremill.llm.common import discard, stored
+from hiremill.llm.common import discard, stored, text_slices
 from hiremill.llm.components import components
-from hiremill.llm.simhash import fingerprint_column, fingerprint_links, first_of_groups
+from hiremill.llm.simhash import fingerprint, fingerprint_links, first_of_groups
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -243,17 +244,29 @@ def similar_links(
 
 
 def _key_column(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def compute(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_key(t) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def compute(texts: pa.Array) -> pa.Array:
+        return pa.array([text_key(t) for own in text_slices(texts) for t in own], pa.int64())
 
     return compute(text)
 
 
-def _bands_column(text: Column, width: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def compute(texts: pd.Series) -> pd.Series:
-        return pd.Series(band_keys([shingles(t, width) for t in texts]), dtype=object)
+def _prints_column(text: Column, width: int) -> Column:
+    """Of each text: node (its key), bands and fp, the fingerprint."""
+
+    @F.arrow_udf("node long, bands array<long>, fp long")
+    def compute(texts: pa.Array) -> pa.Array:
+        nodes, bands, prints = [], [], []
+        for own in text_slices(texts):
+            nodes += [text_key(t) for t in own]
+            bands += band_keys([shingles(t, width) for t in own])
+            prints += [fingerprint(t, width) for t in own]
+        ends = np.cumsum([0, *map(len, bands)], dtype=np.int32)
+        flat = np.concatenate([np.empty(0, dtype=np.int64), *bands])
+        codes = np.array(prints, dtype=np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(codes)], ["node", "bands", "fp"]
+        )
 
     return compute(text)
 
@@ -274,10 +287,8 @@ def keep_one(
     def groups(marked: DataFrame) -> DataFrame:
         rows = stored(
             marked.select(
-                F.col(doc_id).alias("doc_id"), "row_check_", _key_column(F.col(text_name)).alias("node"),
-                _bands_column(F.col(text_name), width).alias("bands"),
-                fingerprint_column(F.col(text_name), width).alias("fp"),
-            ),
+                F.col(doc_id).alias("doc_id"), "row_check_", _prints_column(F.col(text_name), width).alias("own_")
+            ).select("doc_id", "row_check_", "own_.*"),
             "copy-rows",
         )
         nodes = stored(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp")), "copy-nodes")

@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiremill.llm.common import bounded_sample, free_name, held_out, once, unit_hash
+from hiremill.llm.common import bounded_sample, free_name, held_out, once, text_slices, unit_hash
 
 #: Bytes of a window; it ends at the next space, so that a word is never cut.
 WINDOW = 64
@@ -276,11 +276,12 @@ def with_score(docs: DataFrame, model: ToxicityModel, text: str = "text", name:
     """The documents with the model's score of their whole text."""
     ordinary, toxic, weights = model.ordinary, model.toxic, model.weights
 
-    @F.pandas_udf("double")
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = ToxicityModel(ordinary, toxic, weights)
         for batch in batches:
-            yield pd.Series(own.scores(batch.tolist()), dtype="float64")
+            scores = [own.scores(texts) for texts in text_slices(batch)]
+            yield pa.array(np.concatenate([np.empty(0), *scores]), pa.float64())
 
     return docs.withColumn(name, compute(F.col(text)))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import struct
 import unicodedata
@@ -34,9 +33,13 @@ BLOCK_IDS = 1 << 14
 END_ID = 2
 #: Bytes of text that go to one file, about.
 FILE_TEXT_BYTES = 64 << 20
-#: Words of which a worker remembers the ids, and bytes of text whose words it takes together.
-CACHE_WORDS = 300_000
-BATCH_TEXT_BYTES = 8 << 20
+#: Words of which a worker remembers the ids (those of small ASCII letters lie in Arrow arrays, others in a dictionary),
+#: and bytes of text whose words it takes together.
+LETTER_WORDS = 1_000_000
+CACHE_WORDS = 50_000
+BATCH_TEXT_BYTES = 4 << 20
+MARKS = ".,;:!?"
+IDS = pa.list_(pa.uint32())
 #: Ids a reader takes together.
 READ_IDS = 1 << 21
 
@@ -83,6 +86,7 @@ class WordEncoder:
             max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0), END_ID
         )
         self.cache: dict[str, list[int]] = {}
+        self.letters, self.letter_ids = pa.array([], pa.large_string()), pa.array([], IDS)
         self.by_word = _drops_spaces(json.loads(self.tokenizer.to_str())) and self._agrees()
 
     def _agrees(self) -> bool:
@@ -100,21 +104,60 @@ class WordEncoder:
             return np.concatenate(lists or [np.empty(0, dtype=np.uint32)]), counts
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        ids = [*map(self.word_ids, coded.dictionary.to_pylist()), [end_id]]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
         in_text = np.diff(words.offsets.to_numpy())
-        before = np.cumsum(in_text)
+        del words
+        lists = self._word_lists(coded.dictionary)
         # the end id stands as one more word at the end of every text
-        order = np.insert(coded.indices.to_numpy().astype(np.int64), before, len(ids) - 1)
-        lengths = sizes[order]
-        out = np.cumsum(lengths) - lengths
-        ids_out = flat[np.arange(int(lengths.sum())) + np.repeat(starts[order] - out, lengths)]
-        counts = np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], before + np.arange(1, len(before) + 1)])])
-        return ids_out, counts
+        lists = pa.concat_arrays([lists, pa.array([[end_id]], lists.type)])
+        sizes = pc.list_value_length(lists).to_numpy()
+        before = np.cumsum(in_text)
+        order = np.insert(coded.indices.to_numpy(), before, len(lists) - 1)
+        del coded
+        counts = np.add.reduceat(sizes[order], before + np.arange(len(before)) - in_text, dtype=np.int64) if len(before) else in_text
+        return lists.take(pa.array(order)).flatten().to_numpy(), counts
+
+    def _word_lists(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words. Words of ASCII letters, with marks after them or none, share those of the bare word."""
+        bare = pc.utf8_rtrim(words, MARKS)
+        longest = pc.binary_length(bare)
+        marks = pc.subtract(pc.binary_length(words), longest).to_numpy()
+        plain = pc.and_(pc.ascii_is_alpha(bare), pc.less(longest, 64)).to_numpy(zero_copy_only=False) & (marks <= 1)
+        places = np.flatnonzero(plain)
+        low = pc.ascii_lower(bare.take(pa.array(places))).dictionary_encode()
+        ends = pc.utf8_slice_codeunits(words.take(pa.array(places)), -1).dictionary_encode()
+        tails = ends.dictionary.to_pylist()
+        known = pa.array([*(self.word_ids(t) if t in MARKS else [] for t in tails), []], IDS)
+        after = np.where(marks[places] > 0, ends.indices.to_numpy(), len(tails))
+        found = self._letter_lists(low.dictionary).take(low.indices)
+        # a list of two parts for each word, then one of their ids
+        two = pa.concat_arrays([found, known.take(pa.array(after))])
+        pairs = np.arange(2 * len(places)).reshape(2, -1).T.ravel()
+        two = two.take(pa.array(pairs))
+        found = pa.ListArray.from_arrays(two.offsets.take(pa.array(np.arange(0, len(two) + 1, 2))), two.values)
+        rest = np.flatnonzero(~plain)
+        others = pa.array(list(map(self.word_ids, words.take(pa.array(rest)).to_pylist())), IDS)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        back = np.empty(len(words), dtype=np.int64)
+        back[places] = np.arange(len(places))
+        back[rest] = np.arange(len(places), len(words))
+        return pa.concat_arrays([found, others]).take(pa.array(back))
+
+    def _letter_lists(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words of small ASCII letters, those of words met before from a table of Arrow arrays."""
+        at = pc.index_in(words, self.letters)
+        new = words.filter(at.is_null())
+        tokenize = self.tokenizer.model.tokenize
+        lists = pa.array([[token.id for token in tokenize(word)] for word in new.to_pylist()], IDS)
+        joined = pa.concat_arrays([self.letter_ids, lists])
+        order = at.to_numpy(zero_copy_only=False).astype(np.float64)
+        order[np.isnan(order)] = len(self.letters) + np.arange(len(new))
+        out = joined.take(pa.array(order.astype(np.int64)))
+        if len(joined) > LETTER_WORDS:
+            self.letters, self.letter_ids = new[:LETTER_WORDS], lists[:LETTER_WORDS]
+        else:
+            self.letters, self.letter_ids = pa.concat_arrays([self.letters, new]), joined
+        return out
 
     def word_ids(self, word: str) -> list[int]:
         known = self.cache.get(word)
@@ -126,7 +169,7 @@ class WordEncoder:
 
     def _split(self, word: str) -> list[int]:
         """A word of letters with marks after it has the ids of the bare word, then those of the marks."""
-        bare = word.rstrip(".,;:!?")
+        bare = word.rstrip(MARKS)
         if len(bare) == len(word) or not _plain(bare):
             return self._whole(word) if word else []
         low = bare.lower()

@@ -17,6 +17,8 @@ from hiremill.session import work_folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts of an Arrow batch that a worker holds as Python strings at a time.
 SLICE_ROWS = 256
+#: Bits of the filter that rows are held against before they meet a table of keys.
+FILTER_BITS = 1 << 24
 
 
 def once(key: Hashable, make: Callable[[], Any]) -> Any:
@@ -37,15 +39,15 @@ def text_slices(texts: pa.Array) -> Iterator[list[str | None]]:
         yield texts.slice(at, SLICE_ROWS).to_pylist()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the cluster's shared folder.
+def stored(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows as a table in the cluster's shared folder; a file holds one value of the columns `by`.
 
     It cuts the lineage, so that a lost executor costs the tasks that read it and not the work
     before it, and lets several consumers share one computation.
     """
     spark = df.sparkSession
     path = work_folder(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at_ = path
     return out
@@ -59,6 +61,24 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def sifted(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose `column` may be among the keys, and those whose `column` certainly is not.
+
+    `column` is a hash, never null, in both tables. One bit stands for the keys of one remainder, so a row is
+    told where it lies, and of a large table only the rows of few keys move to be joined with them.
+    """
+    word, bits = free_name(df, "filter_word_"), free_name(df, "filter_bits_")
+    place = F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int")
+    words = stored(
+        keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias(word))
+        .agg(F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias(bits)),
+        "filter",
+    )
+    tested = df.join(F.broadcast(words), F.shiftright(place, 6) == words[word], "left")
+    held = F.coalesce(F.getbit(F.col(bits), place % F.lit(64)) == 1, F.lit(False))
+    return tested.where(held).select(df.columns), tested.where(~held).select(df.columns)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the table does not have yet."""
     while wanted.lower() in (c.lower() for c in df.columns):

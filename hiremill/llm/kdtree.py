@@ -20,8 +20,6 @@ PRECISION = 0.002
 #: Groups of equal texts above this share of a leaf are placed one by one, so they are at most
 #: SHARDS / HEAVY_SHARE and their list is bounded.
 HEAVY_SHARE = 0.02
-#: Rows numbered by one task.
-SLOT_ROWS = 100_000
 
 
 @dataclass
@@ -53,9 +51,9 @@ def text_dimensions(text: Column) -> dict[str, Column]:
 
 def shard(
     docs: DataFrame, text: str = "text", dimensions: dict[str, Column] | None = None, shards: int = SHARDS,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per document: the columns of `keep`, size, text_crc32, shard, slot.
+    """Per document: the columns of `keep` and `carry`, size, text_crc32, shard, slot.
 
     Nodes split until each is one shard. A node splits along the dimension with the widest range of
     its rows, as a share of the range of all rows, at the weighted median of (value, hash of the text):
@@ -63,17 +61,17 @@ def shard(
     of the range, cut finer at each step; what reaches the driver are sums of PARTS parts per node.
     Equal texts stay together: groups large enough to disturb a shard are placed first, each where most
     room is left, and the tree divides the rest by the room that remains. The rows of a group larger than
-    any room are numbered and dealt out in exact counts. `dimensions` are non-negative integer columns below
-    2^31 that equal texts share.
+    any room are numbered and dealt out in exact counts. Rows are written once, a file for each shard a task
+    meets, and numbered by their place in the files, so no row moves. `carry` are wide columns: `docs` is read
+    again for them. `dimensions` are non-negative integer columns below 2^31 that equal texts share.
     """
-    base = docs.select(
-        *[F.col(c) for c in keep], text_size(F.col(text)).alias("size"),
+    every = docs.select(
+        *[F.col(c) for c in (*keep, *carry)], text_size(F.col(text)).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash_"),
         *[column.cast("long").alias(f"{name}_") for name, column in (dimensions or text_dimensions(F.col(text))).items()],
-        F.monotonically_increasing_id().alias("row_id_"),
     )
-    base = stored(base, "shard-rows")
+    base = stored(every.drop(*carry), "shard-rows")
     names = [f"{name}_" for name in (dimensions or text_dimensions(F.col(text)))]
     facts = base.agg(
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows"),
@@ -87,10 +85,11 @@ def shard(
         .where(F.col("bytes") > HEAVY_SHARE * leaf).orderBy(F.desc("bytes"), "text_hash_").collect()
     )
     placed = _place(heavy, room)
+    beyond = [key for key, own in placed.items() if len(own) > 1]
     table = _small_table(
         docs.sparkSession,
-        [{"heavy_hash_": key, "ranges_": [{"low": low, "shard": number} for low, number in own]} for key, own in placed.items()],
-        "heavy_hash_: bigint, ranges_: array<struct<low: bigint, shard: int>>",
+        [{"heavy_hash_": key, "heavy_home_": -1 - beyond.index(key) if key in beyond else own[0][1]} for key, own in placed.items()],
+        "heavy_hash_: bigint, heavy_home_: int",
     )
     own_key = F.col("text_hash_") == F.col("heavy_hash_")
     rest = base.join(F.broadcast(table), own_key, "left_anti")
@@ -99,16 +98,11 @@ def shard(
     while any(node.shards > 1 for node in level):
         _split(rest, root, [n for n in level if n.shards > 1], names, spans, room, leaf)
         level = [child for n in level for child in ((n.left, n.right) if n.left else (n,))]
-    columns = [*keep, "size", "text_crc32", "shard", "row_id_"]
-    marked = base.join(F.broadcast(table), own_key, "left")
-    whole = F.coalesce(F.size("ranges_"), F.lit(0)) <= 1
-    out = marked.where(whole).withColumn("shard", F.coalesce(F.get("ranges_", F.lit(0))["shard"], _shard_of(root))).select(columns)
-    if any(len(own) > 1 for own in placed.values()):
-        split = marked.where(~whole)
-        counted = _numbered(split, "text_hash_", _parts(facts["rows"]), "place_in_group_")
-        below = F.filter("ranges_", lambda x: x["low"] <= F.col("place_in_group_"))
-        out = out.unionByName(counted.withColumn("shard", F.element_at(below, -1)["shard"]).select(columns))
-    return _numbered(out, "shard", max(1, _parts(facts["rows"]) // shards) * 8, "slot").drop("row_id_")
+    marked = (every if carry else base).join(F.broadcast(table), own_key, "left")
+    home = F.coalesce("heavy_home_", _shard_of(root)).alias("home_")
+    columns = [*keep, *carry, "size", "text_crc32"]
+    homes = stored(marked.select(*columns, home), "shard-homes", by=["home_"])
+    return _numbered(homes, {-1 - i: placed[key] for i, key in enumerate(beyond)}, columns)
 
 
 def _small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -225,23 +219,35 @@ def _split(
                 del search[first]
 
 
-def _parts(rows: int) -> int:
-    """Parts of about SLOT_ROWS rows."""
-    return max(1, -(-rows // SLOT_ROWS))
+def _numbered(homes: DataFrame, split: dict[int, list[tuple[int, int]]], columns: Sequence[str]) -> DataFrame:
+    """The stored rows with shard and slot: from 0 without gaps in each shard, by file and place in the file.
 
-
-def _numbered(rows: DataFrame, key: str, parts: int, name: str) -> DataFrame:
-    """The rows of every value of `key` numbered from 0 without gaps; a task numbers one part of one value."""
-    rows = rows.withColumn("part_", F.pmod(F.xxhash64("row_id_"), F.lit(parts)).cast("int"))
-    sums = rows.groupBy(key, "part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(key, "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    place = F.row_number().over(Window.partitionBy(key, "part_").orderBy("row_id_")) - 1
-    return (
-        rows.withColumn("place_", place)
-        .join(starts, [key, "part_"])
-        .withColumn(name, (F.col("place_") + F.col("before_")).cast("long"))
-        .drop("place_", "before_", "part_")
+    `home_` is a shard or, below 0, a group of `split`, whose rows go to shards in ranges of their places.
+    """
+    rows = homes.withColumns({"file_": F.col("_metadata.file_path"), "index_": F.col("_metadata.row_index")})
+    before = Window.partitionBy("home_").orderBy("file_").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("home_", "file_").agg(F.count(F.lit(1)).alias("n_")).withColumn(
+        "before_", F.coalesce(F.sum("n_").over(before), F.lit(0))
+    )
+    files = stored(files, "shard-files")
+    held = {r["home_"]: r["n"] for r in files.groupBy("home_").agg(F.sum("n_").alias("n")).collect()}
+    ranges = {home: [{"low": 0, "shard": home, "slot": 0}] for home in held if home >= 0}
+    taken = {home: n for home, n in held.items() if home >= 0}
+    for home, own in split.items():
+        ends = [*[low for low, _ in own[1:]], held[home]]
+        ranges[home] = [{"low": low, "shard": number, "slot": taken.get(number, 0)} for low, number in own]
+        # a group meets a shard at most once
+        for (low, number), end in zip(own, ends, strict=True):
+            taken[number] = taken.get(number, 0) + end - low
+    table = _small_table(
+        homes.sparkSession, [{"home_": home, "ranges_": own} for home, own in ranges.items()],
+        "home_: int, ranges_: array<struct<low: bigint, shard: int, slot: bigint>>",
+    )
+    starts = files.join(F.broadcast(table), "home_").select("home_", "file_", "before_", "ranges_")
+    place = F.col("before_") + F.col("index_")
+    own = F.element_at(F.filter("ranges_", lambda x: x["low"] <= place), -1)
+    return rows.join(F.broadcast(starts), ["home_", "file_"]).select(
+        *columns, own["shard"].alias("shard"), (own["slot"] + place - own["low"]).cast("long").alias("slot")
     )
 
 
@@ -261,6 +267,6 @@ def shard_documents(docs: DataFrame) -> DataFrame:
 def with_shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The documents, all columns, with shard and slot; columns of these names are replaced."""
     packed = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("row_"))
-    found = shard(packed, shards=shards, keep=["row_"])
+    found = shard(packed, shards=shards, carry=["row_"])
     own = [F.col("row_")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
     return found.select(*own, F.col("shard").cast("int").alias("shard"), "slot")

@@ -16,7 +16,9 @@ MOST_COPIES = 2
 SEED = 9
 #: Parts an order is cut in at each step of the search for its cutoff.
 PARTS = 4096
-STEPS = ("part_1", "part_2", "part_3", "part_4")
+#: The parts of the order by odds, and of the order of rows whose odds lie in one of its smallest parts.
+STEPS = ("part_1", "part_2")
+TIE_STEPS = ("part_3", "part_4")
 
 
 def word_count(text: Column) -> Column:
@@ -74,34 +76,61 @@ def allocate(
     it fits, so a source misses its target by half a document at most. The inclusion probability is the
     fraction t / s - floor(t / s), and follows `appeal`, a positive column, where one is given: a
     document twice as appealing has twice the odds. The cutoff of an order is found from sums over
-    parts of it, cut finer at each step, so no task holds a source whole.
+    parts of it, cut finer at each step, so no task holds a source whole. Rows in the smallest part, where
+    the target is met, are stored and ranked by a hash of their place; what the others give follows from the row
+    alone, so with columns in `keep`, which may be wide, `docs` is read again and only those few rows are stored.
     """
-    rows = docs.select(
+    every = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         unit_hash(F.col(doc_id), F.coalesce(F.col(text), F.lit("")), seed=SEED).alias("uniform"),
-        (F.lit(1.0) if appeal is None else appeal).alias("appeal_"), F.monotonically_increasing_id().alias("row_id"),
-        *[F.col(c) for c in keep],
+        (F.lit(1.0) if appeal is None else appeal).alias("appeal_"), *[F.col(c) for c in keep],
     )
-    rows = stored(rows, "mix-rows")
+    rows = stored(every.drop(*keep), "mix-rows")
     targets = stored(source_targets(rows, weights, total_share, most), "mix-targets").select(
         F.col("source").alias("to"), "source_size", "target"
     )
-    ranked = _ranked(rows, targets)
-    # the search reads narrow columns many times; the rows of `keep` are read once more, at the end
-    narrow = stored(ranked.select("source", "size", "wanted", *STEPS, "order_1", "order_2", "row_id"), "mix-ranks")
-    cutoffs = _cutoffs(narrow)
+    # the search reads narrow columns many times
+    narrow = stored(_ranked(rows, targets).where("wanted > 0").select("source", "size", "wanted", *STEPS), "mix-ranks")
+    cuts = [f"cut_{name}" for name in STEPS]
+    parts = _reached(narrow.withColumn("before", F.lit(0.0)), STEPS)
+    cells = stored(parts.select(F.col("source").alias("cut_source"), *cuts, "before").distinct(), "mix-cells")
     discard(narrow)
-    inside = F.lit(False)
-    same = F.lit(True)
-    for name in STEPS:
+    ranked = _ranked(every if keep else rows, targets)
+    marked = ranked.join(cells, ranked["source"].eqNullSafe(cells["cut_source"]), "left")
+    inside, same = _up_to(STEPS)
+    same = F.coalesce(same, F.lit(False))
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    plain = marked.where(~same).select(*columns, _copies(inside), *keep)
+    tied = _tied(stored(
+        marked.where(same).select(*columns, "sure", "wanted", "before", "order_1", F.monotonically_increasing_id().alias("row_id"), *keep),
+        "mix-ties",
+    ))
+    last = _last_taken(tied)
+    tied = tied.join(last, tied["source"].eqNullSafe(last["cut_source"]), "left")
+    inside, same = _up_to(TIE_STEPS)
+    inside = inside | (same & (F.struct("order_1", "order_2", "row_id") <= F.col("last")))
+    return plain.unionByName(tied.select(*columns, _copies(inside), *keep))
+
+
+def _copies(inside: Column) -> Column:
+    return (F.col("sure") + F.coalesce(inside, F.lit(False)).cast("long")).alias("copies")
+
+
+def _up_to(steps: Sequence[str]) -> tuple[Column, Column]:
+    """Whether a row comes before the part where its source meets its target, and whether it lies in it."""
+    inside, same = F.lit(False), F.lit(True)
+    for name in steps:
         inside = inside | (same & (F.col(name) < F.col(f"cut_{name}")))
         same = same & (F.col(name) == F.col(f"cut_{name}"))
-    inside = inside | (same & (F.struct("order_1", "order_2", "row_id") <= F.col("last")))
-    joined = ranked.join(cutoffs, ranked["source"].eqNullSafe(cutoffs["cut_source"]), "left")
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("sure") + F.coalesce(inside, F.lit(False)).cast("long")).alias("copies"), *keep,
-    )
+    return inside, same
+
+
+def _parted(rows: DataFrame, order: str, steps: Sequence[str]) -> DataFrame:
+    """The rows with the parts of `order`, a number in [0, 1), each step's inside the one before."""
+    for number, name in enumerate(steps):
+        part = F.pmod(F.floor(F.col(order) * F.lit(float(PARTS ** (number + 1)))), F.lit(PARTS))
+        rows = rows.withColumn(name, part.cast("int"))
+    return rows
 
 
 def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -115,23 +144,23 @@ def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("sure", sure)
         .withColumn("wanted", F.col("target") - F.col("sure") * F.col("source_size"))
         .withColumn("order_1", pareto_rank(F.col("uniform"), odds / (1 + odds)))
-        .withColumn("order_2", unit_hash(F.col("row_id"), seed=SEED + 1))
         .drop("uniform", "appeal_", "to")
     )
-    for number, name in enumerate(STEPS):
-        scale = float(PARTS ** (number % 2 + 1))
-        ranked = ranked.withColumn(
-            name, F.pmod(F.floor(F.col(f"order_{number // 2 + 1}") * F.lit(scale)), F.lit(PARTS)).cast("int")
-        )
-    return ranked
+    return _parted(ranked, "order_1", STEPS)
 
 
-def _cutoffs(ranked: DataFrame) -> DataFrame:
-    """Per source the parts where its order reaches the wanted words, and the last row taken there."""
-    rows = ranked.where("wanted > 0")
-    rows = rows.select("source", "size", "wanted", *STEPS, "order_1", "order_2", "row_id").withColumn("before", F.lit(0.0))
+def _tied(rows: DataFrame) -> DataFrame:
+    """The rows with their place in an order of their own, by a hash of their number."""
+    return _parted(rows.withColumn("order_2", unit_hash(F.col("row_id"), seed=SEED + 1)), "order_2", TIE_STEPS)
+
+
+def _reached(rows: DataFrame, steps: Sequence[str]) -> DataFrame:
+    """The rows in the parts where the order of their source reaches the wanted words.
+
+    `before` are the words of the source before the part of the row.
+    """
     cuts: list[str] = []
-    for name in STEPS:
+    for name in steps:
         sums = rows.groupBy("source", "wanted", "before", *cuts, name).agg(F.sum("size").alias("own"))
         order = Window.partitionBy("source").orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         upto = sums.withColumn("upto", F.col("before") + F.sum("own").over(order))
@@ -149,12 +178,18 @@ def _cutoffs(ranked: DataFrame) -> DataFrame:
             .drop("cut_source", "next", name)
         )
         cuts.append(f"cut_{name}")
+    return rows
+
+
+def _last_taken(tied: DataFrame) -> DataFrame:
+    """Per source the parts where its order reaches the wanted words, and the last row taken there."""
+    rows = _reached(tied.select("source", "size", "wanted", "before", *TIE_STEPS, "order_1", "order_2", "row_id"), TIE_STEPS)
     order = Window.partitionBy("source").orderBy("order_1", "order_2", "row_id")
     upto = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = F.when(F.col("upto") - F.col("size") / 2 <= F.col("wanted"), F.struct("order_1", "order_2", "row_id"))
     return stored(
         rows.withColumn("upto", upto)
-        .groupBy(F.col("source").alias("cut_source"), *cuts)
+        .groupBy(F.col("source").alias("cut_source"), *[f"cut_{name}" for name in TIE_STEPS])
         .agg(F.max(last).alias("last")),
         "mix-cutoffs",
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.llm.buckets import TILE_BYTES, TILE_ROWS, in_tiles
-from hiremill.llm.common import discard, stored, text_slices
+from hiremill.llm.common import discard, sifted, stored, text_slices
 from hiremill.llm.components import components
 from hiremill.llm.simhash import fingerprint, fingerprint_links, first_of_groups
 
@@ -243,14 +243,6 @@ def similar_links(
     return first.unionByName(second).unionByName(third)
 
 
-def _key_column(text: Column) -> Column:
-    @F.arrow_udf("long")
-    def compute(texts: pa.Array) -> pa.Array:
-        return pa.array([text_key(t) for own in text_slices(texts) for t in own], pa.int64())
-
-    return compute(text)
-
-
 def _prints_column(text: Column, width: int) -> Column:
     """Of each text: node (its key), bands and fp, the fingerprint."""
 
@@ -296,10 +288,18 @@ def keep_one(
         # texts without words are one node and like nothing else
         candidates = stored(fingerprint_pairs(stored(nodes.where(F.size("bands") > 0).select("node", "fp"), "prints")), "candidates")
         own = [entries.select("node"), candidates.select("node"), candidates.select(F.col("leader").alias("node"))]
+        wanted = own[0].unionByName(own[1]).unionByName(own[2]).distinct()
+        # one row stands for a node; only rows whose checksum may be among those of the wanted nodes move
+        heads = stored(
+            rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_check_")).alias("row"))
+            .select("node", F.col("row.doc_id").alias("head_id_"), F.col("row.row_check_").alias("head_check_")),
+            "text-rows",
+        )
+        plain = marked.select("row_id_", "row_check_", F.col(text_name).alias("text"))
+        near, _ = sifted(plain, heads.select(F.col("head_check_").alias("row_check_")), "row_check_")
         whole = F.first("text")
         texts = stored(
-            marked.select(_key_column(F.col(text_name)).alias("node"), F.col(text_name).alias("text"))
-            .join(own[0].unionByName(own[1]).unionByName(own[2]).distinct(), "node", "left_semi")
+            near.join(heads, (near["row_check_"] == heads["head_check_"]) & near["row_id_"].eqNullSafe(heads["head_id_"]))
             .groupBy("node").agg(whole.alias("text"), F.octet_length(whole).cast("long").alias("bytes")),
             "candidate-texts",
         )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiremill.llm.buckets import in_tiles, roots
-from hiremill.llm.common import stored
+from hiremill.llm.common import sifted, stored
 from hiremill.llm.components import components
 
 BITS = 64
@@ -161,9 +161,18 @@ def first_of_groups(docs: DataFrame, doc_id: str, groups_of: Callable[[DataFrame
     """The documents that come first in their group; `groups_of` gives doc_id, row_check_ and component of each row."""
     plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
     marked = docs.withColumn("row_check_", F.xxhash64(*plain)).withColumn("row_id_", F.col(doc_id))
-    first = groups_of(marked).groupBy("component").agg(
+    members = stored(groups_of(marked).select("doc_id", "row_check_", "component"), "group-members")
+    first = members.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_check_")).alias("row")
     )
     chosen = stored(first.select(F.col("row.doc_id").alias("chosen_id_"), F.col("row.row_check_").alias("chosen_check_")), "chosen")
-    match = marked["row_check_"].eqNullSafe(chosen["chosen_check_"]) & marked["row_id_"].eqNullSafe(chosen["chosen_id_"])
-    return marked.join(chosen, match, "left_semi").dropDuplicates(["row_id_", "row_check_"]).select(docs.columns)
+
+    def match(rows: DataFrame, name: str) -> Column:
+        return rows["row_check_"].eqNullSafe(chosen["chosen_check_"]) & rows[name].eqNullSafe(chosen["chosen_id_"])
+
+    # rows that are chosen and not repeated stay where they are; the others meet the chosen ones
+    left_out = members.join(chosen, match(members, "doc_id"), "left_anti").select("row_check_")
+    repeated = members.groupBy("row_check_").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_check_")
+    doubtful, sure = sifted(marked, left_out.unionByName(repeated), "row_check_")
+    settled = doubtful.join(chosen, match(doubtful, "row_id_"), "left_semi").dropDuplicates(["row_id_", "row_check_"])
+    return sure.unionByName(settled).select(docs.columns)

@@ -10,6 +10,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from hiremill.functions.text import any_of
 from hiremill.functions.urls import canonicalize_url, unwrap_redirect_url
 from hiremill.operators.dedupe import first_wins
 from hiremill.operators.once import select_where
-from hiremill.sources.dom import Element, Page, mark_of
+from hiremill.sources.dom import Element, Page, first_texts, mark_of
 
 # --- Fixed values: selectors of search-result pages -----------------------
 RESULT_ANCHORS = "a.result__a,a.result-link"
@@ -45,22 +46,14 @@ def page_main_text(
 ) -> Column:
     """Text of the first element, in selector order, that has any.
 
-    Pages without any trace of the selectors are settled in Spark and are not parsed.
+    Pages without any trace of the selectors are settled in Spark and are not parsed. A Python
+    worker holds Spark's Arrow batch, one page of it as a string and the texts of a few pages.
     """
     rules = list(selectors)
 
-    @F.pandas_udf("string")
-    def main_text(pages: pd.Series) -> pd.Series:
-        return pages.map(_first_text, na_action="ignore")
-
-    def _first_text(source: str) -> str:
-        page = Page(source)
-        for rule in rules:
-            for element in page.select(rule):
-                text = page.text(element)
-                if text:
-                    return text[:max_chars]
-        return ""
+    @F.arrow_udf("string")
+    def main_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return first_texts(batches, rules, max_chars)
 
     present = F.lower(html).rlike(any_of([mark_of(rule).lower() for rule in rules]))
     return F.coalesce(main_text(F.when(present, html)), F.lit(""))

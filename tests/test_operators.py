@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from datetime import UTC, datetime, timedelta
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from hiremill.functions.similarity import text_similarity
 from hiremill.operators import aggregates, applications, dedupe, discovery, filters, joins, localization, ordering
 from hiremill.operators import profiles, sets
 from hiremill.sources.ledger import evolve_ledger, lookup_published_url, rows_to_publish
+from hiremill.sources.dom import PAGES_AT_ONCE, first_texts
 from hiremill.sources.pages import page_main_text, scan_result_pages
 from hiremill.sources.payloads import scan_search_results
 from hiremill.plans import jobs
@@ -477,6 +480,32 @@ def test_main_text_of_nested_elements(spark):
     ]
 
 
+def test_main_texts_of_a_batch_are_not_held_together():
+    pages = [None if n % 7 == 0 else f"<article>{n} {'ä' * 5000}</article>" for n in range(2000)]
+    batches = [pa.array(pages, pa.string()), pa.array([], pa.string()), pa.array(pages[:3], pa.string())]
+    wanted = [None if n % 7 == 0 else f"{n} {'ä' * 5000}"[:4000] for n in (*range(2000), 0, 1, 2)]
+    list(first_texts(iter(batches[2:]), ["article"], 4000))  # what a first call keeps for good
+    tracemalloc.start()
+    place = 0
+    for texts in first_texts(iter(batches), ["p.none", "article"], 4000):
+        assert texts.type == pa.string() and len(texts) <= PAGES_AT_ONCE
+        assert texts.to_pylist() == wanted[place : place + len(texts)]
+        place += len(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert place == len(wanted)
+    assert peak < 5_000_000  # the batch as strings takes 10 MB for pages and 8 MB for texts
+
+
+def test_main_texts_keep_to_their_pages_across_batches(spark):
+    rows = spark.range(0, 25_000, numPartitions=2).withColumn(
+        "html", F.when(F.col("id") % 3 != 0, F.concat(F.lit("<article>page <b>"), "id", F.lit("</b></article>")))
+    )
+    text = rows.select("id", "html", page_main_text(F.col("html"), ("article",)).alias("t"))
+    wanted = F.when(F.col("html").isNull(), "").otherwise(F.concat(F.lit("page "), F.col("id").cast("string")))
+    assert text.count() == 25_000 and text.filter(~F.col("t").eqNullSafe(wanted)).isEmpty()
+
+
 def test_page_posts(spark):
     wall = "<input type='password'>"
     body = "<p class='attributed-text-segment-list__content'>We hire. Join   us</p>"
